@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from linklens.checks import rollup_checks, search_checks  # noqa: F401
+from linklens.checks import extract_checks, risk_checks, rollup_checks, search_checks  # noqa: F401
 from linklens.checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -33,7 +33,7 @@ select cast(c.c_nationkey * 5 + case c.c_mktsegment when 'MACHINERY' then 0 when
   case o.o_orderstatus when 'P' then '.js' when 'F' then '.html' else '' end) as page_url,
  case l.l_returnflag when 'A' then 'link_href' when 'N' then 'plain_text' else 'script_code' end as source_type,
  concat('raw-', cast(l.l_partkey as varchar(12))) as raw_match, concat('ctx ', cast(l.l_partkey as varchar(12)), ' ', l.l_linestatus) as context_snippet,
- l.l_returnflag = 'A' as is_link, l.l_orderkey * 10 + l.l_linenumber as seq, l.l_shipdate as created_at
+ l.l_returnflag = 'A' as is_link, ((l.l_orderkey * 10 + l.l_linenumber) * 100000 + l.l_partkey) * 1000 + l.l_suppkey as seq, l.l_shipdate as created_at
  from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey""".replace("SUFFIX", SUFFIX),
     "fx_external_domains": """
 select task_id, domain, root_domain, occurrence_count, has_link, has_text, sample_page_url, created_at,
@@ -88,6 +88,19 @@ select o_orderkey as id, cast(c.c_nationkey * 5 + case c.c_mktsegment when 'MACH
 select page_id, cast(page_id % 3 as int) as task_id, url, html,
  case page_id % 3 when 0 then 'www.example.com' when 1 then 'www.example.net' else 'www.example.org' end as target_host,
  case page_id % 3 when 0 then 'example.com' when 1 then 'example.net' else 'example.org' end as target_root from pages""",
+    # raw names and links of many shapes, one per order
+    "fx_raw_names": """
+select o_orderkey as id, case o_orderkey % 16 when 0 then concat(' HTTPS://Www.A', k, '.Co.Uk:8080/p?q#f ') when 1 then concat('b', k, '.com.') when 2 then concat('10.0.', k, '.1')
+  when 3 then 'example.com' when 4 then concat('sub', k, '.example.com') when 5 then concat('-bad', k, '.com') when 6 then concat('a..b', k, '.net') when 7 then concat('x', k, '.js')
+  when 8 then concat('window', k, '.open') when 9 then concat('a.city', k, '.kawasaki.jp') when 10 then 'city.kawasaki.jp' when 11 then concat('n', k, '.gov.cn')
+  when 12 then concat('e.', case when o_orderkey % 3 = 0 then 'target' else 'map' end, '.top') when 13 then concat('u_', k, '.org') when 14 then concat('t', k, '.nosuchtld') else concat('d.e', k, '.io/x') end as raw
+ from (select o_orderkey, cast(o_orderkey % 200 as varchar(9)) as k from orders) o""",
+    "fx_raw_links": """
+select o_orderkey as id, o_orderkey % 14 as kind, k, concat('https://h', k, '.com/a/b/c.html?x=1#t') as base,
+ case o_orderkey % 14 when 0 then concat('../p', k) when 1 then concat('./q', k, '?z=1') when 2 then concat('?s=', k) when 3 then concat('//cdn', k, '.org:443/x#f') when 4 then '#top'
+  when 5 then concat('mailto:u', k, '@x.com') when 6 then concat('http://e', k, '.net:80') when 7 then concat('/abs/./x/../', k) when 8 then concat(' r', k, '/s.pdf ') when 9 then 'javascript:void(0)'
+  when 10 then concat('https://f', k, '.de/download/1') when 11 then concat('ftp://g', k, '/x') when 12 then concat('HTTP://I', k, '.io/P') else '../../../..' end as raw
+ from (select o_orderkey, cast(o_orderkey % 200 as varchar(9)) as k from orders) o""",
     # a later response for every ticket page: the page may be gone, broken, cleared or still show the domain
     "fx_responses": """
 select page_url as url, case n % 11 when 0 then 404 when 1 then 410 when 2 then 500 when 3 then 403 when 4 then 0 when 5 then 0 when 6 then 0 else 200 end as status_code,

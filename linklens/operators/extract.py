@@ -245,6 +245,7 @@ def page_finds(pages: DataFrame, assets: bool = True, text: bool = True) -> Data
     """
     finds = (F.when(F.col("resource") == "js", script_finds(F.col("html")))
              .when(F.col("resource") == "css", css_finds(F.col("html")))
+             .when(F.col("resource") == "text", short_text_finds("plain_text", F.array("html")))
              .otherwise(html_finds(assets, text)))
     page_columns = ["task_id", "page_url", "target_host", "base_url", "resource"]
     df = parse_pages(pages).select(*page_columns, F.posexplode_outer(finds).alias("pos", "find"))

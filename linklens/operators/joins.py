@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linklens.fixed_values import RISKY_LEVELS
 from linklens.functions import domains as D
 from linklens.operators import rollup as R
 
@@ -38,14 +39,18 @@ def with_asset_evidence(domains: DataFrame, occurrences: DataFrame) -> DataFrame
 
 def without_risky_domain(tickets: DataFrame, domains: DataFrame) -> DataFrame:
     """Tickets whose domain is no longer risky in their scan."""
-    from linklens.fixed_values import RISKY_LEVELS
     risky = domains.where(F.col("risk_level").isin(*RISKY_LEVELS)).select("task_id", "domain")
     return tickets.join(risky, ["task_id", "domain"], "left_anti")
 
 
+def with_risky_domain(tickets: DataFrame, domains: DataFrame) -> DataFrame:
+    """Tickets whose domain is still risky in their scan."""
+    risky = domains.where(F.col("risk_level").isin(*RISKY_LEVELS)).select("task_id", "domain")
+    return tickets.join(risky, ["task_id", "domain"], "left_semi")
+
+
 def risky_evidence(occurrences: DataFrame, domains: DataFrame, tasks: DataFrame) -> DataFrame:
     """Evidence of risky domains of live scans, with the risk of the domain."""
-    from linklens.fixed_values import RISKY_LEVELS
     extra = [c for c in ("risk_tags", "risk_remark", "verify_status", "verify_time", "verify_detail") if c in domains.columns]
     risky = R.on_live_tasks(domains.where(F.col("risk_level").isin(*RISKY_LEVELS)), tasks).select(
         "task_id", "domain", F.col("root_domain").alias("risk_root"), "risk_level", *extra)

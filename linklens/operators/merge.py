@@ -162,7 +162,7 @@ def sync_rules(domains: DataFrame, tickets: DataFrame, rules: DataFrame, full_ru
     t = tickets.join(effects, ["domain", "root_domain"], "left").where(~F.coalesce("harmless", F.lit(False)))
     t = _with(t, F.col("rule").isNotNull(), risk_level=F.col("rule.risk_level"), risk_tags=F.coalesce("rule.tags", F.array().cast(NO_TAGS)),
               risk_remark=F.col("rule.remark")).select(*tickets.columns)
-    return d, (J.without_risky_domain(t, d).select(*tickets.columns) if full_run else t)
+    return d, (J.with_risky_domain(t, d).select(*tickets.columns) if full_run else t)
 
 
 def delete_rule(domains: DataFrame, tickets: DataFrame, rules: DataFrame, rule_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,8 +186,7 @@ def delete_rule(domains: DataFrame, tickets: DataFrame, rules: DataFrame, rule_i
         d = _with(domains, touched & from_rule, risk_level="pending", risk_tags=tag_array([]), risk_remark="", risk_source="",
                   verify_status="unverified", verify_time=F.lit(None), verify_detail="")
         kept = tickets.where(~touched)
-        still = tickets.where(touched).join(
-            d.where(F.col("risk_level").isin(*v.RISKY_LEVELS)).select("task_id", "domain"), ["task_id", "domain"], "left_semi")
+        still = J.with_risky_domain(tickets.where(touched), d)
         return remaining, d, kept.unionByName(still.select(*tickets.columns))
     touched = ((F.col("root_domain") == name) | (F.col("domain") == name)) if by_root else F.col("domain") == name
     values = dict(risk_level=then["risk_level"], risk_tags=tag_array(then["risk_tags"]), risk_remark=then["risk_remark"])
@@ -348,7 +347,7 @@ def purge_invalid(domains: DataFrame, occurrences: DataFrame, task_id: int | Non
     """Drop names that are no domains with their evidence; also what went per scan."""
     scoped = F.lit(True) if task_id is None else F.col("task_id") == task_id
     bad = scoped & ~D.is_public_domain(F.col("domain"), False)
-    dropped = domains.where(bad).select("task_id", "domain")
+    dropped = domains.where(bad).select("task_id", "domain").distinct()
     kept = domains.where(~bad)
     evidence = occurrences.join(dropped, ["task_id", "domain"], "left_anti").select(*occurrences.columns)
     gone = dropped.groupBy("task_id").agg(F.count("*").alias("deleted_domains_count"))
