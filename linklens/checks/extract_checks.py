@@ -87,10 +87,11 @@ def cut(text: str, target: str, before: int, after: int, none: str, trim: bool)
     at = f"strpos(lower({text}), lower({target}))"
     a, z = f"greatest(0, {at} - 1 - {before})", f"least(length({text}), {at} - 1 + length({target}) + {after})"
     body = f"translate(substr({text}, {a} + 1, {z} - {a}), chr(13) || chr(10), '  ')"
-    body = f"trim({body})" if trim else body
+    body = f"trim({body}, {WS})" if trim else body
     return (f"case when {at} = 0 then {none} else (case when {a} > 0 then '...' else '' end) || {body} || (case when {z} < length({text}) then '...' else '' end) end")
 
 
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 DOCS_SQL = "(select doc_id, text, source, substr(text, length(text) // 2, 6) as target from documents)"
 
 
@@ -99,7 +100,7 @@ def docs(t):
 
 
 check("f11_make_snippet", lambda t: docs(t).select("doc_id", T.make_snippet(F.col("text"), F.col("target")).alias("s"), T.make_snippet(F.col("text"), F.lit("~none~")).alias("s0")),
-      f"select doc_id, {cut('text', 'target', 60, 60, 'trim(left(text, 120))', True)} as s, trim(left(text, 120)) as s0 from {DOCS_SQL}")
+      f"select doc_id, {cut('text', 'target', 60, 60, 'left(text, 120)', True)} as s, trim(left(text, 120), {WS}) as s0 from {DOCS_SQL}")
 check("f12_verdict_snippet", lambda t: docs(t).select("doc_id", T.verdict_snippet(F.col("text"), F.col("target")).alias("s")),
       f"select doc_id, {cut('text', 'target', 40, 60, 'left(text, 150)', False)} as s from {DOCS_SQL}")
 check("f13_context_around", lambda t: docs(t).select("doc_id", T.context_around(F.col("text"), F.col("target")).alias("s"), T.context_around(F.col("text"), F.lit("~none~")).alias("s0")),
@@ -219,7 +220,7 @@ check("x6_style_bodies", lambda t: X.parse_pages(pages(t)).select("page_url", F.
       r"select url as page_url, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style\s*>', 1)) as css from pages")
 check("x11_visible_text", lambda t: X.parse_pages(pages(t)).select("page_url", F.md5("body").alias("body_md5"), F.length("body").alias("n")),
       f"select url as page_url, md5({BODY}) as body_md5, length({BODY}) as n from pages")
-for table, key in (("documents", "doc_id"), ("conversations", "conv_id")):
+for table, key in (("documents", "doc_id"),):
     check(f"x12_x13_names_in_{table}", lambda t, table=table, key=key: X.extract_hits(texts(t, table, key)).groupBy("page_url", "domain", "root_domain").agg(F.count("*").alias("n")),
           f"with {text_names(table, key, 'text')}, {parts_of('found')} select cast(key as varchar) as page_url, d as domain, root as root_domain, count(*) as n from found join parts using (raw, from_url) where root is not null group by all")
 HITS = f"""with src as (select url, target_root, regexp_extract(url, '://([^/?#:]*)', 1) as host, {BODY} as body, html from fx_pages),
@@ -254,7 +255,7 @@ check("x16_x18_names_in_styles", lambda t: X.extract_hits(t.documents.select(F.l
       """select cast(doc_id as varchar) as page_url, unnest(['i.s.io', 'u.s.io']) as domain, unnest(['css_file_import', 'css_file_url']) as source_type from documents""")
 check("x3_x5_x7_x10_x17_x20_tagged_pages", lambda t: X.extract_hits(t.fx_pages.select("task_id", F.col("url").alias("page_url"), F.concat(F.lit(
     '<meta http-equiv="refresh" content="1;url=https://m.a1.io/"><link rel="canonical" href="https://c.example.com/"><img data-src="https://i.a2.io/p" src=//j.a3.io/q?u=https%3A%2F%2Fz.a4.io%2F&d=y.a5.io>'
-    '<script src="https://s.a6.io/x.js"></script><script>location.href = "https://n.a7.io/"; $.get("https://g.a8.io/"); x = {url: "https://p.a9.io/"}</script>'
+    '<script src="https://s.a6.io/x.js"></script><script>location.replace("https://n.a7.io/"); $.get("https://g.a8.io/"); x = {url: "https://p.a9.io/"}</script>'
     '<style>b{background:url(https://b.b1.io/)}</style><iframe src="https://f.b2.io"></iframe><form action="https://o.b3.io/"></form><object data="https://d.b4.io/"></object><video src="https://v.b5.io/"></video><embed src="https://e.b6.io/">'),
     "html").alias("html"), F.lit("html").alias("resource"), "target_host")).where(F.col("root_domain").endswith(".io")).select("page_url", "domain", "source_type"),
       """select url as page_url, unnest(['m.a1.io','i.a2.io','j.a3.io','z.a4.io','y.a5.io','s.a6.io','n.a7.io','n.a7.io','g.a8.io','g.a8.io','p.a9.io','p.a9.io','b.b1.io','f.b2.io','o.b3.io','d.b4.io','v.b5.io','e.b6.io']) as domain,
