@@ -60,7 +60,7 @@ check("f1_clean_domain", lambda t: t.fx_raw_names.select("id", D.clean_domain(F.
       f"select id, {cleaned('raw')} as domain from fx_raw_names")
 check("f2_domain_syntax", lambda t: t.fx_raw_names.select("id", D.has_domain_syntax(F.col("raw")).alias("ok")),
       f"select id, length(raw) <= 253 and regexp_matches(lower(raw), '{SYNTAX}') as ok from fx_raw_names")
-check("f3_known_tld", lambda t: t.fx_raw_names.select("id", ps.is_tld(D.last_label(F.lower("raw"))).alias("ok")),
+check("f3_known_tld", lambda t: t.fx_raw_names.select("id", ps.is_tld("substring_index(lower(raw), '.', -1)").alias("ok")),
       f"with {suffix_rules()} select id, string_split(lower(raw), '.')[-1] in (select tld from tld) as ok from fx_raw_names")
 for mode, flag in (("text", False), ("url", True)):
     check(f"f4_f5_j12_domain_parts_from_{mode}", lambda t, flag=flag: with_parts(t.fx_raw_names, flag).select("id", "domain", "root_domain"),
@@ -198,13 +198,15 @@ def text_names(rel: str, key: str, text: str) -> str:
 
 
 def pages(t) -> DataFrame:
-    return t.fx_pages.select("task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host")
+    rows = t.fx_pages.select("task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host")
+    return S.spread(rows, "page_url")
 
 
 def texts(t, table: str, key: str) -> DataFrame:
     df = getattr(t, table)
-    return df.select(F.lit(1).alias("task_id"), F.col(key).cast("string").alias("page_url"), F.col("text").alias("html"),
+    rows = df.select(F.lit(1).alias("task_id"), F.col(key).cast("string").alias("page_url"), F.col("text").alias("html"),
                      F.lit("text").alias("resource"), F.lit("none.test").alias("target_host"))
+    return S.spread(rows, "page_url")
 
 
 check("x1_title", lambda t: X.parse_pages(pages(t)).select("page_url", "title"),

@@ -56,24 +56,30 @@ def has_domain_syntax(d: Column) -> Column:
     return F.coalesce((F.length(d) <= 253) & F.lower(d).rlike(DOMAIN_SYNTAX), F.lit(False))
 
 
-def is_code_like(d: Column) -> Column:
+def one_of(expr: str, values) -> str:
+    """SQL membership test; Catalyst turns the list into a hash set."""
+    return f"{expr} IN ({', '.join(repr(x) for x in values)})"
+
+
+def _code_like_sql(d: str) -> str:
     """Dotted code identifiers: a word TLD after a code word or after a very short first label."""
-    n, tld = label_count(d), last_label(d)
-    first = F.substring_index(d, ".", 1)
-    before_tld = F.substring_index(F.substring_index(d, ".", -2), ".", 1)
-    word_tld = tld.isin(*DICTIONARY_TLDS)
-    two = (n == 2) & word_tld & (first.isin(*CODE_WORDS) | (F.length(first) <= 3))
-    more = (n >= 3) & word_tld & before_tld.isin(*CODE_WORDS)
-    return two | more
+    n = f"(length({d}) - length(replace({d}, '.', '')) + 1)"
+    first, before_tld = f"substring_index({d}, '.', 1)", f"substring_index(substring_index({d}, '.', -2), '.', 1)"
+    return (f"({one_of(f'substring_index({d}, {chr(39)}.{chr(39)}, -1)', DICTIONARY_TLDS)} AND "
+            f"(({n} = 2 AND (length({first}) <= 3 OR {one_of(first, CODE_WORDS)})) OR ({n} >= 3 AND {one_of(before_tld, CODE_WORDS)})))")
+
 
+def is_public_domain(name: str, from_url: str | bool) -> Column:
+    """F4 of a column by name: syntax, known TLD, no file suffix, and unless it came from a URL no code-like name.
 
-def is_public_domain(d: Column, from_url: Column | bool) -> Column:
-    """syntax, known TLD, no file suffix, and unless it came from a URL no code-like name."""
-    name = F.rtrim(F.lower(strip(d)), F.lit("."))
-    tld = last_label(name)
-    from_url = from_url if isinstance(from_url, Column) else F.lit(from_url)
-    ok = has_domain_syntax(name) & ps.is_tld(tld) & ~tld.isin(*FILE_EXTENSIONS) & (from_url | ~is_code_like(name))
-    return F.coalesce(ok, F.lit(False))
+    `from_url` is a boolean or the name of a boolean column.
+    """
+    d = f"trim(TRAILING '.' FROM lower(trim({name})))"
+    tld = f"substring_index({d}, '.', -1)"
+    usable = sorted(ps.tlds() - set(FILE_EXTENSIONS))
+    url = from_url if isinstance(from_url, str) else str(from_url).lower()
+    syntax = DOMAIN_SYNTAX.replace("\\", "\\\\")
+    return F.expr(f"coalesce(length({d}) <= 253 AND {d} RLIKE '{syntax}' AND {one_of(tld, usable)} AND ({url} OR NOT {_code_like_sql(d)}), false)")
 
 
 def with_domain_parts(df: DataFrame, raw: Column, from_url: Column | bool,
@@ -83,14 +89,11 @@ def with_domain_parts(df: DataFrame, raw: Column, from_url: Column | bool,
     One narrow pass: the suffix rules are hash sets in the plan, so repeated
     hosts cost a look-up, not a shuffle to make them distinct first.
     """
-    df = (
-        df.withColumn("__d", clean_domain(raw))
-        .withColumn("__d", F.when(is_public_domain(F.col("__d"), from_url), F.col("__d")))
-        .withColumn("__n", ps.suffix_length("__d"))
-        .withColumn(root, ps.root_from_suffix_length("__d", "__n"))
-        .withColumn(domain, F.when(F.col(root).isNotNull(), F.col("__d")))
-        .drop("__d", "__n")
-    )
+    url = from_url if isinstance(from_url, Column) else F.lit(from_url)
+    df = df.withColumns({"__d": clean_domain(raw), "__u": url})
+    df = df.withColumn("__d", F.when(is_public_domain("__d", "__u"), F.col("__d"))).withColumn("__n", ps.suffix_length("__d"))
+    df = df.withColumn(root, ps.root_from_suffix_length("__d", "__n"))
+    df = df.withColumn(domain, F.when(F.col(root).isNotNull(), F.col("__d"))).drop("__d", "__n", "__u")
     return sealed(df, domain, root)
 
 
@@ -138,21 +141,19 @@ def parent_names(d: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
 
 
-def is_allow_listed(domain: Column, root: Column) -> Column:
-    """F32: under an allow-listed root or an authority suffix.
+def is_allow_listed(domain: str, root: str) -> Column:
+    """F32 of two columns by name: under an allow-listed root or an authority suffix.
 
-    A name lies under an entry when one of its suffixes equals it; entries have
-    at most four labels, so four set look-ups decide.
+    A name lies under an entry when one of its suffixes equals it, so one set
+    look-up per suffix length decides.
     """
-    def under(c):
-        deepest = max(s.count(".") + 1 for s in SAFE_ROOTS)
-        hit = F.lit(False)
+    deepest = max(s.count(".") + 1 for s in SAFE_ROOTS)
+    tests = []
+    for c in (f"lower({domain})", f"lower({root})"):
         for k in range(2, deepest + 1):
-            hit = hit | F.substring_index(c, ".", -k).isin(*SAFE_ROOTS)
-        for s in SAFE_SUFFIXES:
-            hit = hit | c.endswith(s)
-        return F.coalesce(hit, F.lit(False))
-    return under(domain) | under(root)
+            tests.append(one_of(f"substring_index({c}, '.', -{k})", [s for s in SAFE_ROOTS if s.count(".") + 1 == k]))
+        tests += [f"endswith({c}, '{s}')" for s in SAFE_SUFFIXES]
+    return F.expr(f"coalesce({' OR '.join(tests)}, false)")
 
 
 def suggested_rule_target(domain: Column, root: Column) -> Column:

@@ -110,6 +110,6 @@ def root_from_suffix_length(host: str, length: str) -> Column:
     )
 
 
-def is_tld(label: Column, path: str | None = None) -> Column:
-    """a known top-level domain."""
-    return label.isin(*sorted(tlds(path)))
+def is_tld(label: str, path: str | None = None) -> Column:
+    """is the SQL expression `label` a known top-level domain?"""
+    return F.expr(_in(label, tlds(path)))

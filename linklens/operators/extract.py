@@ -6,11 +6,15 @@ the evidence rows nothing is shuffled and no page is read twice; the first
 exchange is the roll-up on (task_id, domain).
 
 Expected input columns: task_id, page_url, html, resource ('html'|'js'|'css'),
-target_host.  `prepare_pages` makes them from responses and tasks.
+target_host and, if it is known already, target_root.
+`sources.responses.prepare_pages` makes them from responses and tasks.
 """
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +29,13 @@ ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 SCANNED_TAGS = "a|area|base|meta|link|img|script|iframe|frame|video|audio|source|track|form|object|embed"
 TAG = rf"(?is)<(?:{SCANNED_TAGS})\b{ATTRS}>(?:[^<]{{0,200}}</[a-z]+\s*>)?"
 COMMENT = r"(?s)<!--(.*?)-->"
-SCRIPT_BODY = rf"(?is)<script\b({ATTRS})>(.*?)(?:</script\s*>|$)"
+SCRIPT_BLOCK = rf"(?is)<script\b{ATTRS}>.*?(?:</script\s*>|$)"
+SCRIPT_OPEN = rf"(?is)^<script\b{ATTRS}>"
+SCRIPT_CLOSE = r"(?i)</script\s*>$"
 STYLE_BODY = r"(?is)<style\b[^>]*>(.*?)(?:</style\s*>|$)"
-NO_BODIES = (rf"(?is)<!--.*?-->|(<script\b{ATTRS}>).*?(</script\s*>|$)|(<style\b[^>]*>).*?(</style\s*>|$)")
-INVISIBLE = (r"(?is)<!--.*?-->|<!doctype[^>]*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>|<script\b.*?(?:</script\s*>|$)"
-             r"|<style\b.*?(?:</style\s*>|$)|<noscript\b.*?(?:</noscript\s*>|$)|<svg\b.*?(?:</svg\s*>|$)")
+NO_BODIES = (rf"(?is)<(?:!--.*?-->|(script\b{ATTRS}>).*?(</script\s*>|$)|(style\b[^>]*>).*?(</style\s*>|$))")
+INVISIBLE = (r"(?is)<(?:!--.*?-->|!doctype[^>]*>|head\b.*?</head\s*>|title\b.*?</title\s*>|script\b.*?(?:</script\s*>|$)"
+             r"|style\b.*?(?:</style\s*>|$)|noscript\b.*?(?:</noscript\s*>|$)|svg\b.*?(?:</svg\s*>|$))")
 ANY_TAG = rf"(?s)</?[a-zA-Z]{ATTRS}>"
 URL_IN_TEXT = (r"(?i)(?:https?:)?//[a-z0-9][-a-z0-9]*+(?:\.[a-z0-9][-a-z0-9]*+)++(?::\d+)?"
                r"(?:/[^\s\"'<>{}|\\^`\[\]]*)?")
@@ -122,6 +128,28 @@ def script_finds(script: Column) -> Column:
                     *[pattern_finds("script_endpoint", "page_link", script, p) for p in (JS_NAV, JS_FETCH, JS_PROP)])
 
 
+def built_once(build):
+    """Keep a built column for the life of the session; its lambdas take thousands of calls to put together."""
+    made: dict = {}
+
+    @functools.wraps(build)
+    def get(*args, **kwargs):
+        key = (id(SparkContext._active_spark_context), args, tuple(sorted(kwargs.items())))
+        if key not in made:
+            made[key] = build(*args, **kwargs)
+        return made[key]
+    return get
+
+
+@built_once
+def find_column(assets: bool, text: bool) -> Column:
+    """The finds of a page by its kind of resource."""
+    return (F.when(F.col("resource") == "js", script_finds(F.col("html")))
+            .when(F.col("resource") == "css", css_finds(F.col("html")))
+            .when(F.col("resource") == "text", short_text_finds("plain_text", F.array("html")))
+            .otherwise(html_finds(assets, text)))
+
+
 def html_finds(assets: bool = True, text: bool = True) -> Column:
     """Finds of an HTML page in scan order, over the columns `parse_pages` adds."""
     tags = F.col("tags")
@@ -157,17 +185,17 @@ def css_finds(css: Column) -> Column:
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Split each page once into tags, comments, scripts, styles and visible text."""
     html, is_html = F.col("html"), F.col("resource") == "html"
-    inline = F.filter(
-        F.arrays_zip(all_matches(html, SCRIPT_BODY, 1).alias("head"), all_matches(html, SCRIPT_BODY, 2).alias("code")),
-        lambda s: ~s["head"].rlike(r"(?i)(?:^|[\s\"'/])src\s*(?:=|$|\s)"))
+    inline = F.filter(all_matches(html, SCRIPT_BLOCK), lambda b: ~F.regexp_extract(b, SCRIPT_OPEN, 0).rlike(
+        r"(?i)[\s\"'/]src\s*(?:=|>|\s)"))
+    code = F.transform(inline, lambda b: F.regexp_replace(F.regexp_replace(b, SCRIPT_OPEN, ""), SCRIPT_CLOSE, ""))
     parsed = (
         pages.withColumn("html", F.coalesce(html, F.lit("")))
         .withColumn("page_host", U.host(F.col("page_url")))
         .withColumn("title", F.when(is_html, decode_entities(D.strip(
             F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))))
-        .withColumn("tags", F.when(is_html, all_matches(F.regexp_replace(html, NO_BODIES, "$1$2$3$4"), TAG)))
+        .withColumn("tags", F.when(is_html, all_matches(F.regexp_replace(html, NO_BODIES, "<$1$2$3$4"), TAG)))
         .withColumn("comments", F.when(is_html, all_matches(html, COMMENT, 1)))
-        .withColumn("scripts", F.when(is_html, F.transform(inline, lambda s: s["code"])))
+        .withColumn("scripts", F.when(is_html, code))
         .withColumn("styles", F.when(is_html, all_matches(html, STYLE_BODY, 1)))
         .withColumn("body", F.when(is_html, visible_text(html)))
         .withColumn("body_lower", F.lower(F.col("body"))))
@@ -215,6 +243,7 @@ def named(source_type, mode, raw: Column, host: Column) -> Column:
     return F.struct(st.alias("source_type"), md.alias("mode"), raw.alias("raw"), host.alias("find_host"))
 
 
+@built_once
 def named_finds() -> Column:
     """Raw match and named host of a find, followed by what its query string holds."""
     st, mode, token = F.col("source_type"), F.col("mode"), F.col("token")
@@ -243,12 +272,10 @@ def page_finds(pages: DataFrame, assets: bool = True, text: bool = True) -> Data
     reads attribute values and query strings.  Outer explodes: for inner ones
     the optimizer adds a filter that evaluates the whole array a second time.
     """
-    finds = (F.when(F.col("resource") == "js", script_finds(F.col("html")))
-             .when(F.col("resource") == "css", css_finds(F.col("html")))
-             .when(F.col("resource") == "text", short_text_finds("plain_text", F.array("html")))
-             .otherwise(html_finds(assets, text)))
-    page_columns = ["task_id", "page_url", "target_host", "base_url", "resource"]
-    df = parse_pages(pages).select(*page_columns, F.posexplode_outer(finds).alias("pos", "find"))
+    page_columns = ["task_id", "page_url", "target_host", "target_root", "base_url", "resource"]
+    if "target_root" not in pages.columns:
+        pages = D.with_target_root(pages, "target_host")
+    df = parse_pages(pages).select(*page_columns, F.posexplode_outer(find_column(assets, text)).alias("pos", "find"))
     df = df.select(*page_columns, "pos", "find.*")
     df = df.select(*page_columns, "pos", "token", "snippet", F.posexplode_outer(named_finds()).alias("part", "value"))
     df = df.where(F.col("part").isNotNull())
@@ -267,7 +294,7 @@ def extract_hits(pages: DataFrame, scope: str = "root_domain", assets: bool = Tr
     """
     finds = page_finds(pages, assets, text)
     hits = D.with_domain_parts(finds, F.col("find_host"), ~F.col("mode").isin("name_value", "text_name"))
-    hits = D.with_target_root(hits.where(F.col("domain").isNotNull()), "target_host")
+    hits = hits.where(F.col("domain").isNotNull())
     own = D.is_subdomain(F.col("root_domain"), F.col("target_root"))
     inside = D.is_internal(F.col("domain"), F.col("root_domain"), F.col("target_host"), F.col("target_root"), scope)
     from_text = F.col("mode").isin("url_value", "name_value", "text_url", "text_name")
@@ -292,8 +319,7 @@ def discover_links(pages: DataFrame, scope: str = "root_domain") -> DataFrame:
     finds = page_finds(pages, text=True).where(F.col("mode").isin(
         "page_link", "canonical", "page_asset", "script_asset", "link_asset", "asset_link", "import_link"))
     links = U.with_normalized_link(finds, "base_url", F.col("raw"), "url").where(F.col("url").isNotNull())
-    links = D.with_target_root(links.withColumn("url_host", U.host(F.col("url"))), "target_host")
-    links = links.withColumn("__n", ps.suffix_length("url_host"))
+    links = links.withColumn("url_host", U.host(F.col("url"))).withColumn("__n", ps.suffix_length("url_host"))
     links = D.sealed(links.withColumn("url_root", ps.root_from_suffix_length("url_host", "__n")).drop("__n"), "url_root")
     inside = D.is_internal(F.col("url_host"), F.col("url_root"), F.col("target_host"), F.col("target_root"), scope)
     p, from_tag = F.lower(U.raw_path(F.col("url"))), F.col("mode") == "link_asset"

@@ -2,14 +2,14 @@
 
 A driver loop of joins, one per level.  Each level is cut off with a reliable
 checkpoint, so the lineage does not grow and a lost executor costs one level.
-Hub pages: the frontier-to-edges join is left to AQE (broadcast of a small
-frontier, split of a skewed key otherwise) and the reached urls are made
-distinct map-side, so neither a page with a third of all links nor one that
-every page links to gathers in one task.
+Found urls are made distinct map-side first, so a page that every page links to
+does not gather in one task; a page with very many links is split by AQE.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,36 +27,66 @@ def new_urls(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.select(*KEY).distinct().join(known.select(*KEY), KEY, "left_anti")
 
 
-def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int = 0) -> DataFrame:
+BROADCAST_BYTES = 32 << 20
+MERGE_LEVELS = 8
+
+
+def _union(levels: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+def _sized(level: DataFrame) -> tuple[int, int]:
+    """Rows and text bytes of a checkpointed level."""
+    r = level.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("b")).first()
+    return r["n"], r["b"] + 24 * r["n"]
+
+
+def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int = 0, edges_stored: bool = False) -> DataFrame:
     """Urls with their depth.
 
     seeds: task_id, url, depth; edges: task_id, src, dst.  `max_depth` 0 means no
     limit.  `max_pages` keeps the first pages of each scan by (depth, url).
+    Edges are written out once unless they are a stored table already.
+
+    A frontier is broadcast only when its counted size is small; then the edges
+    are just scanned.  A larger one is joined by a shuffle, which AQE splits at
+    hub pages.  Every level keeps its partitioning by (task_id, url), so the anti
+    joins against them move only the newly found urls; now and then the levels
+    are merged to keep the plan short.
     """
     parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = edges.select("task_id", F.col("src").alias("url"), "dst")
+    if not edges_stored:
+        links = checkpointed(links.distinct())
     # seeds may start at different depths (site root 0, sitemap urls 1)
-    start = checkpointed(seeds.groupBy(*KEY).agg(F.min("depth").cast("int").alias("depth")).repartition(parts, *KEY))
+    start = checkpointed(seeds.groupBy(*KEY).agg(F.min("depth").cast("int").alias("depth")))
     depths = sorted(r["depth"] for r in start.select("depth").distinct().collect())  # a handful of start depths
-    reached, frontier, depth = None, None, depths[0] if depths else 0
+    levels, frontier, depth = [], None, depths[0] if depths else 0
     while True:
-        level = start.where(F.col("depth") == depth)
+        level = start.where(F.col("depth") == depth).select(*KEY) if depth in depths else None
         if frontier is not None:
-            found = links.join(frontier.select(*KEY), KEY).select("task_id", F.col("dst").alias("url")).distinct()
-            level = level.select(*KEY).unionByName(found).distinct().withColumn("depth", F.lit(depth))
-        if reached is not None:
-            level = level.join(reached.select(*KEY), KEY, "left_anti")
-        level = checkpointed(level.select(*KEY, "depth").repartition(parts, *KEY))
-        empty = level.isEmpty()
-        if not empty:
-            reached = level if reached is None else reached.unionByName(level)
+            found = links.join(frontier, KEY).select("task_id", F.col("dst").alias("url"))
+            level = (found if level is None else level.unionByName(found)).distinct()
+        if level is None:
+            level = start.select(*KEY).limit(0)
+        for known in levels:
+            level = level.join(known.select(*KEY), KEY, "left_anti")
+        level = checkpointed(level.withColumn("depth", F.lit(depth)).repartition(parts, *KEY))
+        rows, size = _sized(level)
+        if rows:
+            levels.append(level)
+        if len(levels) > MERGE_LEVELS:
+            levels = [checkpointed(_union(levels).repartition(parts, *KEY))]
         waiting = any(d > depth for d in depths)
-        if (empty and not waiting) or (max_depth and depth >= max_depth):
+        if (not rows and not waiting) or (max_depth and depth >= max_depth):
             break
-        if max_pages and not waiting and _all_full(reached, max_pages):
+        if max_pages and not waiting and _all_full(_union(levels), max_pages):
             break
-        frontier, depth = level, depth + 1
-    out = start.limit(0) if reached is None else reached
+        frontier = level.select(*KEY)
+        if size <= BROADCAST_BYTES:
+            frontier = F.broadcast(frontier)
+        depth += 1
+    out = _union(levels) if levels else start.limit(0)
     if max_depth:
         out = out.where(F.col("depth") <= max(max_depth, *depths, 0))
     if max_pages:

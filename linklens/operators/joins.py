@@ -72,18 +72,26 @@ def rule_page_counts(rules: DataFrame, root_counts: DataFrame, domain_counts: Da
                      domains: DataFrame) -> DataFrame:
     """Pages a rule touches: root counts, domain counts, tickets, occurrences, else 0.
 
-    Each source is reduced to the rules' targets by a join on a pre-aggregated key.
+    Every source is cut down to the rules' targets by a semi join before it is aggregated.
     """
     r = rules.withColumn("target", D.rule_target(F.col("domain")))
+    targets = r.select("target").distinct()
+
+    def on_targets(df, key, *columns):
+        return df.select(F.col(key).alias("target"), *columns).join(targets, "target", "left_semi")
+
+    def page_counts(key, name):
+        return R.ticket_page_counts(on_targets(tickets, key, "page_url"), "target").withColumnRenamed("page_count", name)
+
+    def occurrences(key, name):
+        return R.occurrences_by(on_targets(domains, key, "occurrence_count"), "target").withColumnRenamed("total_occurrences", name)
     exact, root = F.col("match_type") == "exact", F.col("match_type") == "root"
-    per_domain = domain_counts.groupBy("domain").agg(F.max("page_count").alias("by_domain"))
+    per_domain = on_targets(domain_counts, "domain", "page_count").groupBy("target").agg(F.max("page_count").alias("by_domain"))
     out = (
         r.join(root_counts.select(F.col("root_domain").alias("target"), F.col("page_count").alias("by_root")), "target", "left")
-        .join(per_domain.withColumnRenamed("domain", "target"), "target", "left")
-        .join(R.ticket_page_counts(tickets, "root_domain").toDF("target", "ticket_root"), "target", "left")
-        .join(R.ticket_page_counts(tickets, "domain").toDF("target", "ticket_domain"), "target", "left")
-        .join(R.occurrences_by(domains, "root_domain").toDF("target", "occ_root"), "target", "left")
-        .join(R.occurrences_by(domains, "domain").toDF("target", "occ_domain"), "target", "left"))
+        .join(per_domain, "target", "left")
+        .join(page_counts("root_domain", "ticket_root"), "target", "left").join(page_counts("domain", "ticket_domain"), "target", "left")
+        .join(occurrences("root_domain", "occ_root"), "target", "left").join(occurrences("domain", "occ_domain"), "target", "left"))
     count = F.coalesce(
         F.when(~exact, F.col("by_root")), F.col("by_domain"),
         F.when(root, F.col("ticket_root")).when(exact, F.col("ticket_domain")),

@@ -47,10 +47,11 @@ def _merged(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def merge_pages(old: DataFrame, new: DataFrame, *version: str) -> DataFrame:
     """M1: last write wins; id, path and depth stay those of the first write.  `new` may repeat a url."""
-    first = keep_first(new, ["task_id", "url"], *(version or ["crawled_at"]))
-    last = keep_last(new, ["task_id", "url"], *(version or ["crawled_at"]))
+    key, at = ["task_id", "url"], F.struct(*(version or ["crawled_at"]))
     stay = [c for c in ("id", "path", "depth") if c in old.columns]
-    last = last.drop(*stay).join(first.select("task_id", "url", *stay), ["task_id", "url"]).select(*old.columns)
+    rest = [c for c in old.columns if c not in (*key, *stay)]
+    last = new.groupBy(*key).agg(F.min_by(F.struct(*stay), at).alias("f"), F.max_by(F.struct(*rest), at).alias("l"))
+    last = last.select(*key, "f.*", "l.*").select(*old.columns)
     out = _merged(old, last, ["task_id", "url"])
     columns = [F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) if c in stay
                else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
@@ -346,7 +347,7 @@ def set_ticket_status(tickets: DataFrame, ids: DataFrame, status: str, remark: s
 def purge_invalid(domains: DataFrame, occurrences: DataFrame, task_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop names that are no domains with their evidence; also what went per scan."""
     scoped = F.lit(True) if task_id is None else F.col("task_id") == task_id
-    bad = scoped & ~D.is_public_domain(F.col("domain"), False)
+    bad = scoped & ~D.is_public_domain("domain", False)
     dropped = domains.where(bad).select("task_id", "domain").distinct()
     kept = domains.where(~bad)
     evidence = occurrences.join(dropped, ["task_id", "domain"], "left_anti").select(*occurrences.columns)

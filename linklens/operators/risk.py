@@ -30,8 +30,8 @@ def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("domain", "root_domain").agg(F.min_by("rule", "order").alias("rule"))
 
 
-def rule_verdict(rule: Column, domain: Column, root: Column) -> Column:
-    """RISK1 for one row: rule, else allow-list, else pending."""
+def rule_verdict(rule: Column) -> Column:
+    """RISK1 for one row (domain, root_domain): rule, else allow-list, else pending."""
     tags = F.coalesce(rule["tags"], F.array().cast("array<string>"))
     category = F.coalesce(rule["category"], F.lit(""))
     tags = F.when((category != "") & ~F.array_contains(tags, category), F.array_prepend(tags, category)).otherwise(tags)
@@ -41,22 +41,46 @@ def rule_verdict(rule: Column, domain: Column, root: Column) -> Column:
         return F.struct(level.alias("risk_level"), t.alias("risk_tags"), r.alias("risk_remark"), F.lit(source).alias("risk_source"))
     return (
         F.when(rule.isNotNull(), verdict(F.coalesce(rule["risk_level"], F.lit("high")), tags, remark, "intel_rule"))
-        .when(D.is_allow_listed(F.lower(domain), F.lower(root)),
+        .when(D.is_allow_listed("domain", "root_domain"),
               verdict(F.lit("safe"), F.array(F.lit(v.TAG_SAFE)), F.lit(v.REMARK_SAFE), "builtin_rule"))
         .otherwise(verdict(F.lit("pending"), F.array().cast("array<string>"), F.lit(""), "pending")))
 
 
+VERDICT = ("risk_level", "risk_tags", "risk_remark", "risk_source")
+
+
 def evaluate(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """RISK1: `domains` with risk_level, risk_tags, risk_remark and risk_source set for every row."""
-    verdicts = match_rules(domains, rules)
-    rest = [c for c in domains.columns if c not in ("risk_level", "risk_tags", "risk_remark", "risk_source")]
-    out = domains.select(*rest).join(verdicts, ["domain", "root_domain"], "left")
-    return out.withColumn("v", rule_verdict(F.col("rule"), F.col("domain"), F.col("root_domain"))).select(*rest, "v.*")
+    """RISK1 for a stored table: `domains` with the four risk columns set for every row.
+
+    The distinct names, a small part of the table, are matched and joined back;
+    only name columns are read for that.
+    """
+    rest = [c for c in domains.columns if c not in VERDICT]
+    out = domains.select(*rest).join(match_rules(domains, rules), ["domain", "root_domain"], "left")
+    return out.withColumn("v", rule_verdict(F.col("rule"))).select(*rest, "v.*")
+
+
+def evaluate_rollup(domains: DataFrame, rules: DataFrame) -> DataFrame:
+    """RISK1 for a roll-up that is still to be computed: its input is read once.
+
+    Each row is matched under its parents and put together again by all of its
+    columns, which keeps the partitioning of the roll-up; no second use of the
+    upstream plan as in `evaluate`.  Rows must be distinct.
+    """
+    rest = [c for c in domains.columns if c not in VERDICT]
+    targets = rules.select(D.rule_target(F.col("domain")).alias("target"), F.struct(*RULE_FIELDS).alias("rule"))
+    parents = F.array_distinct(F.array_append(D.parent_names(F.lower(F.col("domain"))), F.lower(F.col("root_domain"))))
+    pairs = domains.select(*rest, F.explode_outer(parents).alias("__parent")).join(targets, F.col("__parent") == F.col("target"), "left")
+    same = F.lower("domain") == F.col("target")
+    valid = F.col("rule").isNotNull() & (same | F.col("rule.match_type").isin("root", "wildcard"))
+    order = F.when(valid, F.struct(F.when(same, 1).otherwise(2), F.col("rule.id")))
+    best = pairs.groupBy(*rest).agg(F.min_by("rule", order).alias("rule"))
+    return best.withColumn("v", rule_verdict(F.col("rule"))).select(*rest, "v.*")
 
 
 def allow_listed(domains: DataFrame) -> DataFrame:
     """Rows under an allow-listed name."""
-    return domains.where(D.is_allow_listed(F.lower("domain"), F.lower("root_domain")))
+    return domains.where(D.is_allow_listed("domain", "root_domain"))
 
 
 def retest_pages(tickets: DataFrame, responses: DataFrame, run_ts: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from linklens.operators import rollup as R
 def site_domains(hits: DataFrame, rules: DataFrame, run_ts: Column) -> DataFrame:
     """External domains of a scan with their risk, as first inserted."""
     rolled = R.domain_rollup(hits.where(F.col("side") == "external"))
-    return K.evaluate(rolled, rules).withColumn("verify_status", F.lit("unverified")).withColumn("created_at", run_ts)
+    return K.evaluate_rollup(rolled, rules).withColumn("verify_status", F.lit("unverified")).withColumn("created_at", run_ts)
 
 
 def site_subdomains(hits: DataFrame, run_ts: Column) -> DataFrame:
@@ -42,6 +42,6 @@ def risky_domains(pages: DataFrame, rules: DataFrame, n: int = 1000) -> DataFram
     per_domain = per_task.groupBy("domain", "root_domain").agg(
         F.sum("occurrence_count").alias("total_occurrences"), F.count("*").alias("task_count"),
         F.bool_or("has_link").alias("has_link"), F.bool_or("has_text").alias("has_text"))
-    listed = K.evaluate(per_domain, rules)
+    listed = K.evaluate_rollup(per_domain, rules)
     return (listed.select("domain", "root_domain", "total_occurrences", "task_count", "has_link", "has_text", "risk_level")
             .orderBy(F.desc("total_occurrences"), "domain").limit(n))

@@ -46,5 +46,5 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     running = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__p", F.coalesce(running, F.lit(0)).alias("__o"))
-    out = ranged.join(offsets, "__p")
+    out = ranged.join(F.broadcast(offsets), "__p")  # one row per shuffle partition
     return out.select((F.col("__o") + F.col("__i") + 1).alias(name), *df.columns)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from linklens import fixed_values as v
 from linklens.functions import urls as U
+from linklens.functions.domains import with_target_root
+from linklens.functions.text import html_title
 from linklens.schemas import RESPONSES
 
 
@@ -15,6 +17,15 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.format(fmt).schema(RESPONSES).load(path)
 
 
+def spread(pages: DataFrame, key: str) -> DataFrame:
+    """Distribute a scan that has fewer splits than the cluster has cores; larger inputs stay as they are read.
+
+    Only for a plain file scan: its number of splits is known without running anything.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.isStreaming or pages.rdd.getNumPartitions() >= cores else pages.repartition(cores, key)
+
+
 def is_text_content(content_type: Column, url: Column) -> Column:
     """Is the body text worth keeping?"""
     ct = F.lower(F.coalesce(content_type, F.lit("")))
@@ -57,7 +68,6 @@ def page_record(responses: DataFrame) -> DataFrame:
     """Page row of a response: path and the title shown for assets."""
     kind = resource_kind(F.col("content_type"), F.col("url"))
     p = U.path(F.col("url"))
-    from linklens.functions.text import html_title
     title = F.when(kind == "js", F.concat(F.lit("[JS] "), p)).when(kind == "css", F.concat(F.lit("[CSS] "), p)).otherwise(
         html_title(F.col("html")))
     return responses.select("task_id", U.safe_url(F.col("url")).alias("url"), p.alias("path"), "status_code",
@@ -70,7 +80,7 @@ def prepare_pages(responses: DataFrame, tasks: DataFrame) -> DataFrame:
     `tasks` is joined without a hint: Spark broadcasts it only when its size
     statistics are under the threshold.
     """
-    sites = tasks.select(F.col("task_id"), U.host(F.col("target_url")).alias("target_host"))
+    sites = with_target_root(tasks.select(F.col("task_id"), U.host(F.col("target_url")).alias("target_host")), "target_host")
     return (
         responses.withColumn("resource", resource_kind(F.col("content_type"), F.col("url")))
         .select("task_id", F.col("url").alias("page_url"), "html", "resource")

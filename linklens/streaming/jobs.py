@@ -75,7 +75,7 @@ def write_batch(pages: DataFrame, batch_id: int, store: str, rules: DataFrame |
     try:
         per_domain = R.domain_rollup(hits.where(F.col("side") == "external"))
         if rules is not None:
-            per_domain = K.evaluate(per_domain, rules)
+            per_domain = K.evaluate_rollup(per_domain, rules)
         else:
             per_domain = per_domain.withColumns({"risk_level": F.lit("pending"), "risk_tags": F.array().cast("array<string>"),
                                                  "risk_remark": F.lit(""), "risk_source": F.lit("pending")})
