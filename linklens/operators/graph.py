@@ -28,7 +28,6 @@ def new_urls(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 BROADCAST_BYTES = 32 << 20
-MERGE_LEVELS = 8
 
 
 def _union(levels: list[DataFrame]) -> DataFrame:
@@ -50,11 +49,9 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int
 
     A frontier is broadcast only when its counted size is small; then the edges
     are just scanned.  A larger one is joined by a shuffle, which AQE splits at
-    hub pages.  Every level keeps its partitioning by (task_id, url), so the anti
-    joins against them move only the newly found urls; now and then the levels
-    are merged to keep the plan short.
+    hub pages.  Per level the found urls and the keys of the reached ones are
+    shuffled once; page contents never are.
     """
-    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = edges.select("task_id", F.col("src").alias("url"), "dst")
     if not edges_stored:
         links = checkpointed(links.distinct())
@@ -69,14 +66,12 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int
             level = (found if level is None else level.unionByName(found)).distinct()
         if level is None:
             level = start.select(*KEY).limit(0)
-        for known in levels:
-            level = level.join(known.select(*KEY), KEY, "left_anti")
-        level = checkpointed(level.withColumn("depth", F.lit(depth)).repartition(parts, *KEY))
+        if levels:
+            level = level.join(_union(levels).select(*KEY), KEY, "left_anti")
+        level = checkpointed(level.withColumn("depth", F.lit(depth)))
         rows, size = _sized(level)
         if rows:
             levels.append(level)
-        if len(levels) > MERGE_LEVELS:
-            levels = [checkpointed(_union(levels).repartition(parts, *KEY))]
         waiting = any(d > depth for d in depths)
         if (not rows and not waiting) or (max_depth and depth >= max_depth):
             break
