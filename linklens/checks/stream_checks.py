@@ -8,6 +8,7 @@ from linklens.checks.extract_checks import HITS
 from linklens.checks.registry import check
 from linklens.checks.risk_checks import RETEST_SQL, domains, run_ts, tickets
 from linklens.operators import extract as X
+from linklens.operators import merge as M
 from linklens.plans import retest
 from linklens.session import ensure_checkpoint_dir
 from linklens.streaming import jobs as J
@@ -48,11 +49,20 @@ def page_stream_table(t):
     return t.fx_pages.select("task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host")
 
 
+def refreshed_counts(t):
+    out = run_folder(t)
+    M.refresh_page_counts(t.fx_occurrences, f"{out}/roots", f"{out}/domains")
+    return t.spark.read.schema("root_domain STRING, page_count BIGINT").parquet(f"{out}/roots")
+
+
+check("m26_page_count_tables", refreshed_counts, "select root_domain, count(distinct page_url) as page_count from fx_occurrences group by 1")
+
+
 def event_pages(df):
     return df.select(F.col("ts").cast("timestamp").alias("crawled_at"), F.col("user_id").cast("int").alias("task_id"), F.col("props").alias("url"))
 
 
-RATE = """select task_id, strftime(to_timestamp(s) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as window_start, count(*) as pages from
+RATE = """select task_id, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as pages from
  (select cast(user_id as int) as task_id, unnest(range(cast(floor(epoch(ts)) as bigint) - 4, cast(floor(epoch(ts)) as bigint) + 1)) as s from events) group by 1, 2"""
 
 

@@ -89,31 +89,29 @@ def with_normalized_link(df: DataFrame, base: str, raw: Column, out: str) -> Dat
     """
     c, keep = F.col, df.columns
     own_host = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"
-    df = (
-        df.withColumn("__l", F.regexp_replace(usable_link(raw), r"#.*$", ""))
-        .withColumn("__bs", scheme(c(base)))
-        .withColumn("__rel", (scheme(c("__l")) == c("__bs")) & ~c("__l").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"))
-        .withColumn("__l", F.when(c("__rel"), F.regexp_replace(c("__l"), SCHEME, "")).otherwise(c("__l")))
-        .withColumn("__s", F.when(c("__rel"), F.lit("")).otherwise(scheme(c("__l"))))
-        .withColumn("__own", c("__l").rlike(own_host) | (c("__s") != ""))
-        .withColumn("__os", F.when(c("__s") == "", c("__bs")).otherwise(c("__s")))
-        .withColumn("__n", F.when(c("__own"), netloc(c("__l"))).otherwise(netloc(c(base))))
-        .withColumn("__p", raw_path(c("__l")))
-        .withColumn("__q", query(c("__l")))
-        .withColumn("__b", raw_path(c(base)))
-        .withColumn("__dir", F.regexp_replace(F.regexp_extract(c("__b"), r"^(.*/)?", 0), r"(?<=/)/+", ""))
-        .withColumn("__abs", F.when(c("__p").startswith("/"), c("__p")).otherwise(F.concat(
-            F.when(c("__dir") == "", F.lit("/")).otherwise(c("__dir")), F.regexp_replace(c("__p"), r"/{2,}", "/"))))
-        .withColumn("__path", F.when(c("__own"), c("__p")).when(c("__p") == "", c("__b")).otherwise(_fold_dots(c("__abs"))))
-        .withColumn("__q", F.when(~c("__own") & (c("__p") == "") & (c("__q") == ""), query(c(base))).otherwise(c("__q")))
-        .withColumn("__port", F.when((c("__os") == "http") & c("__n").endswith(":80"), 3).when(
-            (c("__os") == "https") & c("__n").endswith(":443"), 4).otherwise(0))
-        .withColumn(out, F.when(
+    absolute = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
+    directory = F.regexp_replace(F.regexp_extract(c("__b"), r"^(.*/)?", 0), r"(?<=/)/+", "")
+    steps = [
+        {"__l": F.regexp_replace(usable_link(raw), r"#.*$", ""), "__bs": scheme(c(base)), "__b": raw_path(c(base))},
+        {"__rel": (scheme(c("__l")) == c("__bs")) & ~c("__l").rlike(absolute)},
+        {"__l": F.when(c("__rel"), F.regexp_replace(c("__l"), SCHEME, "")).otherwise(c("__l"))},
+        {"__s": F.when(c("__rel"), F.lit("")).otherwise(scheme(c("__l"))), "__p": raw_path(c("__l")), "__q": query(c("__l")), "__dir": directory},
+        {"__own": c("__l").rlike(own_host) | (c("__s") != ""), "__os": F.when(c("__s") == "", c("__bs")).otherwise(c("__s")),
+         "__abs": F.when(c("__p").startswith("/"), c("__p")).otherwise(F.concat(
+             F.when(c("__dir") == "", F.lit("/")).otherwise(c("__dir")), F.regexp_replace(c("__p"), r"/{2,}", "/")))},
+        {"__n": F.when(c("__own"), netloc(c("__l"))).otherwise(netloc(c(base))),
+         "__path": F.when(c("__own"), c("__p")).when(c("__p") == "", c("__b")).otherwise(_fold_dots(c("__abs"))),
+         "__q": F.when(~c("__own") & (c("__p") == "") & (c("__q") == ""), query(c(base))).otherwise(c("__q"))},
+        {"__port": F.when((c("__os") == "http") & c("__n").endswith(":80"), 3).when(
+            (c("__os") == "https") & c("__n").endswith(":443"), 4).otherwise(0)},
+        {out: F.when(
             c("__l").isNotNull() & c("__os").isin("http", "https"),
             F.concat(c("__os"), F.lit("://"), F.left(c("__n"), F.length(c("__n")) - c("__port")),
                      F.when(c("__path") == "", F.lit("/")).otherwise(c("__path")),
-                     F.when(c("__q") != "", F.concat(F.lit("?"), c("__q"))).otherwise(F.lit("")))))
-    )
+                     F.when(c("__q") != "", F.concat(F.lit("?"), c("__q"))).otherwise(F.lit(""))))},
+    ]
+    for step in steps:
+        df = df.withColumns(step)
     return sealed(df.select(*[k for k in keep if k != out], out), out)
 
 

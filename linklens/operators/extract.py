@@ -188,17 +188,15 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     inline = F.filter(all_matches(html, SCRIPT_BLOCK), lambda b: ~F.regexp_extract(b, SCRIPT_OPEN, 0).rlike(
         r"(?i)[\s\"'/]src\s*(?:=|>|\s)"))
     code = F.transform(inline, lambda b: F.regexp_replace(F.regexp_replace(b, SCRIPT_OPEN, ""), SCRIPT_CLOSE, ""))
-    parsed = (
-        pages.withColumn("html", F.coalesce(html, F.lit("")))
-        .withColumn("page_host", U.host(F.col("page_url")))
-        .withColumn("title", F.when(is_html, decode_entities(D.strip(
-            F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))))
-        .withColumn("tags", F.when(is_html, all_matches(F.regexp_replace(html, NO_BODIES, "<$1$2$3$4"), TAG)))
-        .withColumn("comments", F.when(is_html, all_matches(html, COMMENT, 1)))
-        .withColumn("scripts", F.when(is_html, code))
-        .withColumn("styles", F.when(is_html, all_matches(html, STYLE_BODY, 1)))
-        .withColumn("body", F.when(is_html, visible_text(html)))
-        .withColumn("body_lower", F.lower(F.col("body"))))
+    parsed = pages.withColumns({"html": F.coalesce(html, F.lit("")), "page_host": U.host(F.col("page_url"))})
+    parsed = parsed.withColumns({
+        "title": F.when(is_html, decode_entities(D.strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))),
+        "tags": F.when(is_html, all_matches(F.regexp_replace(html, NO_BODIES, "<$1$2$3$4"), TAG)),
+        "comments": F.when(is_html, all_matches(html, COMMENT, 1)),
+        "scripts": F.when(is_html, code),
+        "styles": F.when(is_html, all_matches(html, STYLE_BODY, 1)),
+        "body": F.when(is_html, visible_text(html))})
+    parsed = parsed.withColumn("body_lower", F.lower(F.col("body")))
     return with_effective_base(parsed)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linklens.functions import domains as D
 from linklens.functions import text as T
 from linklens.functions import urls as U
+from linklens.operators.merge import keep_first
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, upper_id: int, parts: int, **options) -> DataFrame:
@@ -30,7 +31,7 @@ def rows_to_copy(source: DataFrame, target: DataFrame, key: list[str]) -> DataFr
     rows = without_nul(rows)
     if "url" in rows.columns:
         rows = rows.withColumn("url", U.safe_url(F.col("url")))
-    return rows.dropDuplicates(key).join(target.select(*key), key, "left_anti").select(*source.columns)
+    return keep_first(rows, key, "id").join(target.select(*key), key, "left_anti").select(*source.columns)
 
 
 def compare_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
