@@ -107,8 +107,9 @@ check("f13_context_around", lambda t: docs(t).select("doc_id", T.context_around(
       f"select doc_id, {cut('text', 'target', 60, 60, chr(39) * 2, False)} as s, '' as s0 from {DOCS_SQL}")
 check("f14_html_title", lambda t: t.pages.select("page_id", T.html_title(F.col("html")).alias("title")),
       r"select page_id, left(regexp_replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '\s+', ' ', 'g'), 150) as title from pages")
-check("f15_safe_url", lambda t: t.documents.select("doc_id", U.safe_url(F.concat(F.lit("https://x.com/"), F.col("text"))).alias("url")).select("doc_id", (F.octet_length("url") <= 2000).alias("fits") | (F.length("url") <= 800), F.octet_length("url").alias("n"))
-      .toDF("doc_id", "fits", "n"))
+check("f15_safe_url", lambda t: t.documents.select("doc_id", U.safe_url(F.concat(F.lit("https://x.com/"), F.col("text"))).alias("url")),
+      """with u as (select doc_id, 'https://x.com/' || text as u from documents), k as (select doc_id, max(n) as n from (select doc_id, u, unnest(range(500, 2001)) as n from u) where strlen(left(u, n)) <= 2000 group by 1)
+      select u.doc_id, case when length(u) > 800 and strlen(u) > 2000 then left(u, k.n) else u end as url from u left join k using (doc_id)""")
 check("f16_evidence_truncation", lambda t: t.documents.select("doc_id", T.cut_raw_match(F.col("text")).alias("raw"), T.cut_snippet(F.col("text")).alias("snippet")),
       "select doc_id, left(text, 500) as raw, left(text, 1000) as snippet from documents")
 check("f17_url_path", lambda t: t.pages.select("page_id", U.path(F.col("url")).alias("path")),

@@ -187,7 +187,7 @@ SITEMAP_HEADER = ['<?xml version="1.0" encoding="UTF-8"?>',
                   '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">']
 SITEMAP_FOOTER = ["</urlset>"]
 RULE_FILE_HEADER = [
-    "# 网站外部域名提取系统 - 风险情报规则库导出文件",
+    "# 风险情报规则库导出文件",
     "# 格式规范: 域名,风险等级,分类,标签(斜杠/分隔),备注说明",
     "# 风险等级支持: critical(严重), high(高危), medium(中危), low(低危), safe(官方安全)",
     "# 规则通配说明: 以 *. 开头表示主根域名通配 (*.domain.com)，无 *. 表示精确子域名匹配",
