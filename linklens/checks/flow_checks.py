@@ -96,6 +96,7 @@ check("m8_rule_import", lambda t: __import__("linklens.operators.merge", fromlis
       """select domain, match_type, risk_level, remark from fx_profiles union all select 'bulk' || k || '.net', 'root', 'low', 'line ' || n from (select id % 7 as k, max(id) as n from fx_profiles group by 1)""")
 
 # exports
+EFF_LEVEL = "case " + " ".join(f"when bool_or(ed.risk_level = '{x}') then '{x}'" for x in v.RISK_LEVELS[:-1]) + " else 'pending' end"
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 YES = "case when {0} then '是' else '否' end"
 
@@ -113,6 +114,13 @@ ED_CSV = header(v.DOMAIN_HEADER, ["domain", "root_domain", "occurrence_count", l
 check("s14_domain_csv", lambda t: E.domain_csv(t.fx_external_domains.withColumn("risk_tags", F.array(F.lit("a"), F.lit("b")))), f"select {ED_CSV} from fx_external_domains")
 check("s15_domain_json", lambda t: E.domain_json(t.fx_external_domains.select("task_id", "domain", "occurrence_count", "risk_level")),
       """select '{"task_id":' || task_id || ',"domain":"' || domain || '","occurrence_count":' || occurrence_count || ',"risk_level":"' || risk_level || '"}' as value from fx_external_domains""")
+check("s17_subdomain_json", lambda t: E.json_lines(t.fx_subdomains.select("task_id", "domain", "has_link").orderBy("domain")),
+      """select '{"task_id":' || task_id || ',"domain":"' || domain || '","has_link":' || has_link || '}' as value from fx_subdomains""")
+check("s20_global_json", lambda t: E.global_json(R.global_domains(t.fx_external_domains, t.fx_tasks).select("domain", "root_domain", "total_occurrences", "task_count", "risk_level", "first_seen_at", "last_seen_at", "associated_tasks")
+      .withColumns({"first_seen_at": F.date_format("first_seen_at", "yyyy"), "last_seen_at": F.date_format("last_seen_at", "yyyy")})),
+      f"""with g as (select ed.domain, ed.root_domain, {EFF_LEVEL} as lv, cast(sum(occurrence_count) as bigint) as n, count(*) as k, min(created_at) as a, max(created_at) as z,
+      string_agg('{{"task_id":' || t.task_id || ',"task_name":"' || t.name || '","occurrence_count":' || occurrence_count || '}}', ',' order by t.task_id) as s from fx_external_domains ed join fx_tasks t on t.task_id = ed.task_id where status <> 'deleting' group by 1, 2)
+      select '{{"domain":"' || domain || '","root_domain":"' || root_domain || '","total_occurrences":' || n || ',"task_count":' || k || ',"risk_level":"' || lv || '","first_seen_at":"' || strftime(a, '%Y') || '","last_seen_at":"' || strftime(z, '%Y') || '","associated_tasks":[' || s || ']}}' as value from g""")
 check("s15_export_head", lambda t: E.export_meta(t.fx_external_domains, t.fx_tasks),
       "select t.task_id, t.target_url, count(domain) as total_domains from fx_tasks t left join fx_external_domains ed on ed.task_id = t.task_id group by 1, 2")
 check("s16_evidence_csv", lambda t: E.evidence_rows(t.fx_occurrences, t.fx_tasks, "o.s2.gov.cn"),

@@ -8,6 +8,7 @@ from linklens.checks.registry import check
 from linklens.operators import merge as M
 from linklens.operators import risk as K
 from linklens.operators import rollup as R
+from linklens.plans import retest
 
 RUN = "2030-01-01 00:00:00"
 
@@ -113,6 +114,10 @@ check("risk4_a26_domain_over_tasks", lambda t: K.retest_domain_over_tasks(t.fx_o
       f"""with {RESULTS} select domain, count(*) as task_count, case when bool_or(verify_status = 'verified_failed') then 'verified_failed'
       when bool_and(verify_status = 'verified_clean') then 'verified_clean' else 'unverified' end as overall_status from verdict group by 1""")
 
+check("risk4_domain_retest_job", lambda t: domain_verdicts_applied(t, 3),
+      f"""with {RESULTS} select domain, count(*) as task_count, case when bool_or(verify_status = 'verified_failed') then 'verified_failed'
+      when bool_and(verify_status = 'verified_clean') then 'verified_clean' else 'unverified' end as overall_status from verdict group by 1""")
+
 # mutations
 PAGE_OLD = "url, path, depth, status_code, title"
 check("m1_s10_page_upsert", lambda t: M.merge_pages(
@@ -195,14 +200,13 @@ APPLIED = f"""with vd as ({RETEST_SQL}), a as (select r.id, r.task_id, r.domain,
 """
 check("m13_page_verdicts_applied", lambda t: M.apply_page_verdicts(tickets(t), retested(t), run_ts()).select("id", "task_id", "domain", "verify_status", "manual_status", "manual_remark"),
       APPLIED + "select * from a")
-check("m14_a30_domains_closed", lambda t: M.close_domains(domains(t), M.apply_page_verdicts(tickets(t), retested(t), run_ts()), retested(t)).select("task_id", "domain", "verify_status"),
+check("m14_a30_domains_closed", lambda t: retest.retest_all(tickets(t), domains(t), t.fx_responses, run_ts())[1].select("task_id", "domain", "verify_status"),
       APPLIED + """, s as (select task_id, domain, bool_or(verify_status = 'verified_failed') as f, bool_and(verify_status in ('verified_clean','page_removed')) as c from a group by 1, 2)
       select ed.task_id, ed.domain, case when f then 'verified_failed' when c then 'verified_clean' else verify_status end as verify_status from fx_external_domains ed left join s on s.task_id = ed.task_id and s.domain = ed.domain""")
 
 
 def domain_verdicts_applied(t, i):
-    res = K.retest_page_results(t.fx_occurrences, t.fx_responses)
-    return M.apply_domain_verdicts(domains(t), tickets(t), R.domain_verdicts(res, "task_id", "domain"), res, run_ts())[i]
+    return retest.retest_domains(domains(t), tickets(t), t.fx_occurrences, t.fx_responses, run_ts())[i]
 
 
 check("m15_domain_verdict_on_domains", lambda t: domain_verdicts_applied(t, 0).select("task_id", "domain", "verify_status"),

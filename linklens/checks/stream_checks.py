@@ -9,7 +9,7 @@ from linklens.checks.registry import check
 from linklens.checks.risk_checks import RETEST_SQL, domains, run_ts, tickets
 from linklens.operators import extract as X
 from linklens.operators import merge as M
-from linklens.plans import retest
+from linklens.plans import retest, scan
 from linklens.session import ensure_checkpoint_dir
 from linklens.streaming import jobs as J
 
@@ -49,6 +49,19 @@ def page_stream_table(t):
     return t.fx_pages.select("task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host")
 
 
+def written_scan(t, i):
+    rules = t.fx_profiles.withColumn("tags", F.split("tags_text", "/"))
+    return scan.write_scan(page_stream_table(t), rules, run_ts(), run_folder(t))[i]
+
+
+check("scan_job_domains", lambda t: written_scan(t, 0).select("task_id", "domain", "occurrence_count", "sample_page_url", "risk_level", "verify_status"),
+      HITS + """select task_id, domain, count(*) as occurrence_count, min(page_url) as sample_page_url, 'pending' as risk_level, 'unverified' as verify_status from hits where side = 'external' group by 1, 2""")
+check("scan_job_subdomains", lambda t: written_scan(t, 1).select("task_id", "domain", "occurrence_count"),
+      HITS + "select task_id, domain, count(*) as occurrence_count from hits where side = 'subdomain' group by 1, 2")
+check("scan_job_evidence", lambda t: written_scan(t, 2).groupBy("page_url", "domain").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")),
+      HITS + "select page_url, domain, least(count(*), 5) as n, least(count(*), 5) as ids from hits group by 1, 2")
+
+
 def refreshed_counts(t):
     out = run_folder(t)
     M.refresh_page_counts(t.fx_occurrences, f"{out}/roots", f"{out}/domains")
@@ -113,6 +126,10 @@ CYCLE = f"""with vd as ({RETEST_SQL}), q as (select vd.* from vd join fx_tickets
 check("t8_q14_retest_cycle_stats", lambda t: retest.retest_cycle(tickets(t), domains(t), t.fx_tasks, t.fx_responses, run_ts())[2].select("total_tested", "cleaned_count", "failed_count", "removed_count", "error_count"),
       CYCLE.format("'unverified','verified_failed'") + """select count(*) as total_tested, count(*) filter (where verify_status = 'verified_clean') as cleaned_count, count(*) filter (where verify_status = 'verified_failed') as failed_count,
       count(*) filter (where verify_status = 'page_removed') as removed_count, count(*) filter (where verify_status = 'error') as error_count from q""")
+check("t8_retest_cycle_domains", lambda t: retest.retest_cycle(tickets(t), domains(t), t.fx_tasks, t.fx_responses, run_ts())[1].select("task_id", "domain", "verify_status"),
+      CYCLE.format("'unverified','verified_failed'") + """, a as (select r.task_id, r.domain, coalesce(q.verify_status, r.verify_status) as s, q.id is not null as hit from fx_tickets r left join q on q.id = r.id),
+      g as (select task_id, domain, bool_or(hit and s = 'verified_failed') as f, bool_or(hit and s in ('verified_clean','page_removed')) and bool_and(s in ('verified_clean','page_removed')) as c from a group by 1, 2)
+      select ed.task_id, ed.domain, case when f then 'verified_failed' when c then 'verified_clean' else verify_status end as verify_status from fx_external_domains ed left join g on g.task_id = ed.task_id and g.domain = ed.domain""")
 check("t8_q15_rollback_audit_tickets", lambda t: retest.rollback_audit(tickets(t), domains(t), t.fx_tasks, t.fx_responses, run_ts())[0].select("id", "verify_status", "manual_status"),
       CYCLE.format("'verified_clean','page_removed'") + """select r.id, coalesce(q.verify_status, r.verify_status) as verify_status, case when q.verify_status = 'verified_failed' then 'pending' when q.verify_status in ('verified_clean','page_removed') then 'resolved'
       else r.manual_status end as manual_status from fx_tickets r left join q on q.id = r.id""")

@@ -1,24 +1,36 @@
-"""Periodic jobs over the ticket table (T8): retest cycle and regression audit."""
+"""Retest jobs (T8, RISK3, RISK4): the periodic cycle, the regression audit and the retest of whole domains.
+
+The verdicts come from a join with response bodies and feed several tables, so
+they are fixed with a checkpoint: the bodies are read once per job.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from linklens.operators import merge as M
 from linklens.operators import risk as K
 from linklens.operators import rollup as R
 from linklens.operators import search as S
+from linklens.session import checkpointed
+
+
+def _verdicts(tickets: DataFrame, queue: DataFrame | None, responses: DataFrame, run_ts: Column) -> DataFrame:
+    due = tickets if queue is None else tickets.join(queue.select("id"), "id", "left_semi")
+    return checkpointed(K.retest_pages(due, responses, run_ts))
 
 
-def _queued(tickets: DataFrame, queue: DataFrame) -> DataFrame:
-    return tickets.join(queue.select("id"), "id", "left_semi")
+def retest_all(tickets: DataFrame, domains: DataFrame, responses: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Test every ticket that has a fresh response; next tickets, next domains, verdicts."""
+    verdicts = _verdicts(tickets, None, responses, run_ts)
+    after = M.apply_page_verdicts(tickets, verdicts, run_ts)
+    return after, M.close_domains(domains, after, verdicts), verdicts
 
 
 def retest_cycle(tickets: DataFrame, domains: DataFrame, tasks: DataFrame, responses: DataFrame,
                  run_ts: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Test open tickets against fresh responses; next tickets, next domains, cycle statistics."""
-    verdicts = K.retest_pages(_queued(tickets, S.retest_queue(tickets, tasks)), responses, run_ts)
+    verdicts = _verdicts(tickets, S.retest_queue(tickets, tasks), responses, run_ts)
     after = M.apply_page_verdicts(tickets, verdicts, run_ts)
     return after, M.close_domains(domains, after, verdicts), R.cycle_stats(verdicts)
 
@@ -26,7 +38,16 @@ def retest_cycle(tickets: DataFrame, domains: DataFrame, tasks: DataFrame, respo
 def rollback_audit(tickets: DataFrame, domains: DataFrame, tasks: DataFrame, responses: DataFrame,
                    run_ts: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Test closed tickets again; regressions are reopened, all other verdicts applied as in a cycle."""
-    verdicts = K.retest_pages(_queued(tickets, S.rollback_queue(tickets, tasks)), responses, run_ts)
+    verdicts = _verdicts(tickets, S.rollback_queue(tickets, tasks), responses, run_ts)
     after = M.apply_page_verdicts(tickets, verdicts, run_ts)
     after, reopened = M.mark_rollbacks(after, M.close_domains(domains, after, verdicts), verdicts, run_ts)
     return after, reopened, R.rollback_stats(verdicts)
+
+
+def retest_domains(domains: DataFrame, tickets: DataFrame, urls: DataFrame, responses: DataFrame, run_ts: Column,
+                   max_urls: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Test whole domains on their evidence pages; next domains, next tickets, verdicts per scan, status per domain."""
+    results = checkpointed(K.retest_page_results(urls, responses, max_urls))
+    verdicts = R.domain_verdicts(results, "task_id", "domain")
+    d, t = M.apply_domain_verdicts(domains, tickets, verdicts, results, run_ts)
+    return d, t, verdicts, R.overall_status(verdicts, "domain")

@@ -30,6 +30,21 @@ def site_evidence(hits: DataFrame, run_ts: Column) -> DataFrame:
         "is_link", run_ts.alias("created_at"))
 
 
+HITS = ("task_id INT, page_url STRING, domain STRING, root_domain STRING, source_type STRING, raw_match STRING, "
+        "context_snippet STRING, is_link BOOLEAN, seq BIGINT, side STRING")
+
+
+def write_scan(pages: DataFrame, rules: DataFrame, run_ts: Column, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Batch job: hits written once, then external domains, subdomains and evidence over the written table.
+
+    The pages are parsed a single time although three tables follow from them;
+    each of these reads only the columns and the side it needs.
+    """
+    X.extract_hits(pages).write.mode("overwrite").partitionBy("side").parquet(f"{folder}/hits")
+    hits = pages.sparkSession.read.schema(HITS).parquet(f"{folder}/hits")
+    return site_domains(hits, rules, run_ts), site_subdomains(hits, run_ts), site_evidence(hits, run_ts)
+
+
 def risky_domains(pages: DataFrame, rules: DataFrame, n: int = 1000) -> DataFrame:
     """Flagship: from stored pages to the cross-scan list of external domains with their risk.
 

@@ -48,9 +48,19 @@ def domain_csv(domains: DataFrame) -> DataFrame:
         _text("sample_page_url"), _text("created_at")).toDF(*v.DOMAIN_HEADER)
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object per row, nested columns included, in the order of the rows."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
 def domain_json(domains: DataFrame) -> DataFrame:
-    """One JSON object per domain, most frequent first."""
-    return domains.orderBy(F.desc("occurrence_count"), "domain").select(F.to_json(F.struct(*domains.columns)).alias("value"))
+    """Most frequent first."""
+    return json_lines(domains.orderBy(F.desc("occurrence_count"), "domain"))
+
+
+def global_json(grouped: DataFrame, limit: int = 100000) -> DataFrame:
+    """Rows of rollup.global_domains with their scans nested, most frequent first."""
+    return json_lines(S.list_global(grouped).limit(limit))
 
 
 def export_meta(domains: DataFrame, tasks: DataFrame) -> DataFrame:
