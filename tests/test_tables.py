@@ -205,3 +205,23 @@ def test_verdict_without_pages(spark):
     res = spark.createDataFrame([(1, "a.io", None, None)], "task_id INT, domain STRING, url STRING, found BOOLEAN")
     r = R.domain_verdicts(res, "task_id", "domain").first()
     assert (r["verify_status"], r["summary"], r["tested_count"]) == ("unverified", v.VERDICT_NONE, 0)
+
+
+def test_live_counts_of_a_stream(spark, tmp_path):
+    src = str(tmp_path / "src")
+    page_file(spark, src, ["https://www.site.com/1", "https://a.site.com/2"])
+    schema = "task_id INT, page_url STRING, html STRING, resource STRING, target_host STRING"
+    counts = J.live_counts(X.extract_hits(J.read_stream(spark, src, schema)))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table("live").collect()] == [(1, 2, 2)]
+
+
+def test_duplicate_responses_are_dropped_within_the_watermark(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:10:00", "2024-01-01 00:20:00"]
+    spark.createDataFrame([(1, "u", t) for t in times] + [(2, "u", times[0])], "task_id INT, url STRING, t STRING").select(
+        "task_id", "url", F.col("t").cast("timestamp").alias("fetched_at")).write.parquet(src)
+    stream = J.first_responses(J.read_stream(spark, src, "task_id INT, url STRING, fetched_at TIMESTAMP"))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(out).select("task_id", "url")) == [(1, "u"), (2, "u")]
