@@ -12,8 +12,6 @@ from linklens.functions import public_suffix as ps
 from linklens.functions import text as T
 from linklens.functions import urls as U
 from linklens.operators import extract as X
-from linklens.operators import merge as M
-from linklens.operators import rollup as R
 from linklens.plans import scan
 from linklens.sources import responses as S
 

@@ -8,6 +8,7 @@ from linklens.checks.extract_checks import labels_sql
 from linklens.checks.registry import check
 from linklens.checks.risk_checks import rules, run_ts, tickets
 from linklens.operators import graph as G
+from linklens.operators import merge as M
 from linklens.operators import rollup as R
 from linklens.sources import copying as C
 from linklens.sources import export as E
@@ -85,12 +86,11 @@ check("s8_w6_seed_list", lambda t: I.parse_seeds(t.fx_raw_links.select(F.col("id
     F.concat(F.lit("  "), F.when(F.col("kind") % 2 == 1, F.lit("http://")).otherwise(F.lit("")), F.lit("h"), "k", F.lit(".com:81/x "))).alias("line"))),
       """select min(id) as line_no, u as target_url, 'h' || k || '.com_扫描' as name, 'pending' as status from (select *, case when kind % 2 = 1 then 'http://' else 'https://' end || 'h' || k || '.com:81/x' as u
       from fx_raw_links where kind not in (0, 4)) group by u, k""")
-LINES = """select id as line_no, case when match_type = 'root' then '*.' || ltrim(domain, '*.') else ltrim(domain, '*.') end || ',' || case when risk_level = 'high' then '' else risk_level end || ', ' || category || ' ,' || tags_text || '//,' || remark as line from fx_profiles"""
 check("s9_rule_lines", lambda t: I.parse_rules(t.fx_profiles.select(F.col("id").alias("line_no"), F.concat(
     F.when(F.col("match_type") == "root", F.lit("*.")).otherwise(F.lit("")), F.ltrim("domain", F.lit("*.")), F.lit(","), F.when(F.col("risk_level") == "high", "").otherwise(F.col("risk_level")),
     F.lit(", "), "category", F.lit(" ,"), "tags_text", F.lit("//,"), "remark").alias("line"))).withColumn("tags", F.array_join("tags", "/")),
       """select id as line_no, ltrim(domain, '*.') as domain, case when match_type = 'root' then 'root' else 'exact' end as match_type, risk_level, category, tags_text as tags, 'import' as source, trim(remark) as remark from fx_profiles""")
-check("m8_rule_import", lambda t: __import__("linklens.operators.merge", fromlist=["x"]).import_rules(
+check("m8_rule_import", lambda t: M.import_rules(
     rules(t), I.parse_rules(rules(t).select(F.col("id").alias("line_no"), F.concat(F.lit("*.bulk"), F.col("id") % 7, F.lit(".net,low,c,t,line "), "id").alias("line"))), run_ts())
       .select("domain", "match_type", "risk_level", "remark"),
       """select domain, match_type, risk_level, remark from fx_profiles union all select 'bulk' || k || '.net', 'root', 'low', 'line ' || n from (select id % 7 as k, max(id) as n from fx_profiles group by 1)""")

@@ -119,7 +119,6 @@ check("risk4_domain_retest_job", lambda t: domain_verdicts_applied(t, 3),
       when bool_and(verify_status = 'verified_clean') then 'verified_clean' else 'unverified' end as overall_status from verdict group by 1""")
 
 # mutations
-PAGE_OLD = "url, path, depth, status_code, title"
 check("m1_s10_page_upsert", lambda t: M.merge_pages(
     t.fx_sitemap_pages.where("status_code <> 404").select("id", "task_id", "url", "path", "depth", "status_code", "title", "crawled_at"),
     t.fx_sitemap_pages.where("status_code <> 200").select(
@@ -134,7 +133,6 @@ check("m2_m3_domain_upsert", lambda t: M.merge_domains(
       """with n as (select task_id, domain, count(*) as n, min(page_url) as p from fx_occurrences where not is_link group by 1, 2)
       select ed.task_id, ed.domain, root_domain, occurrence_count + coalesce(n, 0) as occurrence_count, has_link, has_text or n.n is not null as has_text,
       case when has_link then sample_page_url else coalesce(p, '') end as sample_page_url, risk_level from fx_external_domains ed left join n on n.task_id = ed.task_id and n.domain = ed.domain""")
-MANUAL = "risk_level, risk_source"
 check("m4_manual_risk", lambda t: M.set_manual_risk(domains(t), 7, "cdn.widelyused.net", "critical", ["x", "y"], "seen").select("task_id", "domain", "risk_level", "risk_source", "risk_remark"),
       """select task_id, domain, case when h then 'critical' else risk_level end as risk_level, case when h then 'manual' else risk_source end as risk_source, case when h then 'seen' else 'before' end as risk_remark
       from (select *, task_id = 7 and domain = 'cdn.widelyused.net' as h from fx_external_domains)""")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from linklens.checks.registry import check
-from linklens.functions import text as T
+from linklens.operators import extract as X
 from linklens.operators import joins as J
 from linklens.operators import merge as M
 from linklens.operators import rollup as R
@@ -16,7 +16,6 @@ TOTAL_RISK = "count(*) filter (where risk_level in ('critical','high','medium'))
 EFF_RISK = "case " + " ".join(f"when bool_or(ed.risk_level = '{x}') then '{x}'" for x in LEVELS[:-1]) + " else 'pending' end"
 EFF_STATE = "case " + " ".join(f"when bool_or(ed.verify_status = '{x}') then '{x}'" for x in STATES[:-1]) + " else 'unverified' end"
 PENDING = "r.verify_status in ('unverified','verified_failed') and r.manual_status <> 'ignored'"
-TS = "cast({0} as varchar) as {0}"
 
 
 def text_ts(df, *cols):
@@ -178,7 +177,7 @@ check("j14_rule_propagation", lambda t: J.suffix_matches(
       select task_id, ed.domain, rule_id from fx_external_domains ed join r on ed.root_domain = target or ed.domain = target or suffix(ed.domain, '.' || target)""")
 
 # windows and sets
-check("w1_evidence_cap", lambda t: __import__("linklens.operators.extract", fromlist=["cap_evidence"]).cap_evidence(
+check("w1_evidence_cap", lambda t: X.cap_evidence(
     t.fx_occurrences.withColumn("side", F.lit("external"))).select("task_id", "page_url", "domain", "seq", "raw_match"),
       """select task_id, page_url, domain, seq, raw_match from (select *, row_number() over (partition by task_id, page_url, domain order by seq) as rn
       from fx_occurrences) where rn <= 5""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from linklens.checks.registry import check
 from linklens.checks.rollup_checks import text_ts
+from linklens.operators import rollup as R
 from linklens.operators import search as S
 
 ED = ["task_id", "domain", "root_domain", "occurrence_count", "risk_level", "verify_status"]
@@ -39,7 +40,7 @@ check("q9_evidence_of_domain", lambda t: S.look_up(t.fx_occurrences, domain="cdn
 check("q10_evidence_urls", lambda t: S.evidence_urls(t.fx_occurrences.where("is_link"), t.fx_external_domains),
       """with u as (select distinct task_id, domain, page_url from fx_occurrences where is_link)
       select ed.task_id, ed.domain, coalesce(u.page_url, ed.sample_page_url) as page_url from fx_external_domains ed left join u on u.task_id = ed.task_id and u.domain = ed.domain""")
-check("q11_global_list_page", lambda t: S.page(S.list_global(__import__("linklens.operators.rollup", fromlist=["x"]).global_domains(
+check("q11_global_list_page", lambda t: S.page(S.list_global(R.global_domains(
     t.fx_external_domains, t.fx_tasks, with_tasks=False)), 50, 50).select("domain", "total_occurrences", "task_count"),
       """select domain, cast(sum(occurrence_count) as bigint) as total_occurrences, count(*) as task_count from fx_external_domains ed join fx_tasks t on t.task_id = ed.task_id
       where t.status <> 'deleting' group by domain, root_domain order by 2 desc, 1 limit 50 offset 50""")

@@ -126,8 +126,3 @@ def seeds_with_sitemap(tasks: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
     found = D.sealed(found.withColumn("r", ps.root_from_suffix_length("h", "n")), "r")
     own = found.where(D.is_internal(F.col("h"), F.col("r"), F.col("target_host"), F.col("target_root")))
     return start.unionByName(own.select("task_id", "url", F.lit(1).alias("depth")))
-
-
-def first_discovery(sources: DataFrame) -> DataFrame:
-    """Depth at which each url of a level list is first seen."""
-    return sources.groupBy(*KEY).agg(F.min("depth").alias("depth"))

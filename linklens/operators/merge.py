@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from linklens import fixed_values as v
 from linklens.functions import domains as D
-from linklens.functions import text as T
 from linklens.operators import joins as J
 from linklens.operators import risk
 from linklens.operators import rollup as R
