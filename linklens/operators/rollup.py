@@ -141,7 +141,9 @@ def global_totals(domains: DataFrame, tasks: DataFrame) -> DataFrame:
     totals = per_domain.agg(
         F.countDistinct("domain").alias("total_unique_domains"), F.countDistinct("root_domain").alias("unique_root_domains"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_occurrences"), F.count_if(F.col("tasks") >= 2).alias("shared_domains_count"))
-    return totals.crossJoin(live_tasks(tasks).agg(F.count("*").alias("total_tasks")))  # one row each
+    scans = live_tasks(tasks).agg(F.count("*").alias("total_tasks"))
+    both = totals.unionByName(scans, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def global_risk_histogram(domains: DataFrame) -> DataFrame:
