@@ -1,7 +1,7 @@
 """Queries of the numbered operators with their comparison SQL."""
 
-from linklens.llm import op6_exact_dedup
+from linklens.llm import op2_bpe_chunks, op6_exact_dedup
 
-MODULES = (op6_exact_dedup,)
+MODULES = (op2_bpe_chunks, op6_exact_dedup)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
