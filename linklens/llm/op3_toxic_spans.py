@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from linklens.llm import common as C
 from linklens.llm import words as W
 
 #: Labelled documents of each class that the model is fitted on, at most.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1200, 0: 2400}
 HELD_OUT_MOD = 5
 #: Weights are kept in 2**FEATURE_BITS places; prefixes are counted in bytes.
 FEATURE_BITS, PREFIXES = 18, (4, 5, 6)
@@ -58,6 +59,17 @@ class Tokens:
         self.features = np.stack([W.mix(h, i) >> np.uint64(64 - FEATURE_BITS) for i, h in enumerate(kinds)], axis=1).astype(np.int64) if len(self.starts) else np.zeros((0, 1 + len(PREFIXES)), np.int64)
 
 
+def tokens_of(texts: list[str], powers: W.Powers, together: int = 100) -> SimpleNamespace:
+    """Feature numbers and documents of the tokens of a list of texts."""
+    parts = []
+    for low in range(0, len(texts), together):
+        raw = [t.encode() for t in texts[low:low + together]]
+        parts.append(Tokens(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), powers))
+    counts = np.concatenate([np.diff(p.first) for p in parts])
+    return SimpleNamespace(features=np.concatenate([p.features.astype(np.int32) for p in parts]), first=np.concatenate([[0], np.cumsum(counts)]),
+                           doc=np.repeat(np.arange(len(texts)), counts))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -147,11 +159,11 @@ def chain(first: np.ndarray, emission: np.ndarray, model: Model, pairs: bool = F
     return toxic, odds, counts
 
 
-def chosen_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
+def chosen_features(tokens: SimpleNamespace, toxic: np.ndarray) -> np.ndarray:
     """Which features label tokens: far more frequent in toxic documents, and needed to explain some of them."""
     kinds, docs = tokens.features.shape[1], len(toxic)
-    flat = np.unique(np.stack([tokens.features.ravel(), np.repeat(tokens.doc, kinds)]), axis=1)
-    feature, doc = flat
+    pairs = np.unique(np.concatenate([np.unique(tokens.features[:, k].astype(np.int64) * docs + tokens.doc) for k in range(kinds)]))
+    feature, doc = pairs // docs, pairs % docs
     size = 1 << FEATURE_BITS
     in_toxic = np.bincount(feature, weights=toxic[doc], minlength=size)
     in_clean = np.bincount(feature, weights=1 - toxic[doc], minlength=size)
@@ -169,7 +181,7 @@ def chosen_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     return out
 
 
-def one_of_each(tokens: Tokens, docs: int) -> np.ndarray:
+def one_of_each(tokens: SimpleNamespace, docs: int) -> np.ndarray:
     """Documents of the sample without near copies: the first of those with the same smallest five-word hash."""
     h = W.mix(tokens.features[:, 0].astype(np.uint64))
     five = W.Rolling(h, W.Powers(W.WORD_BASE)).windows(5) if len(h) >= 5 else np.zeros(0, np.uint64)
@@ -193,15 +205,11 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
         return model
     powers = W.Powers(W.BYTE_BASE)
 
-    def tokens_of(some: list[str]) -> Tokens:
-        raw = [t.encode() for t in some]
-        return Tokens(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), powers)
-
-    keep = one_of_each(tokens_of(texts), len(texts))
+    keep = one_of_each(tokens_of(texts, powers), len(texts))
     texts, toxic = [t for t, k in zip(texts, keep, strict=True) if k], toxic[keep]
     if len(set(toxic.tolist())) < 2:
         return fit([], toxic[:1])
-    tokens = tokens_of(texts)
+    tokens = tokens_of(texts, powers)
     names = chosen_features(tokens, toxic)
     tagged = names[tokens.features].any(axis=1) & (toxic[tokens.doc] == 1)
     squares, rng = np.full(size, 1e-2), np.random.default_rng(seed)
@@ -228,7 +236,11 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
             model.bias += d[0]
             model.start[1] += d[1]
             model.moves += d[2:].reshape(2, 2)
-    _, odds, _ = chain(tokens.first, model.emission(tokens.features), model)
+    odds = []
+    for low in range(0, len(texts), BATCH):
+        first = tokens.first[low:low + BATCH + 1]
+        odds.append(chain(first - first[0], model.emission(tokens.features[first[0]:first[-1]]), model)[1])
+    odds = np.concatenate(odds)
     a, b = 1.0, 0.0
     x = np.clip(odds, -30, 30) / 10
     for _ in range(2000):  # two parameters
