@@ -1,12 +1,12 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame operations only.
 
 A text without its white space is cut where its bytes say so, not at fixed
-places, so that texts that share passages share chunks.  Chunks are brought
-together by content: a chunk's SHA-256 becomes its identifier once the bytes of
-all chunks under it are seen to be the same.  Documents are then told apart by
-their ordered identifier lists (recipes).  A document's text leaves its scan task
-only as chunks, once per task and distinct chunk; all later steps move
-identifiers.
+places, so that texts that share passages share chunks.  A chunk's identifier is
+its SHA-256, and a document's recipe the ordered list of its identifiers, computed
+where the text is read.  Documents with a recipe of their own are told apart by
+that.  Of those that share one, the chunks are deduplicated by content: an
+identifier is verified once the bytes of all chunks under it are seen to be the
+same.  Everything else moves and compares recipes, never texts.
 
 Defined results: a null text is empty and all empty texts are one group; rows
 that repeat a doc_id are rows of their own; of equal texts the row with the most
@@ -24,6 +24,7 @@ from linklens.llm import common as C
 #: Bytes of a chunk: at least, at most; a cut comes after five bytes whose residues
 #: modulo four are 0, 1, 2, 3, 0, which is about one place in a thousand.
 LEAST, MOST, RESIDUES = 256, 8192, (0, 1, 2, 3, 0)
+BLANKS = " \t\n\x0b\f\r"
 
 
 def cut_pattern(least: int = LEAST, most: int = MOST, residues: tuple[int, ...] = RESIDUES) -> str:
@@ -32,33 +33,32 @@ def cut_pattern(least: int = LEAST, most: int = MOST, residues: tuple[int, ...]
     return f"(?s).{{{least - n},{most - n}}}?{sets}|.{{1,{most}}}"
 
 
-def chunked(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """row, doc_id, n_points, norm -> chunks of its bytes; an empty text is one empty chunk."""
-    norm = C.text_of(docs).select("row", "doc_id", F.char_length("text").cast("long").alias("n_points"),
-                                  F.regexp_replace("text", f"[{C.BLANK}]+", "").alias("norm"))
+def chunked(docs: DataFrame, rows: DataFrame | None = None, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """row, doc_id, n_points, norm, and the chunks of its bytes; an empty text is one empty chunk."""
+    texts = C.text_of(docs)
+    if rows is not None:
+        texts = texts.join(rows.hint("shuffle_hash"), "row", "left_semi")
+    dense = F.col("text")
+    for blank in BLANKS:
+        dense = F.replace(dense, F.lit(blank), F.lit(""))
+    norm = texts.select("row", "doc_id", F.char_length("text").cast("long").alias("n_points"), dense.alias("norm"))
     # one character for each byte: the pattern's sets are then byte sets
     by_byte = F.decode(F.encode("norm", "UTF-8"), "ISO-8859-1")
     found = F.regexp_extract_all(by_byte, F.lit(cut_pattern(least, most)), F.lit(0))
     return norm.withColumn("chunks", F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(found))
 
 
-def verified_chunks(docs: DataFrame, **cut) -> DataFrame:
-    """key, contents: every chunk identifier with the number of different contents under it."""
-    contents = chunked(docs, **cut).select(F.explode("chunks").alias("chunk")).distinct()
-    return contents.groupBy(F.unhex(F.sha2("chunk", 256)).alias("key")).agg(F.count("*").alias("contents"))
+def recipes(docs: DataFrame, **cut) -> DataFrame:
+    """row, doc_id, n_points, text_sha256, recipe: nothing is shuffled."""
+    return chunked(docs, **cut).select("row", "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"),
+                                       F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe"))
 
 
-def recipes(docs: DataFrame, **cut) -> DataFrame:
-    """row, doc_id, n_points, text_sha256, recipe: ordered list of verified chunk identifiers."""
-    parts = chunked(docs, **cut).select("row", "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.posexplode("chunks").alias("pos", "chunk"))
-    first = F.col("pos") == 0
-    parts = parts.select("row", "pos", F.unhex(F.sha2("chunk", 256)).alias("key"), F.when(first, F.col("doc_id")).alias("doc_id"),
-                         F.when(first, F.col("n_points")).alias("n_points"), F.when(first, F.col("text_sha256")).alias("text_sha256"))
-    one = F.when(F.col("contents") == 1, F.col("key")).otherwise(F.raise_error(F.lit("chunks of different bytes share a SHA-256")))
-    known = parts.join(verified_chunks(docs, **cut), "key").withColumn("id", one)
-    listed = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return known.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_points").alias("n_points"), F.max("text_sha256").alias("text_sha256"),
-                                    F.transform(listed, lambda x: x["id"]).alias("recipe"))
+def verified_ids(docs: DataFrame, rows: DataFrame, **cut) -> DataFrame:
+    """id, contents: identifiers of the chunks of the given rows, with the number of different contents under each."""
+    chosen = chunked(docs, rows, **cut)
+    contents = chosen.select(F.explode("chunks").alias("chunk")).distinct()
+    return contents.groupBy(F.unhex(F.sha2("chunk", 256)).alias("id")).agg(F.count("*").alias("contents"))
 
 
 def exact_groups(docs: DataFrame, **cut) -> DataFrame:
@@ -67,11 +67,20 @@ def exact_groups(docs: DataFrame, **cut) -> DataFrame:
     Groups are summed before they are shuffled and joined back by recipe, so the
     members of a large group never meet in one task.
     """
-    rows = recipes(docs, **cut)
-    rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no"), "doc_id", "row", "text_sha256")
+    rows = C.checkpointed(recipes(docs, **cut))
+    rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select("row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-                                              (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_points")
+    shared = C.checkpointed(groups.where("group_size > 1"))
+    ids = verified_ids(docs, rows.join(shared, "recipe", "left_semi").select("row"), **cut)
+    one = F.when(F.col("contents") == 1, True).otherwise(F.raise_error(F.lit("chunks of different bytes share a SHA-256")).cast("boolean"))
+    proven = (shared.select("recipe", F.explode(F.array_distinct("recipe")).alias("id")).join(ids, "id", "left")
+              .groupBy("recipe").agg(F.bool_and(one).alias("same")))
+    proven = shared.join(proven.where("same"), "recipe")
+    joined = rows.join(proven.select("recipe", "best", "group_size"), "recipe", "left")
+    alone = F.col("best").isNull()
+    return joined.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+                         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+                         (alone | (F.col("row") == F.col("best.row"))).alias("kept"), "text_sha256", "n_points")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
