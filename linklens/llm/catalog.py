@@ -1,7 +1,7 @@
 """Queries of the numbered operators with their comparison SQL."""
 
-from linklens.llm import op2_bpe_chunks, op3_toxic_spans, op6_exact_dedup, op10_language_masks
+from linklens.llm import op2_bpe_chunks, op3_toxic_spans, op4_phrase_automata, op6_exact_dedup, op10_language_masks
 
-MODULES = (op2_bpe_chunks, op3_toxic_spans, op6_exact_dedup, op10_language_masks)
+MODULES = (op2_bpe_chunks, op3_toxic_spans, op4_phrase_automata, op6_exact_dedup, op10_language_masks)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
