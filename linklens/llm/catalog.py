@@ -1,7 +1,7 @@
 """Queries of the numbered operators with their comparison SQL."""
 
-from linklens.llm import op2_bpe_chunks, op3_toxic_spans, op4_phrase_automata, op5_hamming_join, op6_exact_dedup, op8_pii_skip_chain, op9_license_blocks, op10_language_masks
+from linklens.llm import op1_template_join, op2_bpe_chunks, op3_toxic_spans, op4_phrase_automata, op5_hamming_join, op6_exact_dedup, op8_pii_skip_chain, op9_license_blocks, op10_language_masks
 
-MODULES = (op2_bpe_chunks, op3_toxic_spans, op4_phrase_automata, op5_hamming_join, op6_exact_dedup, op8_pii_skip_chain, op9_license_blocks, op10_language_masks)
+MODULES = (op1_template_join, op2_bpe_chunks, op3_toxic_spans, op4_phrase_automata, op5_hamming_join, op6_exact_dedup, op8_pii_skip_chain, op9_license_blocks, op10_language_masks)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
