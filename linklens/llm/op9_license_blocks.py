@@ -77,6 +77,12 @@ class Scanner:
         self.known = hashes[self.order]
         number = {w: i for i, w in enumerate(self.vocabulary)}
         self.places = [(label, np.array([number[w] for w in words]), -(-self.share * len(words) // 100)) for label, words in self.sets]
+        # prefix filter: which templates a word stands for, if it is among their rarest
+        self.of_word: dict[int, list[int]] = {}
+        for t, (_, words, least) in enumerate(self.places):
+            for w in words[:len(words) - least + 1].tolist():
+                self.of_word.setdefault(w, []).append(t)
+        self.rare = np.array([w in self.of_word for w in range(len(self.vocabulary))] + [False])  # the last stands for code -1
         self.lines = [(label, word_hash(phrase.split())) for phrase, label in self.phrases]
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
@@ -101,20 +107,22 @@ class Scanner:
     def blocks(self, codes: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int, float]]:
         """Label, first word and share of the matches among the blocks of one document's words."""
         step = self.block // 2
-        seen = np.flatnonzero(codes[low:high] >= 0)
-        for number in np.unique(np.concatenate([seen // step, np.maximum(seen // step - 1, 0)])).tolist() if len(seen) else ():
+        asked = set()
+        for at in np.flatnonzero(self.rare[codes[low:high]]).tolist():
+            for number in {at // step, max(at // step - 1, 0)}:
+                asked.update((number, t) for t in self.of_word[int(codes[low + at])])
+        for number, t in sorted(asked):
+            label, words, least = self.places[t]
             a, b = low + number * step, min(low + number * step + self.block, high)
-            held = np.unique(codes[a:b])
-            held = held[held >= 0]
-            for label, words, least in self.places:
-                if b - a < least:  # length filter: no set of so few words is large enough
-                    continue
-                prefix = np.flatnonzero(np.isin(words[:len(words) - least + 1], held))
-                if not len(prefix) or len(words) - prefix[0] < least:  # prefix and positional filters
-                    continue
-                both = int(np.isin(words, held).sum())
-                if both >= least:
-                    yield label, a - low, both / len(words)
+            if b - a < least:  # length filter: no set of so few words is large enough
+                continue
+            held = np.isin(words, codes[a:b])
+            first = int(np.argmax(held))
+            if not held[first] or len(words) - first < least:  # positional filter
+                continue
+            both = int(held.sum())
+            if both >= least:
+                yield label, a - low, both / len(words)
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], scanner: Scanner) -> Iterator[pa.RecordBatch]:
@@ -146,7 +154,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], scanner: Scanner) -> Iterato
                 for d in np.unique(docs).tolist():
                     base[d].add(label)
             matches: list[list[dict]] = [[] for _ in range(n)]
-            for d in np.unique(words.doc[codes >= 0]).tolist():
+            for d in np.unique(words.doc[scanner.rare[codes]]).tolist():
                 matches[d] = [{"label": x, "first": f, "share": s} for x, f, s in scanner.blocks(codes, int(words.first[d]), int(words.first[d + 1]))]
             none = counts == 0
             yield pa.RecordBatch.from_arrays([
