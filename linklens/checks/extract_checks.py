@@ -198,14 +198,14 @@ def text_names(rel: str, key: str, text: str) -> str:
 
 def pages(t) -> DataFrame:
     rows = t.fx_pages.select("task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host")
-    return S.spread(rows, "page_url")
+    return rows
 
 
 def texts(t, table: str, key: str) -> DataFrame:
     df = getattr(t, table)
     rows = df.select(F.lit(1).alias("task_id"), F.col(key).cast("string").alias("page_url"), F.col("text").alias("html"),
                      F.lit("text").alias("resource"), F.lit("none.test").alias("target_host"))
-    return S.spread(rows, "page_url")
+    return rows
 
 
 check("x1_title", lambda t: X.parse_pages(pages(t)).select("page_url", "title"),

@@ -7,6 +7,7 @@ from linklens.operators import extract as X
 from linklens.operators import joins as J
 from linklens.operators import merge as M
 from linklens.operators import rollup as R
+from linklens.operators import search as S
 
 LEVELS = ["critical", "high", "medium", "low", "safe", "pending"]
 STATES = ["verified_failed", "verified_clean", "error", "unverified"]
@@ -188,8 +189,7 @@ check("w4_keep_last_version", lambda t: M.keep_last(t.fx_occurrences, ["task_id"
       .select("task_id", "page_url", "source_type", "seq", "raw_match"),
       """select task_id, page_url, source_type, seq, raw_match from (select *, row_number() over (partition by task_id, page_url, source_type
       order by seq desc) as rn from fx_occurrences) where rn = 1""")
-check("u1_known_domains", lambda t: t.fx_external_domains.select("task_id", "domain").unionByName(
-    t.fx_occurrences.where(F.col("is_link")).select("task_id", "domain")).distinct(),
-      "select task_id, domain from fx_external_domains union select task_id, domain from fx_occurrences where is_link")
-check("u3_distinct_test_urls", lambda t: t.fx_occurrences.select("task_id", "domain", "page_url").dropDuplicates(),
+check("u1_known_domains", lambda t: S.known_domains(t.fx_external_domains, t.fx_occurrences),
+      "select task_id, domain from fx_external_domains union select task_id, domain from fx_occurrences")
+check("u3_distinct_test_urls", lambda t: S.distinct_test_urls(t.fx_occurrences),
       "select distinct task_id, domain, page_url from fx_occurrences")

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from linklens import schemas
 from linklens.checks.extract_checks import HITS
 from linklens.checks.registry import check
 from linklens.checks.risk_checks import RETEST_SQL, domains, run_ts, tickets
@@ -11,6 +12,7 @@ from linklens.operators import extract as X
 from linklens.operators import merge as M
 from linklens.plans import retest, scan
 from linklens.session import ensure_checkpoint_dir
+from linklens.sources import export as E
 from linklens.streaming import jobs as J
 
 PAGES = "page_id BIGINT, url STRING, html STRING"
@@ -62,6 +64,27 @@ check("scan_job_evidence", lambda t: written_scan(t, 2).groupBy("page_url", "dom
       HITS + "select page_url, domain, least(count(*), 5) as n, least(count(*), 5) as ids from hits group by 1, 2")
 
 
+def tickets_of_pages(t):
+    """pages -> scan -> tickets -> retest, every step on the tables that the one before wrote."""
+    levels = F.when(F.col("id") == 1, "critical").when(F.col("id") == 2, "medium").otherwise("low")
+    name = F.when(F.col("id") == 1, "example.com").when(F.col("id") == 2, "example.net").otherwise("example.org")
+    rules = t.fx_profiles.where("id in (1, 2, 3)").withColumns({"domain": name, "match_type": F.lit("root"), "risk_level": levels, "tags": F.split("tags_text", "/")})
+    pages = page_stream_table(t)
+    tasks = pages.select("task_id").distinct().withColumns({"name": F.lit("scan"), "target_url": F.lit("https://www.example.com/"), "status": F.lit("completed")})
+    found, _, evidence = scan.write_scan(pages, rules, run_ts(), run_folder(t), per_domain=None)
+    fresh = M.sync_tickets(t.spark.createDataFrame([], schemas.TICKETS), evidence, found, tasks, run_ts())
+    responses = t.fx_pages.select("url", F.lit(200).alias("status_code"), F.col("html").alias("body"), F.lit("").alias("error"))
+    after, _, _ = retest.retest_cycle(fresh, found, tasks, responses, run_ts())
+    numbered = E.ticket_csv(after, tasks, verify_status="all")
+    listed = numbered.select(F.col(numbered.columns[4]).alias("page_url"), F.col(numbered.columns[6]).alias("domain"))
+    return after.join(listed, ["page_url", "domain"]).groupBy("task_id", "domain", "page_url", "risk_level", "manual_status").agg(F.countDistinct("id").alias("ids"))
+
+
+check("chain_pages_to_tickets", tickets_of_pages,
+      HITS + """select distinct task_id, domain, page_url, case root_domain when 'example.com' then 'critical' when 'example.net' then 'medium' else 'low' end as risk_level,
+      'pending' as manual_status, 1 as ids from hits where side = 'external' and root_domain in ('example.com', 'example.net', 'example.org')""")
+
+
 def refreshed_counts(t):
     out = run_folder(t)
     M.refresh_page_counts(t.fx_occurrences, f"{out}/roots", f"{out}/domains")

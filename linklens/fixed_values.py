@@ -246,3 +246,9 @@ xn--jlq61u9w7b xn--mgb2ddes xn--mgba3a4fra xn--mgbaakc7dvf xn--mgbai9a5eva00b
 xn--mgberp4a5d4a87g xn--mgbqly7c0a67fbc xn--mgbqly7cvafr xn--mgbtf8fl xn--mix082f
 xn--nnx388a
 """.split()
+
+# Named character references that are decoded, the ampersand last
+NAMED_REFERENCES = [
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("colon", ":"), ("sol", "/"), ("period", "."), ("quest", "?"),
+    ("equals", "="), ("num", "#"), ("commat", "@"), ("lowbar", "_"), ("hyphen", "\u2010"), ("amp", "&"),
+]

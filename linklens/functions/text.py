@@ -103,6 +103,11 @@ def row_id(*key: Column) -> Column:
     return F.xxhash64(*key)
 
 
+def evidence_id() -> Column:
+    """Id of an evidence row from its identity and content."""
+    return row_id(*[F.col(c) for c in ("task_id", "domain", "page_url", "seq", "source_type", "raw_match")])
+
+
 def is_link_type(source_type: Column) -> Column:
     """Link evidence: every source type but the text ones."""
     return ~source_type.isin(*v.TEXT_SOURCE_TYPES)

@@ -28,12 +28,17 @@ from linklens.functions import urls as U
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 SCANNED_TAGS = "a|area|base|meta|link|img|script|iframe|frame|video|audio|source|track|form|object|embed"
 TAG = rf"(?is)<(?:{SCANNED_TAGS})\b{ATTRS}>(?:[^<]{{0,200}}</[a-z]+\s*>)?"
-COMMENT = r"(?s)<!--(.*?)-->"
+COMMENT = r"<!--.*?-->"
+SCRIPT = rf"<script\b{ATTRS}>.*?(?:</script\s*>|$)"
+STYLE = r"<style\b[^>]*>.*?(?:</style\s*>|$)"
+COMMENT_TEXT = rf"(?is)<!--(.*?)-->|{SCRIPT}|{STYLE}"
+NOT_COMMENT = rf"(?is){COMMENT}|({SCRIPT}|{STYLE})"
 SCRIPT_BLOCK = rf"(?is)<script\b{ATTRS}>.*?(?:</script\s*>|$)"
 SCRIPT_OPEN = rf"(?is)^<script\b{ATTRS}>"
 SCRIPT_CLOSE = r"(?i)</script\s*>$"
 STYLE_BODY = r"(?is)<style\b[^>]*>(.*?)(?:</style\s*>|$)"
-NO_BODIES = (rf"(?is)<(?:!--.*?-->|(script\b{ATTRS}>).*?(</script\s*>|$)|(style\b[^>]*>).*?(</style\s*>|$))")
+NO_BODIES = (rf"(?is){COMMENT}|(<script\b{ATTRS}>).*?(</script\s*>|$)|(<style\b[^>]*>).*?(</style\s*>|$)"
+             r"|(<(?:textarea|title)\b[^>]*>).*?(</(?:textarea|title)\s*>)")
 INVISIBLE = (r"(?is)<(?:!--.*?-->|!doctype[^>]*>|head\b.*?</head\s*>|title\b.*?</title\s*>|script\b.*?(?:</script\s*>|$)"
              r"|style\b.*?(?:</style\s*>|$)|noscript\b.*?(?:</noscript\s*>|$)|svg\b.*?(?:</svg\s*>|$))")
 ANY_TAG = rf"(?s)</?[a-zA-Z]{ATTRS}>"
@@ -60,8 +65,18 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(ch))
+    """Character references: numeric ones, and the named ones of `v.NAMED_REFERENCES`; `&amp;` last."""
+    def character(part):
+        number = F.regexp_extract(part, r"(?i)^&#(x[0-9a-f]{1,6}|[0-9]{1,7});", 1)
+        digits = F.when(F.lower(F.left(number, F.lit(1))) == "x", F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number)
+        code = F.try_to_number(F.nullif(digits, F.lit("")), F.lit("99999999")).cast("long")
+        legal = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        decoded = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(part, r"^&#[0-9a-zA-Z]+;", "")
+        return F.when(legal, F.concat(decoded, rest)).otherwise(part)
+    c = F.when(c.contains("&#"), F.array_join(F.transform(F.split(c, "(?=&#)"), character), "")).otherwise(c)
+    for name, ch in v.NAMED_REFERENCES:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
     return c
 
 
@@ -81,7 +96,10 @@ def visible_text(html: Column) -> Column:
 
 
 def find(source_type: str, mode: str, token: Column, snippet: Column) -> Column:
-    return F.struct(F.lit(source_type).alias("source_type"), F.lit(mode).alias("mode"),
+    kind = F.lit(mode)
+    if mode == "link_asset":
+        kind = F.when(token.rlike(r"(?is)[\s\"'/]rel\s*=\s*(?:\"[^\"]*\bstylesheet\b|'[^']*\bstylesheet\b|stylesheet\b)"), "style_asset").otherwise(mode)
+    return F.struct(F.lit(source_type).alias("source_type"), kind.alias("mode"),
                     token.alias("token"), snippet.alias("snippet"))
 
 
@@ -185,16 +203,17 @@ def css_finds(css: Column) -> Column:
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Split each page once into tags, comments, scripts, styles and visible text."""
     html, is_html = F.col("html"), F.col("resource") == "html"
-    inline = F.filter(all_matches(html, SCRIPT_BLOCK), lambda b: ~F.regexp_extract(b, SCRIPT_OPEN, 0).rlike(
+    open_ = F.regexp_replace(html, NOT_COMMENT, " $1")  # scripts and styles inside comments are comment text
+    inline = F.filter(all_matches(open_, SCRIPT_BLOCK), lambda b: ~F.regexp_extract(b, SCRIPT_OPEN, 0).rlike(
         r"(?i)[\s\"'/]src\s*(?:=|>|\s)"))
     code = F.transform(inline, lambda b: F.regexp_replace(F.regexp_replace(b, SCRIPT_OPEN, ""), SCRIPT_CLOSE, ""))
     parsed = pages.withColumns({"html": F.coalesce(html, F.lit("")), "page_host": U.host(F.col("page_url"))})
     parsed = parsed.withColumns({
-        "title": F.when(is_html, decode_entities(D.strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))),
-        "tags": F.when(is_html, all_matches(F.regexp_replace(html, NO_BODIES, "<$1$2$3$4"), TAG)),
-        "comments": F.when(is_html, all_matches(html, COMMENT, 1)),
+        "title": F.when(is_html, decode_entities(D.strip(F.regexp_extract(open_, r"(?is)<title[^>]*>(.*?)</title>", 1)))),
+        "tags": F.when(is_html, all_matches(F.regexp_replace(html, NO_BODIES, " $1$2$3$4$5$6"), TAG)),
+        "comments": F.when(is_html, F.filter(all_matches(html, COMMENT_TEXT, 1), lambda c: c != "")),
         "scripts": F.when(is_html, code),
-        "styles": F.when(is_html, all_matches(html, STYLE_BODY, 1)),
+        "styles": F.when(is_html, all_matches(open_, STYLE_BODY, 1)),
         "body": F.when(is_html, visible_text(html))})
     parsed = parsed.withColumn("body_lower", F.lower(F.col("body")))
     return with_effective_base(parsed)
@@ -315,7 +334,7 @@ def extract_hits(pages: DataFrame, scope: str = "root_domain", assets: bool = Tr
 def discover_links(pages: DataFrame, scope: str = "root_domain") -> DataFrame:
     """Internal page urls and js/css asset urls found on each page."""
     finds = page_finds(pages, text=True).where(F.col("mode").isin(
-        "page_link", "canonical", "page_asset", "script_asset", "link_asset", "asset_link", "import_link"))
+        "page_link", "canonical", "page_asset", "script_asset", "link_asset", "style_asset", "asset_link", "import_link"))
     links = U.with_normalized_link(finds, "base_url", F.col("raw"), "url").where(F.col("url").isNotNull())
     links = links.withColumn("url_host", U.host(F.col("url"))).withColumn("__n", ps.suffix_length("url_host"))
     links = D.sealed(links.withColumn("url_root", ps.root_from_suffix_length("url_host", "__n")).drop("__n"), "url_root")
@@ -323,7 +342,7 @@ def discover_links(pages: DataFrame, scope: str = "root_domain") -> DataFrame:
     p, from_tag = F.lower(U.raw_path(F.col("url"))), F.col("mode") == "link_asset"
     kind = (
         F.when(F.col("mode") == "script_asset", "js")
-        .when(from_tag & p.endswith(".css"), "css")
+        .when((F.col("mode") == "style_asset") | from_tag & p.endswith(".css"), "css")
         .when(from_tag & p.endswith(".js"), "js")
         .when(F.col("mode") == "import_link", "css")
         .when((F.col("mode") == "asset_link") & (F.col("resource") == "html") & F.col("url").endswith(".css"), "css")

@@ -27,19 +27,10 @@ def new_urls(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.select(*KEY).distinct().join(known.select(*KEY), KEY, "left_anti")
 
 
-BROADCAST_BYTES = 32 << 20
-
-
 def _union(levels: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, levels)
 
 
-def _sized(level: DataFrame) -> tuple[int, int]:
-    """Rows and text bytes of a checkpointed level."""
-    r = level.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("b")).first()
-    return r["n"], r["b"] + 24 * r["n"]
-
-
 def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int = 0, edges_stored: bool = False) -> DataFrame:
     """Urls with their depth.
 
@@ -47,10 +38,9 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int
     limit.  `max_pages` keeps the first pages of each scan by (depth, url).
     Edges are written out once unless they are a stored table already.
 
-    A frontier is broadcast only when its counted size is small; then the edges
-    are just scanned.  A larger one is joined by a shuffle, which AQE splits at
-    hub pages.  Per level the found urls and the keys of the reached ones are
-    shuffled once; page contents never are.
+    The join with the frontier carries no hint: Spark picks it by the frontier's
+    size at run time and splits it at hub pages.  Per level the found urls and the
+    keys of the reached ones are shuffled once; page contents never are.
     """
     links = edges.select("task_id", F.col("src").alias("url"), "dst")
     if not edges_stored:
@@ -69,7 +59,7 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int
         if levels:
             level = level.join(_union(levels).select(*KEY), KEY, "left_anti")
         level = checkpointed(level.withColumn("depth", F.lit(depth)))
-        rows, size = _sized(level)
+        rows = not level.isEmpty()
         if rows:
             levels.append(level)
         waiting = any(d > depth for d in depths)
@@ -78,8 +68,6 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 0, max_pages: int
         if max_pages and not waiting and _all_full(_union(levels), max_pages):
             break
         frontier = level.select(*KEY)
-        if size <= BROADCAST_BYTES:
-            frontier = F.broadcast(frontier)
         depth += 1
     out = _union(levels) if levels else start.limit(0)
     if max_depth:

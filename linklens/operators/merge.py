@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linklens import fixed_values as v
 from linklens.functions import domains as D
+from linklens.functions import text as T
 from linklens.operators import joins as J
 from linklens.operators import risk
 from linklens.operators import rollup as R
@@ -213,7 +214,7 @@ def sync_tickets(tickets: DataFrame, occurrences: DataFrame, domains: DataFrame,
     """New tickets start pending; known ones take over the risk, and snippet or title only if they lacked one."""
     fresh = evidence_tickets(occurrences, domains, tasks)
     values = {
-        "id": F.col("seq"), "root_domain": F.col("risk_root"), "page_title": F.lit(""),
+        "id": T.row_id(F.col("task_id"), F.col("domain"), F.col("page_url")), "root_domain": F.col("risk_root"), "page_title": F.lit(""),
         "source_type": F.coalesce("source_type", F.lit("href")), "raw_match": F.coalesce("raw_match", F.lit("")),
         "context_snippet": F.coalesce("context_snippet", F.lit("")), "manual_status": F.lit("pending"), "manual_remark": F.lit(""),
         "last_verified_at": F.col("verify_time") if "verify_time" in domains.columns else F.lit(None),
@@ -249,9 +250,10 @@ def _ticket_transition(status: Column, cleared_remark: str) -> tuple[Column, Col
 
 
 def apply_page_verdicts(tickets: DataFrame, verdicts: DataFrame, run_ts: Column) -> DataFrame:
-    """`verdicts` as risk.retest_pages gives them, one per ticket id."""
-    vd = verdicts.select("id", F.struct("verify_status", "verify_detail", "context_snippet", "verify_time").alias("vd"))
-    out = tickets.join(vd, "id", "left")
+    """`verdicts` as risk.retest_pages gives them, one per ticket."""
+    key = ["task_id", "domain", "page_url"]
+    vd = verdicts.select(*key, F.struct("verify_status", "verify_detail", "context_snippet", "verify_time").alias("vd"))
+    out = tickets.join(vd, key, "left")
     ms, mr = _ticket_transition(F.col("vd.verify_status"), v.REMARK_PAGE_CLEARED)
     return _with(out, F.col("vd").isNotNull(), manual_status=ms, manual_remark=mr, verify_status=F.col("vd.verify_status"),
                  last_verified_at=F.col("vd.verify_time"), last_verify_detail=F.col("vd.verify_detail"),
@@ -304,8 +306,9 @@ def mark_rollbacks(tickets: DataFrame, domains: DataFrame, verdicts: DataFrame,
     """Closed tickets that show the domain again are reopened together with their domain."""
     failed = verdicts.where(F.col("verify_status") == "verified_failed").withColumn(
         "verify_detail", F.concat(F.lit(v.DETAIL_ROLLBACK), F.col("verify_detail")))
-    vd = failed.select("id", F.struct("verify_time", "verify_detail", "context_snippet").alias("vd"))
-    t = _with(tickets.join(vd, "id", "left"), F.col("vd").isNotNull(), verify_status="verified_failed", manual_status="pending",
+    key = ["task_id", "domain", "page_url"]
+    vd = failed.select(*key, F.struct("verify_time", "verify_detail", "context_snippet").alias("vd"))
+    t = _with(tickets.join(vd, key, "left"), F.col("vd").isNotNull(), verify_status="verified_failed", manual_status="pending",
               manual_remark=v.REMARK_ROLLBACK, last_verified_at=F.col("vd.verify_time"), last_verify_detail=F.col("vd.verify_detail"),
               context_snippet=F.coalesce("vd.context_snippet", "context_snippet"), updated_at=run_ts).select(*tickets.columns)
     dom = failed.groupBy("task_id", "domain").agg(F.max_by(F.struct("verify_time", "verify_detail"), "id").alias("vd"))

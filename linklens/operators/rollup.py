@@ -217,12 +217,8 @@ def ticket_page_counts(tickets: DataFrame, key: str) -> DataFrame:
     return tickets.select(key, "page_url").distinct().groupBy(key).agg(F.count("*").alias("page_count"))
 
 
-def domain_verdicts(page_results: DataFrame, *key: str, max_details: int = 200) -> DataFrame:
-    """Verdict per key over retested pages with `found` true / false / null.
-
-    Only the first `max_details` results by url are kept as details, ranked
-    with a limit below the exchange; the counts cover all pages.
-    """
+def domain_verdicts(page_results: DataFrame, *key: str) -> DataFrame:
+    """Verdict per key over all retested pages with `found` true / false / null."""
     n, still = F.col("tested_count"), F.col("still_present_count")
     counts = page_results.groupBy(*key).agg(
         F.count("url").alias("tested_count"), F.count_if("found").alias("still_present_count"),

@@ -212,3 +212,14 @@ def look_up(df: DataFrame, **key) -> DataFrame:
 def pending_delete(tasks: DataFrame) -> DataFrame:
     """Q20."""
     return tasks.where(F.col("status") == "deleting").select("task_id")
+
+
+def known_domains(domains: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(task_id, domain) of the stored domains and of new evidence, each once."""
+    key = ["task_id", "domain"]
+    return domains.select(*key).unionByName(evidence.select(*key)).distinct()
+
+
+def distinct_test_urls(evidence: DataFrame) -> DataFrame:
+    """The pages on which a scan's domain is to be tested, each once."""
+    return evidence.select("task_id", "domain", "page_url").distinct()

@@ -14,9 +14,11 @@ from linklens.operators import rollup as R
 from linklens.operators import search as S
 from linklens.session import checkpointed
 
+KEY = ["task_id", "domain", "page_url"]
+
 
 def _verdicts(tickets: DataFrame, queue: DataFrame | None, responses: DataFrame, run_ts: Column) -> DataFrame:
-    due = tickets if queue is None else tickets.join(queue.select("id"), "id", "left_semi")
+    due = tickets if queue is None else tickets.join(queue.select(*KEY), KEY, "left_semi")
     return checkpointed(K.retest_pages(due, responses, run_ts))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linklens import fixed_values as v
 from linklens.functions import text as T
 from linklens.operators import extract as X
 from linklens.operators import risk as K
@@ -14,18 +15,24 @@ from linklens.operators import rollup as R
 def site_domains(hits: DataFrame, rules: DataFrame, run_ts: Column) -> DataFrame:
     """External domains of a scan with their risk, as first inserted."""
     rolled = R.domain_rollup(hits.where(F.col("side") == "external"))
-    return K.evaluate_rollup(rolled, rules).withColumn("verify_status", F.lit("unverified")).withColumn("created_at", run_ts)
+    rated = K.evaluate_rollup(rolled, rules).withColumn("verify_status", F.lit("unverified")).withColumn("created_at", run_ts)
+    return with_domain_id(rated)
+
+
+def with_domain_id(rows: DataFrame) -> DataFrame:
+    """Stable id of a scan's domain."""
+    return rows.select(T.row_id(F.col("task_id"), F.col("domain")).alias("id"), *rows.columns)
 
 
 def site_subdomains(hits: DataFrame, run_ts: Column) -> DataFrame:
-    return R.domain_rollup(hits.where(F.col("side") == "subdomain")).withColumn("created_at", run_ts)
+    return with_domain_id(R.domain_rollup(hits.where(F.col("side") == "subdomain")).withColumn("created_at", run_ts))
 
 
-def site_evidence(hits: DataFrame, run_ts: Column) -> DataFrame:
-    """Evidence rows to append: capped per page and domain, texts cut, stable ids."""
-    return X.cap_evidence(hits).select(
-        T.row_id(*[F.col(c) for c in ("task_id", "domain", "page_url", "source_type", "raw_match", "seq")]).alias("id"),
-        "task_id", "domain", "root_domain", "page_url", F.lit("").alias("page_title"), "source_type",
+def site_evidence(hits: DataFrame, run_ts: Column, per_domain: int | None = v.EVIDENCE_PER_DOMAIN) -> DataFrame:
+    """Evidence rows to append: at most `per_domain` of each page and domain (None: all), texts cut, stable ids."""
+    kept = hits if per_domain is None else X.cap_evidence(hits, per_domain)
+    return kept.select(
+        T.evidence_id().alias("id"), "task_id", "domain", "root_domain", "page_url", F.lit("").alias("page_title"), "seq", "source_type",
         T.cut_raw_match(F.col("raw_match")).alias("raw_match"), T.cut_snippet(F.col("context_snippet")).alias("context_snippet"),
         "is_link", run_ts.alias("created_at"))
 
@@ -34,7 +41,8 @@ HITS = ("task_id INT, page_url STRING, domain STRING, root_domain STRING, source
         "context_snippet STRING, is_link BOOLEAN, seq BIGINT, side STRING")
 
 
-def write_scan(pages: DataFrame, rules: DataFrame, run_ts: Column, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def write_scan(pages: DataFrame, rules: DataFrame, run_ts: Column, folder: str,
+               per_domain: int | None = v.EVIDENCE_PER_DOMAIN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Batch job: hits written once, then external domains, subdomains and evidence over the written table.
 
     The pages are parsed a single time although three tables follow from them;
@@ -42,14 +50,14 @@ def write_scan(pages: DataFrame, rules: DataFrame, run_ts: Column, folder: str)
     """
     X.extract_hits(pages).write.mode("overwrite").partitionBy("side").parquet(f"{folder}/hits")
     hits = pages.sparkSession.read.schema(HITS).parquet(f"{folder}/hits")
-    return site_domains(hits, rules, run_ts), site_subdomains(hits, run_ts), site_evidence(hits, run_ts)
+    return site_domains(hits, rules, run_ts), site_subdomains(hits, run_ts), site_evidence(hits, run_ts, per_domain)
 
 
-def risky_domains(pages: DataFrame, rules: DataFrame, n: int = 1000) -> DataFrame:
+def risky_domains(pages: DataFrame, rules: DataFrame, n: int | None = None) -> DataFrame:
     """Flagship: from stored pages to the cross-scan list of external domains with their risk.
 
     Two roll-ups (scan and domain, then domain), one rule match per distinct
-    domain, a distributed top-n at the end.
+    domain; with `n` a distributed top-n at the end.
     """
     hits = X.extract_hits(pages).where(F.col("side") == "external")
     per_task = hits.groupBy("task_id", "domain", "root_domain").agg(
@@ -58,5 +66,6 @@ def risky_domains(pages: DataFrame, rules: DataFrame, n: int = 1000) -> DataFram
         F.sum("occurrence_count").alias("total_occurrences"), F.count("*").alias("task_count"),
         F.bool_or("has_link").alias("has_link"), F.bool_or("has_text").alias("has_text"))
     listed = K.evaluate_rollup(per_domain, rules)
-    return (listed.select("domain", "root_domain", "total_occurrences", "task_count", "has_link", "has_text", "risk_level")
-            .orderBy(F.desc("total_occurrences"), "domain").limit(n))
+    rows = listed.select("domain", "root_domain", "total_occurrences", "task_count", "has_link", "has_text", "risk_level")
+    rows = rows.orderBy(F.desc("total_occurrences"), "domain")
+    return rows if n is None else rows.limit(n)

@@ -1,4 +1,9 @@
-"""Declared schemas of the tables; nothing is inferred from data."""
+"""Declared schemas of the tables; nothing is inferred from data.
+
+Identity: evidence (task_id, page_url, domain, seq), where seq is the scan position in
+its page; domains (task_id, domain); tickets (task_id, domain, page_url).  The `id`
+columns are hashes of these for listing and look-up; no join relies on them alone.
+"""
 
 RESPONSES = ("task_id INT, url STRING, status_code INT, content_type STRING, html STRING, "
              "response_time_ms INT, error STRING, fetched_at TIMESTAMP")
@@ -7,13 +12,13 @@ TASKS = ("task_id INT, name STRING, target_url STRING, status STRING, config STR
          "started_at TIMESTAMP, finished_at TIMESTAMP, error_message STRING, created_at TIMESTAMP")
 SITEMAP_PAGES = ("id BIGINT, task_id INT, url STRING, path STRING, depth INT, status_code INT, content_type STRING, "
                  "title STRING, response_time_ms INT, external_domains_count INT, error STRING, crawled_at TIMESTAMP")
-EXTERNAL_DOMAINS = ("task_id INT, domain STRING, root_domain STRING, occurrence_count BIGINT, has_link BOOLEAN, "
+EXTERNAL_DOMAINS = ("id BIGINT, task_id INT, domain STRING, root_domain STRING, occurrence_count BIGINT, has_link BOOLEAN, "
                     "has_text BOOLEAN, sample_page_url STRING, risk_level STRING, risk_tags ARRAY<STRING>, "
                     "risk_remark STRING, risk_source STRING, verify_status STRING, verify_time TIMESTAMP, "
                     "verify_detail STRING, created_at TIMESTAMP")
-SUBDOMAINS = ("task_id INT, domain STRING, root_domain STRING, occurrence_count BIGINT, has_link BOOLEAN, "
+SUBDOMAINS = ("id BIGINT, task_id INT, domain STRING, root_domain STRING, occurrence_count BIGINT, has_link BOOLEAN, "
               "has_text BOOLEAN, sample_page_url STRING, created_at TIMESTAMP")
-OCCURRENCES = ("id BIGINT, task_id INT, domain STRING, root_domain STRING, page_url STRING, page_title STRING, "
+OCCURRENCES = ("id BIGINT, task_id INT, domain STRING, root_domain STRING, page_url STRING, page_title STRING, seq BIGINT, "
                "source_type STRING, raw_match STRING, context_snippet STRING, is_link BOOLEAN, created_at TIMESTAMP")
 TASK_LOGS = "id BIGINT, task_id INT, level STRING, message STRING, created_at TIMESTAMP"
 RISK_PROFILES = ("id INT, domain STRING, match_type STRING, risk_level STRING, category STRING, tags ARRAY<STRING>, "

@@ -34,6 +34,10 @@ def _or_blank(df: DataFrame, name: str) -> Column:
     return _text(name) if name in df.columns else F.lit("")
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def names_text(rows: DataFrame, name: str = "domain", count: str = "occurrence_count") -> DataFrame:
     """One name per line, most frequent first."""
     return rows.orderBy(F.desc(count), name).select(F.col(name).alias("value"))
@@ -58,9 +62,9 @@ def domain_json(domains: DataFrame) -> DataFrame:
     return json_lines(domains.orderBy(F.desc("occurrence_count"), "domain"))
 
 
-def global_json(grouped: DataFrame, limit: int = 100000) -> DataFrame:
+def global_json(grouped: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of rollup.global_domains with their scans nested, most frequent first."""
-    return json_lines(S.list_global(grouped).limit(limit))
+    return json_lines(_first(S.list_global(grouped), limit))
 
 
 def export_meta(domains: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -69,9 +73,9 @@ def export_meta(domains: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", "target_url").join(counts, "task_id", "left").na.fill(0, ["total_domains"])
 
 
-def evidence_rows(occurrences: DataFrame, tasks: DataFrame, domain: str, task_id: int | None = None, limit: int = 10000) -> DataFrame:
+def evidence_rows(occurrences: DataFrame, tasks: DataFrame, domain: str, task_id: int | None = None, limit: int | None = None) -> DataFrame:
     """Evidence of one domain, newest first, with its scan."""
-    ev = S.of_task(occurrences, task_id).where(F.col("domain") == domain).orderBy(F.desc("seq")).limit(limit)
+    ev = _first(S.of_task(occurrences, task_id).where(F.col("domain") == domain).orderBy(F.desc("created_at"), F.desc("seq"), "page_url", "task_id"), limit)
     rows = R.on_live_tasks(ev, tasks, "name", "target_url")
     return rows.select("domain", "task_id", "name", "target_url", "source_type", "page_url", "raw_match", "context_snippet",
                        _text("created_at")).toDF(*v.EVIDENCE_HEADER)
@@ -106,9 +110,9 @@ def page_csv(pages: DataFrame) -> DataFrame:
     return pages.orderBy("depth", "id").select("id", "url", "path", "depth", "status_code", _text("title"), _text("crawled_at")).toDF(*v.PAGE_HEADER)
 
 
-def global_csv(grouped: DataFrame, limit: int = 100000) -> DataFrame:
+def global_csv(grouped: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of rollup.global_domains, most frequent first, with the scans as text."""
-    rows = S.list_global(grouped).limit(limit)
+    rows = _first(S.list_global(grouped), limit)
     summary = F.array_join(F.transform("associated_tasks", lambda x: T.fill(
         v.TASK_SUMMARY, x["task_name"], x["task_id"], x["occurrence_count"])), " | ")
     tags = F.array_join(T.decode_tags(F.col("risk_tags")), " / ") if "risk_tags" in rows.columns else F.lit("")
@@ -156,8 +160,8 @@ def rule_text(rules: DataFrame) -> DataFrame:
 def evidence_batch(hits: DataFrame, run_ts: Column) -> DataFrame:
     """Evidence rows as stored: texts cut, id from the natural key, month for the partition."""
     return hits.select(
-        T.row_id(*[F.col(c) for c in ("task_id", "domain", "page_url", "source_type", "raw_match")]).alias("id"), "task_id", "domain", "root_domain",
-        "page_url", "source_type", T.cut_raw_match(F.col("raw_match")).alias("raw_match"), T.cut_snippet(F.col("context_snippet")).alias("context_snippet"),
+        T.evidence_id().alias("id"), "task_id", "domain", "root_domain",
+        "page_url", "seq", "source_type", T.cut_raw_match(F.col("raw_match")).alias("raw_match"), T.cut_snippet(F.col("context_snippet")).alias("context_snippet"),
         "is_link", run_ts.alias("created_at"), F.date_format(run_ts, "yyyyMM").alias("month"))
 
 

@@ -17,15 +17,6 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.format(fmt).schema(RESPONSES).load(path)
 
 
-def spread(pages: DataFrame, key: str) -> DataFrame:
-    """Distribute a scan that has fewer splits than the cluster has cores; larger inputs stay as they are read.
-
-    Only for a plain file scan: its number of splits is known without running anything.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.isStreaming or pages.rdd.getNumPartitions() >= cores else pages.repartition(cores, key)
-
-
 def is_text_content(content_type: Column, url: Column) -> Column:
     """Is the body text worth keeping?"""
     ct = F.lower(F.coalesce(content_type, F.lit("")))

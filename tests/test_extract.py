@@ -108,3 +108,28 @@ def test_snippets(spark):
     text = " " + "w" * 100 + " here.com\nand " + "v" * 100 + " "
     i = text.index("here.com")
     assert row["context_snippet"] == "..." + text[i - 60:i + 68].replace("\n", " ").strip() + "..."
+
+
+#: Pages with the rows they must give, written out: (side, domain, source_type) of all hits but the page's own host.
+PROBES = [
+    ('<!-- c -->Source: <a href="https://lost1.org/x">x</a>', {("external", "lost1.org", "link_href")}),
+    ('<!-- c -->Link to <a href="https://lost2.org/x">x</a>', {("external", "lost2.org", "link_href")}),
+    ('<!-- <script>var u = "https://insc.org/a";</script> -->', {("external", "insc.org", "comment")}),
+    ('<!-- <style>p{background:url(https://incss.org/a.png)}</style> -->', {("external", "incss.org", "comment")}),
+    ('<textarea><a href="https://area.org/x">x</a></textarea>', set()),  # no link: the content is text, and its tags are taken off
+    ('<a href="https&#58;//numeric.org/&#x61;">x</a>', {("external", "numeric.org", "link_href")}),
+    ('<a href="https:&sol;&sol;named.org/">x</a>', {("external", "named.org", "link_href")}),
+    ('<script>var a = "<!-- https://kept.org/x -->";</script>', {("external", "kept.org", "script_code")}),
+]
+
+
+@pytest.mark.parametrize("html,rows", PROBES, ids=lambda x: x[:30] if isinstance(x, str) else "")
+def test_probe_pages(spark, html, rows):
+    got = {(side, domain, source) for _, side, domain, source in found(spark, [("https://www.site.com/", html)]) if source != "page_host"}
+    assert got == rows
+
+
+def test_probe_links(spark):
+    pages = frame(spark, [("https://www.site.com/", '<!-- c -->Link to <a href="/inner">x</a><link rel="stylesheet" href="/theme.php?v=1"><link rel=icon href="/i.php">')])
+    got = {(r["url"], r["kind"]) for r in X.discover_links(pages).collect()}
+    assert got == {("https://www.site.com/inner", "page"), ("https://www.site.com/theme.php?v=1", "css")}
