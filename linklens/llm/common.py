@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def text_of(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of a stored table whose keys `rows` lists, with all their columns."""
-    return keyed(docs, "*").join(rows.select("row"), "row", "left_semi").drop("row")
+    whole = keyed(docs, F.struct("*").alias("whole"))  # a column of the table may be called row as well
+    return whole.join(rows.select("row"), "row", "left_semi").select("whole.*")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,3 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the folder of spark.checkpoint.dir and read again: cuts lineage as a checkpoint does, compressed.
+
+    The folder is one for each application; it can be deleted when the application has ended.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

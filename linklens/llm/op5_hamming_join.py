@@ -9,7 +9,7 @@ four keys, each without one component.  So all pairs within that distance share
 key; a pair at similarity 0.8 exactly is farther apart five times in a million.
 
 Documents with equal sets are one class with one representative.  Pairs aren't
-formed within a bucket of a key: first each member is compared with one hub, and
+formed within a bucket of a key: first each member is compared with two hubs, and
 confirmed links join them into components; only pairs of different components of a
 bucket are then compared by their signatures, in blocks of bounded size, and the
 near ones confirmed.  A large group of near copies thus costs one comparison a
@@ -38,10 +38,10 @@ SIMILARITY = 80  # per cent
 COMPONENTS, CHUNK = 48, 4
 #: Signatures that differ in more components aren't compared on their texts; the join guarantees all up to 23.
 FARTHEST = 27
-#: Hubs tried for each bucket before components are compared; documents of a block; pairs compared together.
+#: Hubs that each member of a bucket is compared with before components are compared; documents of a block; pairs compared together.
 HUBS, BLOCK, TOGETHER = 2, 1024, 1 << 17
-#: Bits of the filter of the rows whose texts are needed (2**27 bits are 16 MB).
-ROW_BITS = 27
+#: Bits of the filter of the rows whose texts are needed (2**25 bits are 4 MB).
+ROW_BITS = 25
 SIGNED = "row long, doc_id long, n_shingles long, set1 long, set2 long, signature binary"
 
 
@@ -223,29 +223,30 @@ def needed_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(known.has(batch.column("row").to_numpy().view(np.uint64))))
 
-    return C.checkpointed(texts.select("row", "text").mapInArrow(pick, "row long, text string"))
+    return C.stored(texts.select("row", "text").mapInArrow(pick, "row long, text string"), "texts")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp of all nodes of the edges (a, b): each round joins every node with its first neighbour.
 
     The order of nodes is that of a hash, so that chains shrink by a constant factor a
-    round as well.  Rounds end in a reliable checkpoint; nothing is collected but
-    whether edges are left.
+    round as well.  Rounds end in a stored table, whose true size the next plan knows (a
+    checkpoint keeps the estimate, which grows with every join); nothing is collected
+    but whether edges are left.
     """
     maps = None
-    edges = C.checkpointed(edges.where("a <> b").select("a", "b").distinct())
+    edges = C.stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
     number = 0
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
         first = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["node"].alias("up"))
-        first = C.checkpointed(first)
-        maps = first.withColumnRenamed("up", "comp") if maps is None else C.checkpointed(
-            maps.join(first.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        first = C.stored(first, "first")
+        maps = first.withColumnRenamed("up", "comp") if maps is None else C.stored(
+            maps.join(first.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "maps")
         left = edges.join(first.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").select("x", "b")
         edges = left.join(first.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").where("x <> y")
-        edges = C.checkpointed(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = C.stored(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         number += 1
     return maps if maps is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
@@ -253,21 +254,21 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, component_id, and whether it is the row that stays."""
     texts = C.text_of(docs)
-    signed = C.checkpointed(texts.mapInArrow(lambda batches: sign_batches(batches, shingle), SIGNED))
+    signed = C.stored(texts.mapInArrow(lambda batches: sign_batches(batches, shingle), SIGNED), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     one_set = ["set1", "set2", "n_shingles"]
-    classes = C.checkpointed(signed.where("n_shingles > 0").groupBy(*one_set).agg(F.min("row").alias("rep"), F.min(first).alias("best"), F.max("signature").alias("signature")))
+    classes = C.stored(signed.where("n_shingles > 0").groupBy(*one_set).agg(F.min("row").alias("rep"), F.min(first).alias("best"), F.max("signature").alias("signature")), "classes")
     # the signature is a function of the set, so any member's will do
     signs = classes.select("rep", "signature", "n_shingles")
     keys = signs.select("rep", "signature").mapInArrow(key_batches, "key long, rep long")
     rank = lambda n: F.min(F.struct(F.xxhash64("rep", F.lit(n)).alias("h"), F.col("rep").alias("hub")))
     hubs = keys.groupBy("key").agg(F.count("*").alias("n"), *(rank(n).alias(f"hub{n}") for n in range(HUBS))).where("n > 1")
-    buckets = C.checkpointed(keys.join(hubs.select("key", "n", *(F.col(f"hub{n}.hub").alias(f"hub{n}") for n in range(HUBS))), "key"))
+    buckets = C.stored(keys.join(hubs.select("key", *(F.col(f"hub{n}.hub").alias(f"hub{n}") for n in range(HUBS))), "key"), "buckets")
     stored = needed_texts(texts, buckets.select(F.col("rep").alias("row")).distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: stored.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-        return C.checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda batches: confirm_batches(batches, shingle), "a long, b long"))
+        return C.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda batches: confirm_batches(batches, shingle), "a long, b long"), "links")
 
     def with_signs(pairs: DataFrame) -> DataFrame:
         side = lambda c: signs.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
@@ -276,15 +277,10 @@ def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def labelled(df: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    links = confirmed(with_signs(buckets.where("rep <> hub0").select(F.least("rep", "hub0").alias("a"), F.greatest("rep", "hub0").alias("b")).distinct()))
-    comps = components(links)
-    for n in range(1, HUBS):
-        hub = f"hub{n}"
-        pairs = buckets.where(f"rep <> {hub}").select(F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")).distinct()
-        pairs = labelled(labelled(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
-        links = links.union(confirmed(with_signs(pairs)))
-        comps = components(links)
-    members = C.checkpointed(labelled(buckets.select("key", "rep"), comps, "rep", "comp"))
+    stars = F.explode(F.array(*(f"hub{n}" for n in range(HUBS)))).alias("hub")
+    stars = buckets.select("rep", stars).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    comps = components(confirmed(with_signs(stars)))
+    members = C.stored(labelled(buckets.select("key", "rep"), comps, "rep", "comp"), "members")
     mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     dealt = (members.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(signs, "rep")
              .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -292,9 +288,10 @@ def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "rep", "block", "n_shingles", "signature"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "comp").mapInArrow(group_batches, "a long, b long").distinct()
-    links = links.union(confirmed(near))
-    comps = components(links)
-    named = labelled(classes.select("rep", "best", *one_set), comps, "rep", "comp")
+    # what is linked now are components: their links join them once more
+    links = labelled(labelled(confirmed(near), comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    named = labelled(classes.select("rep", "best", *one_set), comps, "rep", "part")
+    named = labelled(named, components(links), "part", "comp").drop("part")
     best = named.groupBy("comp").agg(F.min("best").alias("head"))
     heads = named.join(best, "comp").select(*one_set, "head")
     joined = signed.join(heads, one_set, "left")
