@@ -13,7 +13,7 @@ offending offsets are the tokens with a marginal of at least one half.
 The recursions run on blocks of tokens of all documents of a slice at once: the
 transfer matrices of the blocks are multiplied first, then chained, so that a long
 document costs no more a token than a short one.  Nothing of the corpus is
-shuffled; only the sample reaches the driver, and only weights leave it.
+shuffled but the sample, which one task fits on; the driver sees only weights.
 
 Defined results: null and empty texts have no tokens, no spans and the score of a
 document without a toxic token; a null doc_id is not held out; without labelled
@@ -23,12 +23,14 @@ labelled twice counts as toxic if either row says so.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,9 +260,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, mod: int = HELD_OUT_MOD, sample:
     some = [marked.where(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in (sample or SAMPLE).items()]
     chosen = some[0].unionByName(some[1])
     rows = C.text_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # as many ids as the sample has at most
-    # where a doc_id repeats, one of its texts is taken, so that the bound holds
-    found = sorted(tuple(r) for r in rows.groupBy("doc_id", "toxic").agg(F.max("text")).collect())
-    return fit([t for _, _, t in found], np.array([k for _, k, _ in found], dtype=np.int64))
+    # where a doc_id repeats, one of its texts is taken, so that the bound holds; one task fits, the driver gets the weights
+    found = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).repartition(1).mapInArrow(fit_batches, "model binary").first()
+    if found is None:  # no labelled document
+        return fit([], np.zeros(0, dtype=np.int64))
+    weights, *rest = pickle.loads(found.model)
+    return Model(np.frombuffer(weights, dtype=np.float32), *rest)
+
+
+def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows of a task, in the order of their ids."""
+    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True))
+    model = fit([t for _, _, t in rows], np.array([k for _, k, _ in rows], dtype=np.int64))
+    plain = (model.weights.astype(np.float32).tobytes(), model.bias, model.start, model.moves, model.scale, model.shift)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plain)], pa.binary())], names=["model"])
 
 
 def tag_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -286,9 +299,21 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return C.text_of(docs).mapInArrow(lambda batches: tag_batches(batches, sent.value), SCHEMA)
 
 
+def clean_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Whole rows with a score below one half."""
+    powers = W.Powers(W.BYTE_BASE)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for low, high, data, bounds in W.slices(pc.fill_null(batch.column(at), ""), 1 << 20):
+            tokens = Tokens(data, bounds, powers)
+            _, odds, _ = chain(tokens.first, model.emission(tokens.features), model)
+            yield batch.slice(low, high - low).filter(pa.array(model.score(odds) < 0.5))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score below one half, with all their columns."""
-    return C.keep_rows(docs, toxicity(docs, fit_on(docs, labels)).where("score < 0.5"))
+    """The documents with a score below one half, with all their columns; nothing but the sample is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels))
+    return docs.mapInArrow(lambda batches: clean_batches(batches, sent.value), docs.schema)
 
 
 def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
