@@ -33,6 +33,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,12 @@ from linklens.llm import words as W
 WINDOW, GRAM = 35, 8
 #: Bits of the two Bloom filters (2**27 bits are 16 MB).
 ANCHOR_BITS, WINDOW_BITS = 27, 27
-#: Bytes of the documents of a shard, on average at most; characters of the passages of one automaton.
-SHARD, AUTOMATON = 4_000_000, 1_000_000
+#: Packed bytes of the documents of a shard, on average at most; characters of the passages of one automaton.
+SHARD, AUTOMATON = 2_000_000, 400_000
 #: Windows a task holds before it hands their sums on.
 HELD_WINDOWS = 1 << 20
 RESULT = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string"
-HELD = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+HELD = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, packed binary"
 
 
 class Passages:
@@ -146,8 +147,8 @@ def bloom(hashes: DataFrame, column: str, log2: int) -> bytes:
 
 
 def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
-    """Documents without a candidate window with their result, the others with their text."""
-    powers, known = tables(), W.Bits(WINDOW_BITS, bits)
+    """Documents without a candidate window with their result, the others with their text, packed."""
+    powers, known, pack = tables(), W.Bits(WINDOW_BITS, bits), zstandard.ZstdCompressor()
     for batch in batches:
         for low, high, data, bounds in W.slices(batch.column("text")):
             p = Passages(data, bounds, powers)
@@ -157,27 +158,41 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterato
             raw, count = data.tobytes(), np.diff(p.words.first)
             places = list(zip(hit.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
             digests = [None if h else hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for h, a, b in places]
-            texts = pa.array([raw[a:b].decode() if h else None for h, a, b in places], pa.string())
+            packed = pa.array([pack.compress(raw[a:b]) if h else None for h, a, b in places], pa.binary())
             yield pa.RecordBatch.from_arrays([
                 batch.column("row").slice(low, high - low), batch.column("doc_id").slice(low, high - low), pa.array(count),
-                pa.array(np.where(hit, -1, 0)), pa.array(digests, pa.string()), texts],
-                names=["row", "doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+                pa.array(np.where(hit, -1, 0)), pa.array(digests, pa.string()), packed],
+                names=["row", "doc_id", "n_words", "n_removed", "kept_sha256", "packed"])
+
+
+def unpacked(texts: list[bytes]) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(t).decode() for t in texts], pa.large_string())
 
 
 def shard_batches(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
-    """The candidate windows of each shard, once for each batch."""
-    powers, known = tables(), W.Bits(WINDOW_BITS, bits)
+    """The candidate windows of each shard, once for each 2**20 of them."""
+    powers, known, held = tables(), W.Bits(WINDOW_BITS, bits), []
+
+    def once() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), signed(rows[:, 1].copy()), signed(rows[:, 2].copy())], names=["shard", "h1", "h2"])
+
     for batch in batches:
         shards = batch.column("shard").to_numpy()
-        for low, high, data, bounds in W.slices(batch.column("text")):
+        for low, high, data, bounds in W.slices(unpacked(batch.column("packed").to_pylist())):
             p = Passages(data, bounds, powers)
             if len(p.whole):
                 h1, h2 = p.fingerprints(np.arange(len(p.whole)))
                 some = known.has(h1)
-                if some.any():
-                    shard = shards[low:high][p.words.doc[p.whole[some]]].astype(np.uint64)
-                    rows = np.unique(np.stack([shard, h1[some], h2[some]], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), signed(rows[:, 1].copy()), signed(rows[:, 2].copy())], names=["shard", "h1", "h2"])
+                held.append(np.stack([shards[low:high][p.words.doc[p.whole[some]]].astype(np.uint64), h1[some], h2[some]], axis=1))
+            if sum(map(len, held)) >= HELD_WINDOWS:
+                yield once()
+                held.clear()
+    if sum(map(len, held)):
+        yield once()
 
 
 def automata(passages: list[str], size: int = AUTOMATON) -> Iterator[ahocorasick.Automaton]:
@@ -198,19 +213,17 @@ def automata(passages: list[str], size: int = AUTOMATON) -> Iterator[ahocorasick
 def locate(docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
     """Result rows of a shard's documents, given the recurring windows of the shard."""
     powers = tables()
-    order = np.argsort(recurring["h1"].to_numpy().view(np.uint64))
-    known1, known2 = recurring["h1"].to_numpy().view(np.uint64)[order], recurring["h2"].to_numpy().view(np.uint64)[order]
+    known = np.unique(recurring["h1"].to_numpy().view(np.uint64))  # joined by both hashes; among the few of a shard one tells them apart
     lines, passages = [], {}
-    for text in docs["text"]:
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
+    for packed in docs["packed"]:
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
         p = Passages(data, np.array([0, len(data)]), powers)
         words = [data[a:b].tobytes().decode() for a, b in zip(p.words.starts.tolist(), p.words.ends.tolist(), strict=True)]
         lines.append(words)
-        if not len(p.whole) or not len(known1):
+        if not len(p.whole) or not len(known):
             continue
-        h1, h2 = p.fingerprints(np.arange(len(p.whole)))
-        at = np.minimum(np.searchsorted(known1, h1), len(known1) - 1)
-        found = (known1[at] == h1) & (known2[at] == h2)
+        h1, _ = p.fingerprints(np.arange(len(p.whole)))
+        found = known[np.minimum(np.searchsorted(known, h1), len(known) - 1)] == h1
         edges = np.flatnonzero(np.diff(np.concatenate([[0], found, [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             passages[f" {' '.join(words[a:b - 1 + WINDOW])} "] = None
@@ -239,16 +252,16 @@ def without_recurring(docs: DataFrame) -> DataFrame:
     anchors = texts.select("text").mapInArrow(anchor_batches, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     first = spark.sparkContext.broadcast(bloom(anchors, "anchor", ANCHOR_BITS))  # of fixed size, like the next
     windows = texts.select("text").mapInArrow(lambda batches: window_batches(batches, first.value), "h1 long, h2 long, n long")
-    recurring = C.checkpointed(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"))
+    recurring = C.stored(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"), "recurring")
     second = spark.sparkContext.broadcast(bloom(recurring, "h1", WINDOW_BITS))
-    held = C.checkpointed(texts.mapInArrow(lambda batches: candidate_batches(batches, second.value), HELD))
-    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, second.value), HELD), "candidates")
+    size = held.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
-    open_ = held.where("text is not null").select("row", "doc_id", "text", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
-    of_shard = open_.select("text", "shard").mapInArrow(lambda batches: shard_batches(batches, second.value), "shard int, h1 long, h2 long")
-    of_shard = of_shard.distinct().join(recurring, ["h1", "h2"])
+    open_ = held.where("packed is not null").select("row", "doc_id", "packed", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
+    of_shard = open_.select("packed", "shard").mapInArrow(lambda batches: shard_batches(batches, second.value), "shard int, h1 long, h2 long")
+    of_shard = of_shard.join(recurring, ["h1", "h2"], "left_semi").select("shard", "h1")
     located = open_.groupBy("shard").cogroup(of_shard.groupBy("shard")).applyInPandas(locate, RESULT)
-    return held.where("text is null").select("row", "doc_id", "n_words", "n_removed", "kept_sha256").unionByName(located)
+    return held.where("packed is null").select("row", "doc_id", "n_words", "n_removed", "kept_sha256").unionByName(located)
 
 
 def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
