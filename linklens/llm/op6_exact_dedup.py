@@ -67,10 +67,10 @@ def exact_groups(docs: DataFrame, **cut) -> DataFrame:
     Groups are summed before they are shuffled and joined back by recipe, so the
     members of a large group never meet in one task.
     """
-    rows = C.checkpointed(recipes(docs, **cut))
+    rows = C.stored(recipes(docs, **cut), "recipes")
     rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-    shared = C.checkpointed(groups.where("group_size > 1"))
+    shared = C.stored(groups.where("group_size > 1"), "shared")
     ids = verified_ids(docs, rows.join(shared, "recipe", "left_semi").select("row"), **cut)
     one = F.when(F.col("contents") == 1, True).otherwise(F.raise_error(F.lit("chunks of different bytes share a SHA-256")).cast("boolean"))
     proven = (shared.select("recipe", F.explode(F.array_distinct("recipe")).alias("id")).join(ids, "id", "left")
