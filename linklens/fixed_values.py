@@ -5,77 +5,58 @@ labels, remarks, patterns and file layouts.  Nothing in this module computes.
 """
 
 # --- fixed values: suffixes that name files or server actions, never a TLD ---
-FILE_EXTENSIONS = """
-js css png jpg jpeg gif svg webp ico vue
-ts jsx tsx py java c cpp h cs php rb
-go rs sh bat cmd ps1 json xml yaml yml
-md txt pdf doc docx xls xlsx ppt pptx zip
-rar 7z tar gz mp3 mp4 avi mov wav wasm
-map woff woff2 ttf eot swf apk ipa dmg exe
-do action jsp asp aspx cgi htm html shtml
-""".split()
+FILE_EXTENSIONS = [
+    "js", "css", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "vue", "ts", "jsx", "tsx", "py", "java", "c", "cpp", "h", "cs", "php", "rb",
+    "go", "rs", "sh", "bat", "cmd", "ps1", "json", "xml", "yaml", "yml", "md", "txt", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip",
+    "rar", "7z", "tar", "gz", "mp3", "mp4", "avi", "mov", "wav", "wasm", "map", "woff", "woff2", "ttf", "eot", "swf", "apk", "ipa", "dmg",
+    "exe", "do", "action", "jsp", "asp", "aspx", "cgi", "htm", "html", "shtml",
+]
 
 # --- fixed values: identifiers that look like the first label of a domain ---
-CODE_WORDS = """
-window document console location history navigator
-screen event math json date array object string
-number boolean function symbol promise regexp error
-map set intl reflect proxy webassembly chrome
-obj item items data res req resp err msg
-node element elem el vm ctx this self parent
-top sub pub btn form page query result target
-source dest val value key name type index idx
-count total len length size config options opts
-params args param arg props prop state view
-model app user info text html body header footer
-title content url uri path href src route routes
-action method status code temp tmp util utils
-helper helpers myplayer player video video1 audio image input
-win doc pub-title obju0 intbro show style time id
-e t i v k p n s m d c b a x y z
-var let const return typeof instanceof delete void
-null undefined true false nan default import export
-""".split()
+CODE_WORDS = [
+    "window", "document", "console", "location", "history", "navigator", "screen", "event", "math", "json", "date", "array", "object", "string",
+    "number", "boolean", "function", "symbol", "promise", "regexp", "error", "map", "set", "intl", "reflect", "proxy", "webassembly", "chrome",
+    "obj", "item", "items", "data", "res", "req", "resp", "err", "msg", "node", "element", "elem", "el", "vm", "ctx", "this", "self", "parent",
+    "top", "sub", "pub", "btn", "form", "page", "query", "result", "target", "source", "dest", "val", "value", "key", "name", "type", "index",
+    "idx", "count", "total", "len", "length", "size", "config", "options", "opts", "params", "args", "param", "arg", "props", "prop", "state",
+    "view", "model", "app", "user", "info", "text", "html", "body", "header", "footer", "title", "content", "url", "uri", "path", "href", "src",
+    "route", "routes", "action", "method", "status", "code", "temp", "tmp", "util", "utils", "helper", "helpers", "myplayer", "player", "video",
+    "video1", "audio", "image", "input", "win", "doc", "pub-title", "obju0", "intbro", "show", "style", "time", "id", "e", "t", "i", "v", "k",
+    "p", "n", "s", "m", "d", "c", "b", "a", "x", "y", "z", "var", "let", "const", "return", "typeof", "instanceof", "delete", "void", "null",
+    "undefined", "true", "false", "nan", "default", "import", "export",
+]
 
 # --- fixed values: TLDs that are also ordinary words or brands ---
-DICTIONARY_TLDS = """
-open target play click next now total data
-name chrome top do to mp post tab help
-link work live page call show like auto car
-pub bar movie date review id
-""".split()
+DICTIONARY_TLDS = [
+    "open", "target", "play", "click", "next", "now", "total", "data", "name", "chrome", "top", "do", "to", "mp", "post", "tab", "help", "link",
+    "work", "live", "page", "call", "show", "like", "auto", "car", "pub", "bar", "movie", "date", "review", "id",
+]
 
 # --- fixed values: names that are never a finding ---
 RESERVED_DOMAINS = ["localhost", "example.com", "example.org", "test.com"]
 
 # --- fixed values: path suffixes that cannot hold crawlable HTML ---
-NON_HTML_SUFFIXES = """
-pdf doc docx xls xlsx ppt pptx odt rtf wps
-zip rar 7z tar gz bz2 iso apk exe dmg msi pkg
-mp4 mp3 avi flv mkv mov wmv wav ogg webm m4a
-png jpg jpeg gif bmp svg webp ico tiff psd
-woff woff2 ttf eot otf
-css js
-""".split()
+NON_HTML_SUFFIXES = [
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "rtf", "wps", "zip", "rar", "7z", "tar", "gz", "bz2", "iso", "apk", "exe", "dmg",
+    "msi", "pkg", "mp4", "mp3", "avi", "flv", "mkv", "mov", "wmv", "wav", "ogg", "webm", "m4a", "png", "jpg", "jpeg", "gif", "bmp", "svg",
+    "webp", "ico", "tiff", "psd", "woff", "woff2", "ttf", "eot", "otf", "css", "js",
+]
 
 # --- fixed values: text content by path suffix ---
-TEXT_PATH_SUFFIXES = "html htm js css xml txt shtml do action jsp asp php".split()
+TEXT_PATH_SUFFIXES = [
+    "html", "htm", "js", "css", "xml", "txt", "shtml", "do", "action", "jsp", "asp", "php",
+]
 
 # --- fixed values: allow-listed infrastructure ---
-SAFE_ROOTS = """
-cloudflare.com cdnjs.cloudflare.com jsdelivr.net jsdelivr.com unpkg.com
-bootcdn.net staticfile.org w3.org schema.org bootstrapcdn.com
-fontawesome.com jquery.com polyfill.io cdnjs.com
-baidu.com bdstatic.com qq.com gtimg.com tencent.com
-aliyun.com aliyuncs.com alicdn.com taobao.com tmall.com
-google.com gstatic.com googleapis.com google-analytics.com googletagmanager.com
-microsoft.com apple.com github.com githubusercontent.com
-weibo.com sina.com.cn jd.com amazon.com amazonaws.com
-huaweicloud.com myhuaweicloud.com volcengine.com volccdn.com
-qiniu.com qiniucdn.com upyun.com bytedance.com douyin.com
-miit.gov.cn beian.miit.gov.cn conac.cn bszs.conac.cn
-12377.cn 12321.cn mps.gov.cn gov.cn
-""".split()
+SAFE_ROOTS = [
+    "cloudflare.com", "cdnjs.cloudflare.com", "jsdelivr.net", "jsdelivr.com", "unpkg.com", "bootcdn.net", "staticfile.org", "w3.org",
+    "schema.org", "bootstrapcdn.com", "fontawesome.com", "jquery.com", "polyfill.io", "cdnjs.com", "baidu.com", "bdstatic.com", "qq.com",
+    "gtimg.com", "tencent.com", "aliyun.com", "aliyuncs.com", "alicdn.com", "taobao.com", "tmall.com", "google.com", "gstatic.com",
+    "googleapis.com", "google-analytics.com", "googletagmanager.com", "microsoft.com", "apple.com", "github.com", "githubusercontent.com",
+    "weibo.com", "sina.com.cn", "jd.com", "amazon.com", "amazonaws.com", "huaweicloud.com", "myhuaweicloud.com", "volcengine.com",
+    "volccdn.com", "qiniu.com", "qiniucdn.com", "upyun.com", "bytedance.com", "douyin.com", "miit.gov.cn", "beian.miit.gov.cn", "conac.cn",
+    "bszs.conac.cn", "12377.cn", "12321.cn", "mps.gov.cn", "gov.cn",
+]
 SAFE_SUFFIXES = [".gov.cn", ".edu.cn"]
 
 # --- fixed values: link prefixes that lead nowhere on the web ---
@@ -234,18 +215,6 @@ PRESET_TAGS = [
     ("官方安全", "地图与字体", "safe"), ("官方安全", "支付结算", "safe"),
 ]
 
-# --- fixed values: root zone changes since the suffix list shipped with Spark was made ---
-TLDS_ADDED = "merck web wed".split()
-TLDS_RETIRED = """
-abarth alfaromeo avianca bananarepublic bentley cbs cityeats comcast cookingchannel
-dabur dunlop etisalat fiat foodnetwork frontdoor goo guardian hgtv hoteles
-kerrylogistics kinder lancaster lancia linde lipsy loft macys maserati mutual natura
-northwesternmutual oldnavy onion passagens pramerica redstone rocher sca ses shaw
-showtime tiffany travelchannel volkswagen vuelos wolterskluwer xfinity
-xn--jlq61u9w7b xn--mgb2ddes xn--mgba3a4fra xn--mgbaakc7dvf xn--mgbai9a5eva00b
-xn--mgberp4a5d4a87g xn--mgbqly7c0a67fbc xn--mgbqly7cvafr xn--mgbtf8fl xn--mix082f
-xn--nnx388a
-""".split()
 
 # Named character references that are decoded, the ampersand last
 NAMED_REFERENCES = [

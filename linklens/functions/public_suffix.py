@@ -17,8 +17,6 @@ import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linklens.fixed_values import TLDS_ADDED, TLDS_RETIRED
-
 LIST_ENTRY = "mozilla/public-suffix-list.txt"
 
 
@@ -56,9 +54,7 @@ def load_rules(path: str | None = None) -> tuple[str, ...]:
             except UnicodeError:
                 continue
             rules.append(mark + ".".join(labels).lower())
-    retired = set(TLDS_RETIRED)
-    rules = [r for r in rules if r.split(".")[-1] not in retired]
-    return tuple(dict.fromkeys(rules + list(TLDS_ADDED)))
+    return tuple(dict.fromkeys(rules))
 
 
 @functools.lru_cache(maxsize=4)
