@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -11,7 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     s = (SparkSession.builder.master("local[8]").appName("linklens-tests").config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")
-         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-checkpoint-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
