@@ -38,8 +38,11 @@ SIMILARITY = 80  # per cent
 COMPONENTS, CHUNK = 48, 4
 #: Signatures that differ in more components aren't compared on their texts; the join guarantees all up to 23.
 FARTHEST = 27
+#: More components, of 8 bits, that take no part in the join: a pair goes to its texts
+#: if at most so many of all differ, six standard deviations above a similarity of 0.8.
+MORE, FARTHEST_OF_ALL = 208, 90
 #: Hubs that each member of a bucket is compared with before components are compared; documents of a block; pairs compared together.
-HUBS, BLOCK, TOGETHER = 2, 1024, 1 << 17
+HUBS, BLOCK, TOGETHER = 2, 1024, 1 << 16
 #: Bits of the filter of the rows whose texts are needed (2**25 bits are 4 MB).
 ROW_BITS = 25
 SIGNED = "row long, doc_id long, n_shingles long, set1 long, set2 long, signature binary"
@@ -71,20 +74,24 @@ def powers() -> tuple[W.Powers, W.Powers]:
 
 def sign_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     tables = powers()
-    factors = W.mix(np.arange(COMPONENTS, dtype=np.uint64), 99) | np.uint64(1)
+    factors = W.mix(np.arange(COMPONENTS + MORE, dtype=np.uint64), 99) | np.uint64(1)
     for batch in batches:
         for low, high, data, bounds in W.slices(batch.column("text")):
             sets = Sets(data, bounds, shingle, tables)
             some = np.flatnonzero(sets.sizes)
-            out = np.zeros((high - low, COMPONENTS), dtype="<u2")
+            out, more = np.zeros((high - low, COMPONENTS), dtype="<u2"), np.zeros((high - low, MORE), dtype=np.uint8)
             sums = np.zeros((2, high - low), dtype=np.uint64)
             if len(some):
                 at = sets.first[some]
                 for k, factor in enumerate(factors):
-                    out[some, k] = W.mix(np.minimum.reduceat(sets.values * factor, at)) >> np.uint64(48)
+                    least = W.mix(np.minimum.reduceat(sets.values * factor, at))
+                    if k < COMPONENTS:
+                        out[some, k] = least >> np.uint64(48)
+                    else:
+                        more[some, k - COMPONENTS] = least >> np.uint64(56)
                 for k in range(2):
                     sums[k, some] = np.add.reduceat(W.mix(sets.values, 7 + k), at)
-            signatures = [out[i].tobytes() if sets.sizes[i] else None for i in range(high - low)]
+            signatures = [out[i].tobytes() + more[i].tobytes() if sets.sizes[i] else None for i in range(high - low)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("row").slice(low, high - low), batch.column("doc_id").slice(low, high - low), pa.array(sets.sizes),
                 *(pa.array(s.view(np.int64)) for s in sums), pa.array(signatures, pa.binary())], names=["row", "doc_id", "n_shingles", "set1", "set2", "signature"])
@@ -107,16 +114,30 @@ def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, COMPONENTS)
+    """The joined components of each row."""
+    return np.ascontiguousarray(bytes_of(column)[:, :2 * COMPONENTS]).view("<u2")
+
+
+def bytes_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 2 * COMPONENTS + MORE)
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two tables of signature bytes are near, judged by the joined components first."""
+    width = 2 * COMPONENTS
+    far = (np.ascontiguousarray(a[:, :width]).view("<u2") != np.ascontiguousarray(b[:, :width]).view("<u2")).sum(axis=1)
+    out = far <= FARTHEST
+    some = np.flatnonzero(out)
+    out[some] = far[some] + (a[some, width:] != b[some, width:]).sum(axis=1) <= FARTHEST_OF_ALL
+    return out
 
 
 def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures are near, of columns a, b, sig_a, sig_b, n_a, n_b."""
     for batch in batches:
         if batch.num_rows:
-            far = (signatures_of(batch.column("sig_a")) != signatures_of(batch.column("sig_b"))).sum(axis=1)
             sizes = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            keep = pa.array((far <= FARTHEST) & alike(*sizes))
+            keep = pa.array(near(bytes_of(batch.column("sig_a")), bytes_of(batch.column("sig_b"))) & alike(*sizes))
             yield batch.select(["a", "b"]).filter(keep)
 
 
@@ -144,7 +165,7 @@ def pairs_within(table: pa.RecordBatch, ids: np.ndarray) -> Iterator[pa.RecordBa
     if not table.num_rows:
         return
     reps, comps, blocks, sizes = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "n_shingles"))
-    signatures = signatures_of(table.column("signature"))
+    signatures = bytes_of(table.column("signature"))
     several = table.column("i").to_numpy() != table.column("j").to_numpy()
     new_group = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
     new_run = new_group | np.concatenate([[True], comps[1:] != comps[:-1]])
@@ -159,11 +180,11 @@ def pairs_within(table: pa.RecordBatch, ids: np.ndarray) -> Iterator[pa.RecordBa
         right = np.arange(total[high] - total[low]) - np.repeat(total[low:high] - total[low] - begin[low:high], counts[low:high])
         ok = alike(sizes[left], sizes[right]) & (~several[left] | (blocks[left] != blocks[right]))
         left, right = left[ok], right[ok]
-        near = np.zeros(len(left), dtype=bool)
+        close = np.zeros(len(left), dtype=bool)
         for a in range(0, len(left), TOGETHER):
-            near[a:a + TOGETHER] = (signatures[left[a:a + TOGETHER]] != signatures[right[a:a + TOGETHER]]).sum(axis=1) <= FARTHEST
-        if near.any():
-            a, b = reps[left[near]], reps[right[near]]
+            close[a:a + TOGETHER] = near(signatures[left[a:a + TOGETHER]], signatures[right[a:a + TOGETHER]])
+        if close.any():
+            a, b = reps[left[close]], reps[right[close]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         low = high
 
@@ -287,9 +308,9 @@ def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "rep", "block", "n_shingles", "signature"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "comp").mapInArrow(group_batches, "a long, b long").distinct()
+    close = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "comp").mapInArrow(group_batches, "a long, b long").distinct()
     # what is linked now are components: their links join them once more
-    links = labelled(labelled(confirmed(near), comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    links = labelled(labelled(confirmed(close), comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     named = labelled(classes.select("rep", "best", *one_set), comps, "rep", "part")
     named = labelled(named, components(links), "part", "comp").drop("part")
     best = named.groupBy("comp").agg(F.min("best").alias("head"))
