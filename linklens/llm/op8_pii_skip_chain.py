@@ -247,7 +247,7 @@ def find_batches(batches: Iterator[pa.RecordBatch], model: Field) -> Iterator[pa
                     counts[kind, d] += 1
                 all_ = list(base)
                 own, begin = some[edges[d]:edges[d + 1]], points[bounds[d]]
-                if len(own) and base:
+                if len(own):
                     tokens = zip((points[words.starts[own]] - begin).tolist(), (points[words.ends[own]] - begin).tolist(), own.tolist(), strict=True)
                     nodes = nodes_of(text, list(tokens), base)
                     if any(not n.label for n in nodes):
