@@ -4,11 +4,14 @@ Tokens are canonicalised: one with a digit and number words become <num>, a unit
 after a number <unit>, a capitalised token inside a sentence <name>, all others are
 lower-cased.  Windows of five template tokens of the benchmark items and of the
 documents are joined by their hashes.  Where windows meet, the placeholders' original
-values are aligned, for each item and each shift between document and item: a shift
-counts if every item value stands for one document value and the other way round.  So
-a question with other numbers and names is caught, and a chance meeting of
-placeholders isn't.  A document is contaminated by an item if at least 80 per cent of
-the item's windows stand in it under such shifts.
+values are aligned, for each item and each shift between document and item: an item
+value stands for the document value that it meets in more than half of its places, if
+that meets it in more than half of its own.  A window counts if its values are the
+item's, or if it has none, or if all of them stand for what they meet; a window with
+another value doesn't, and takes no other window with it.  So a question with other
+numbers and names is caught, and a chance meeting of placeholders isn't.  A document
+is contaminated by an item if at least 80 per cent of the item's windows count, and
+its kind is verbatim if none of these has a changed value.
 
 Documents are scanned in place.  A Bloom filter of fixed size over the items'
 windows lets only windows that may meet leave the scan; the join decides.
@@ -21,6 +24,7 @@ item_id is kept as it is.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,9 @@ UNITS = ("m", "km", "cm", "mm", "g", "kg", "mg", "l", "ml", "s", "ms", "h", "hou
          "weeks", "month", "months", "year", "years", "mile", "miles", "foot", "feet", "inch", "inches", "pound", "pounds", "dollar", "dollars", "euro", "euros",
          "cent", "cents", "percent", "degrees", "meters", "metres", "kilometers", "kilograms", "grams", "liters", "litres")
 NUM, UNIT, NAME = (np.uint64(0xA0761D6478BD642F + k) for k in range(3))
-ROWS = "row long, id long, pos long, windows long, h1 long, h2 long, slots array<string>"
+ROWS = "row long, id long, pos long, windows long, h1 long, h2 long, slots array<struct<at: int, word: string>>"
+
+SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())]))
 
 
 def hashes_of(words: tuple[str, ...], powers: W.Powers) -> np.ndarray:
@@ -75,10 +81,10 @@ class Templates:
             self.h2 = W.mix(W.Rolling(W.mix(token, 5), powers[2]).windows(WINDOW), 7)[self.whole]
         self.windows = np.bincount(words.doc[self.whole], minlength=len(bounds) - 1)
 
-    def slots(self, at: int, raw: bytes) -> list[str]:
-        """The original tokens behind the placeholders of the window at a word."""
+    def slots(self, at: int, raw: bytes) -> list[tuple[int, str]]:
+        """The places in the window at a word that are placeholders, and the original tokens behind them."""
         s, e = self.words.starts, self.words.ends
-        return [raw[s[i]:e[i]].decode() for i in range(at, at + WINDOW) if self.slot[i]]
+        return [(i - at, raw[s[i]:e[i]].decode()) for i in range(at, at + WINDOW) if self.slot[i]]
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], bits: bytes | None) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,7 @@ def window_batches(batches: Iterator[pa.RecordBatch], bits: bytes | None) -> Ite
             rows, ids = (batch.column(c).take(pa.array(docs + low)) for c in ("row", "id"))
             yield pa.RecordBatch.from_arrays([
                 rows, ids, pa.array(at - t.words.first[docs]), pa.array(t.windows[docs]), pa.array(t.h1[some].view(np.int64)), pa.array(t.h2[some].view(np.int64)),
-                pa.array([t.slots(i, raw) for i in at.tolist()], pa.list_(pa.string()))], names=["row", "id", "pos", "windows", "h1", "h2", "slots"])
+                pa.array([[{"at": k, "word": w} for k, w in t.slots(i, raw)] for i in at.tolist()], SLOTS)], names=["row", "id", "pos", "windows", "h1", "h2", "slots"])
 
 
 def filter_of(windows: DataFrame) -> bytes:
@@ -116,6 +122,21 @@ def filter_of(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def counted_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The windows of each shift that count, and whether one of them has a changed value."""
+    for batch in batches:
+        places, changed = [], []
+        for met in batch.column("met"):
+            windows = [(w["pos"], [(w["pos"] + i["at"], i["word"], d["word"]) for i, d in zip(w["item"], w["doc"], strict=True)]) for w in met.as_py()]
+            filled = {at: (i, d) for _, slots in windows for at, i, d in slots}.values()  # a place once, in however many windows it is
+            both, item, doc = Counter(filled), Counter(i for i, _ in filled), Counter(d for _, d in filled)
+            stand = {(i, d) for (i, d), n in both.items() if 2 * n > item[i] and 2 * n > doc[d]}
+            ok = [(pos, slots) for pos, slots in windows if all(i == d for _, i, d in slots) or all((i, d) in stand for _, i, d in slots)]
+            places.append([pos for pos, _ in ok])
+            changed.append(any(i != d for _, slots in ok for _, i, d in slots))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(places, pa.list_(pa.int64())), pa.array(changed, pa.bool_())], names=[*keys, "places", "changed"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
     """row, doc_id, item_id, n_windows, item_windows, share, kind: the pairs of a document and an item that it holds."""
     texts = C.text_of(docs).withColumnRenamed("doc_id", "id")
@@ -127,13 +148,11 @@ def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
                          "h1", "h2", F.col("slots").alias("item_slots"))
     pairs = met.select("row", F.col("id").alias("doc_id"), "pos", "h1", "h2", "slots").join(item, ["h1", "h2"])
     key = ["row", "doc_id", "item_row", "item_id", "item_windows"]
-    # a shift has each window of the item at most once, so its lists are no longer than the item
-    filled = F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))
-    shifts = pairs.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(filled).alias("filled"))
-    value = lambda name: F.size(F.array_distinct(F.transform("filled", lambda x: x[name])))
-    consistent = (value("i") == F.size("filled")) & (value("d") == F.size("filled"))
-    changed = F.exists("filled", lambda x: x["i"] != x["d"])
-    found = shifts.where(consistent).groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.bool_or(changed).alias("changed"))
+    # a shift has each window of the item at most once, so its list is no longer than the item
+    met = F.collect_set(F.struct(F.col("item_pos").alias("pos"), F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).alias("met")
+    shifts = pairs.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(met).select(*key, "met")
+    counted = shifts.mapInArrow(lambda batches: counted_batches(batches, key), ", ".join(f"{k} long" for k in key) + ", places array<long>, changed boolean")
+    found = counted.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.bool_or("changed").alias("changed"))
     return found.where(F.col("n_windows") * 100 >= F.col("item_windows") * share).select(
         "row", "doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("share"),
         F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"))
