@@ -20,20 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Each stored row with a key of its own: repeated rows and ids stay apart.
 
-    The key is the position in the scan.  It is the same in every branch and
-    retry as long as `docs` is a stored table, which all operators ask for.
+    The key is the position in one execution's scan.  Another execution may split the
+    files elsewhere, so what is scanned more than once takes its keys from `placed`.
     """
     return docs.select(F.monotonically_increasing_id().alias("row"), *columns)
 
 
+def on_disk(docs: DataFrame) -> DataFrame:
+    """The table itself if it is a plain scan of Parquet files, else a stored copy."""
+    plan = docs._jdf.queryExecution().analyzed().toString().strip()
+    return docs if plan.startswith("Relation [") and plan.endswith(" parquet") and "\n" not in plan else stored(docs, "copy")
+
+
+def placed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """As `keyed`, with a key that all executions agree on: the number of the row's file and its place there.
+
+    Of a table that isn't on disk a copy is made; who calls this more than once passes one `on_disk`.
+    """
+    docs = on_disk(docs)
+    path = F.col("_metadata.file_path").alias("path")
+    files = sorted(r.path for r in docs.select(path).distinct().collect())  # as many as the driver has listed for the scan
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "file long, path string")
+    rows = docs.select(path, F.col("_metadata.row_index").alias("place"), F.struct(*columns).alias("columns"))
+    key = (F.shiftleft("file", 40) + F.col("place")).alias("row")
+    return rows.join(F.broadcast(numbers), "path").select(key, "columns.*")
+
+
 def text_of(docs: DataFrame) -> DataFrame:
     """row, doc_id, text; a null text is empty, other columns are left out."""
     return keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def placed_texts(docs: DataFrame) -> DataFrame:
+    """As `text_of`, with the keys of `placed`."""
+    return placed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of a stored table whose keys `rows` lists, with all their columns."""
-    whole = keyed(docs, F.struct("*").alias("whole"))  # a column of the table may be called row as well
+    """The rows of a table on disk whose keys (of `placed`) `rows` lists, with all their columns."""
+    whole = placed(docs, F.struct("*").alias("whole"))  # a column of the table may be called row as well
     return whole.join(rows.select("row"), "row", "left_semi").select("whole.*")
 
 

@@ -139,7 +139,7 @@ def counted_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
 
 def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
     """row, doc_id, item_id, n_windows, item_windows, share, kind: the pairs of a document and an item that it holds."""
-    texts = C.text_of(docs).withColumnRenamed("doc_id", "id")
+    texts = C.placed_texts(docs).withColumnRenamed("doc_id", "id")
     asked = C.keyed(items, F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     wanted = asked.mapInArrow(lambda batches: window_batches(batches, None), ROWS)
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
@@ -160,8 +160,9 @@ def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    docs = C.on_disk(docs)
     found = leaks(docs, items).select("row").distinct()
-    whole = C.keyed(docs, F.struct("*").alias("whole"))
+    whole = C.placed(docs, F.struct("*").alias("whole"))
     return whole.join(found, "row", "left_anti").select("whole.*")
 
 

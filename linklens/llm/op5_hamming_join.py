@@ -274,7 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, component_id, and whether it is the row that stays."""
-    texts = C.text_of(docs)
+    texts = C.placed_texts(docs)
     signed = C.stored(texts.mapInArrow(lambda batches: sign_batches(batches, shingle), SIGNED), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     one_set = ["set1", "set2", "n_shingles"]
@@ -323,6 +323,7 @@ def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, with all its columns."""
+    docs = C.on_disk(docs)
     return C.keep_rows(docs, near_groups(docs).where("stays"))
 
 

@@ -35,7 +35,7 @@ def cut_pattern(least: int = LEAST, most: int = MOST, residues: tuple[int, ...]
 
 def chunked(docs: DataFrame, rows: DataFrame | None = None, least: int = LEAST, most: int = MOST) -> DataFrame:
     """row, doc_id, n_points, norm, and the chunks of its bytes; an empty text is one empty chunk."""
-    texts = C.text_of(docs)
+    texts = C.placed_texts(docs)
     if rows is not None:
         texts = texts.join(rows.hint("shuffle_hash"), "row", "left_semi")
     dense = F.col("text")
@@ -67,6 +67,7 @@ def exact_groups(docs: DataFrame, **cut) -> DataFrame:
     Groups are summed before they are shuffled and joined back by recipe, so the
     members of a large group never meet in one task.
     """
+    docs = C.on_disk(docs)
     rows = C.stored(recipes(docs, **cut), "recipes")
     rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
@@ -85,6 +86,7 @@ def exact_groups(docs: DataFrame, **cut) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
+    docs = C.on_disk(docs)
     return C.keep_rows(docs, exact_groups(docs).where("kept"))
 
 
