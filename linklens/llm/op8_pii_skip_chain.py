@@ -8,7 +8,7 @@ their number is linear).  Nodes inside base spans are observed; the others get t
 labels by loopy belief propagation, which carries the label of an address or number
 to its repetitions in forms that no pattern matches.  Node weights are a multinomial
 logistic regression and link weights log odds of label pairs, both learnt from the
-base spans of a bounded sample of documents.  Nothing is shuffled.
+base spans of a bounded sample of documents.  Nothing but the sample is shuffled.
 
 Defined results: null and empty texts have no spans; a method span never overlaps a
 base span; a document without an unobserved node has base spans only; counts are
@@ -18,6 +18,7 @@ those of the base; repeated rows are rows of their own.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -261,13 +262,21 @@ def find_batches(batches: Iterator[pa.RecordBatch], model: Field) -> Iterator[pa
                                              names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
 
+def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled weights of all rows of a task, in the order of the rows."""
+    rows = sorted(r for b in batches for r in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True))
+    model = fit([text for _, text in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weights, model.chain, model.skip))], pa.binary())], names=["model"])
+
+
 def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Weights from the first documents by hash, of those with a digit or an @; only they reach the driver."""
+    """Weights from the first documents by hash, of those with a digit or an @; one task fits, the driver gets the weights."""
     texts = C.text_of(docs)
     marked = texts.where(F.col("text").rlike("[0-9@]"))
     chosen = marked.select("row").orderBy(F.xxhash64("row"), "row").limit(sample)
-    found = texts.join(F.broadcast(chosen), "row").select("row", "text").collect()  # as many rows as the sample has at most
-    return fit([text for _, text in sorted(found)])
+    found = texts.join(F.broadcast(chosen), "row").select("row", "text")  # as many rows as the sample has at most
+    found = found.repartition(1).mapInArrow(fit_batches, "model binary").first()
+    return fit([]) if found is None else Field(*pickle.loads(found.model))
 
 
 def personal_data(docs: DataFrame, model: Field) -> DataFrame:
