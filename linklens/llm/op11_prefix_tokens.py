@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Longest stretch that is remembered, stretches and pairs of tokens remembered in a generation.
 SHORT, STRETCHES, PAIRS = 48, 200_000, 1_000_000
+#: Characters from which a stretch's table is packed, four bytes each.
+LONG = 4096
 SCHEMA = "row long, doc_id long, ids array<int>, decoded string"
 
 
@@ -56,9 +58,9 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unknown, self.end = read.unk_id(), read.eos_id()
         self.silent = {i for i in every if read.is_control(i)}
-        plain = [i for i in every if not (read.is_byte(i) or read.is_control(i) or read.is_unknown(i) or read.is_unused(i))]
-        self.id = {self.text[i]: i for i in plain}
-        self.rank = {self.text[i]: -read.get_score(i) for i in plain}
+        plain = {i for i in every if not (read.is_byte(i) or read.is_control(i) or read.is_unknown(i) or read.is_unused(i))}
+        self.id = {self.text[i]: i for i in sorted(plain)}
+        self.rank = {self.text[i]: -read.get_score(i) for i in sorted(plain)}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space after another character: words can't be encoded apart")
         self.alone = {p for p in self.id if len(p) == 1}
@@ -67,8 +69,16 @@ class Pieces:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.stretches: list[dict[str, bytes]] = [{}, {}]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.split: dict[str, tuple[str, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, int]] = {}
+        # rank at which a token is made, -1 for a character's; of each two tokens that may be joined, the rank of what they make
+        self.made = [self.rank[t] if len(t) > 1 and i in plain else -1.0 for i, t in enumerate(self.text)]
+        self.joins = {self.id[p[:k]] * len(self.text) + self.id[p[k:]]: r for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id}
+        self.blank = {i for p, i in self.id.items() if not p.strip(SPACE)}
+        self.begins_blank = {i for p, i in self.id.items() if p.startswith(SPACE)}
+        self.spoken = np.array([i not in self.silent for i in every])
+        self.strange = np.array([i in self.byte_of or i == self.unknown for i in every])
+        self.size = [len(t) for t in self.text]
         foreign = "".join(re.escape(c) for c in sorted(self.alone))
         self.runs = re.compile(f"[{foreign}]+|[^{foreign}]")
 
@@ -82,65 +92,68 @@ class Pieces:
             k = min(found)[1]
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
 
-    def halves(self, piece: str) -> tuple[str, str]:
-        """The two parts that the last merge of a piece joins; empty ones for a character."""
-        found = self.split.get(piece)
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of a token joins; -1 for a character's."""
+        found = self.split.get(token)
         if found is None:
-            parts = list(piece)
+            parts = list(self.text[token])
             while len(parts) > 2:
                 k = min((self.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.id)[1]
                 parts[k:k + 2] = [parts[k] + parts[k + 1]]
-            found = self.split[piece] = (parts[0], parts[1]) if len(parts) == 2 else ("", "")
+            found = self.split[token] = (self.id[parts[0]], self.id[parts[1]]) if len(parts) == 2 else (-1, -1)
         return found
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether no merge crosses the border of two pieces of different ranks.
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of two tokens of different ranks.
 
         The merges of both are undone, the later one first: the two parts then at the
         border stood there until the merge just undone, and must not join before it.
         """
-        limit, same = float("inf"), False
+        limit, same, joins, made, count = float("inf"), False, self.joins, self.made, len(self.text)
         while True:
-            crossing = self.rank.get(left + right)
+            crossing = joins.get(left * count + right)
             if crossing is not None and (crossing < limit or same and crossing == limit):
                 return False
-            made_left, made_right = (self.rank[x] if len(x) > 1 else -1.0 for x in (left, right))
+            made_left, made_right = made[left], made[right]
             if made_left < 0 and made_right < 0:
                 return True
             if made_left > made_right:
-                limit, same, left = made_left, False, self.halves(left)[1]
-            else:
-                limit, same, right = made_right, True, self.halves(right)[0]  # of equal merges the left one comes first
+                limit, same, left = made_left, False, (self.split.get(left) or self.halves(left))[1]
+            else:  # of equal merges the left one comes first
+                limit, same, right = made_right, True, (self.split.get(right) or self.halves(right))[0]
 
     def compatible(self, before: int, token: int) -> bool:
         """Whether the two tokens are what their strings together are merged to; before < 0: the token alone."""
-        known = self.pairs.get((before, token))
-        if known is None:
+        if before >= 0 and before not in self.blank and token not in self.begins_blank:
+            known = self.apart(before, token)
+        else:  # all runs of spaces have one rank: merged in full
             left, right = self.text[before] if before >= 0 else "", self.text[token]
-            if left and left.strip(SPACE) and not right.startswith(SPACE):
-                known = self.apart(left, right)
-            else:  # all runs of spaces have one rank: merged in full
-                known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[before, token] = known
+            known = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[before * len(self.text) + token] = known
         return known
 
-    def prefix_table(self, run: str) -> array:
+    def prefix_table(self, run: str) -> list[int]:
         """Last token of each prefix of a run of known characters; -1 for the empty one."""
-        last = array("i", [-1]) * (len(run) + 1)
+        last = [-1] * (len(run) + 1) if len(run) < LONG else array("i", [-1]) * (len(run) + 1)
+        pairs, count = self.pairs, len(self.text)
+        found = -1
         for end, (size, token) in self.automaton.iter(run):
-            if last[end + 1] < 0:
-                start = end + 1 - size
-                if (start == 0 or last[start] >= 0) and self.compatible(last[start], token):
-                    last[end + 1] = token
+            if end != found:
+                before = last[end + 1 - size]
+                if before >= 0 or size == end + 1:
+                    fits = pairs.get(before * count + token)
+                    if fits or fits is None and self.compatible(before, token):
+                        last[end + 1] = token
+                        found = end
         return last
 
     def run_ids(self, run: str) -> list[int]:
         last, at, out = self.prefix_table(run), len(run), []
         while at:
             out.append(last[at])
-            at -= len(self.text[last[at]])
+            at -= self.size[last[at]]
         out.reverse()
         return out
 
@@ -176,15 +189,15 @@ class Pieces:
         parts.append(array("i", [self.end]).tobytes())
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """Text of any ids: bytes that are no UTF-8 become U+FFFD one by one, the first piece loses its leading space."""
-        ids = list(ids)
-        if not any(i in self.byte_of or i == self.unknown for i in ids):
-            whole = "".join([self.text[i] for i in ids if i not in self.silent])
+        ids = np.asarray(ids, dtype=np.int64)
+        if not self.strange[ids].any():
+            whole = "".join(map(self.text.__getitem__, ids[self.spoken[ids]].tolist()))
             return whole.removeprefix(SPACE).replace(SPACE, " ")
         out: list[str] = []
         held, first = bytearray(), True
-        for i in [*ids, self.end]:
+        for i in [*ids.tolist(), self.end]:
             if i in self.byte_of:
                 held.append(self.byte_of[i])
                 first = False
@@ -220,7 +233,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa
             ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("row").slice(low, high - low), batch.column("doc_id").slice(low, high - low),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array([pieces.decode(i.tolist()) for i in ids], pa.string())],
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array([pieces.decode(i) for i in ids], pa.string())],
                 names=["row", "doc_id", "ids", "decoded"])
 
 

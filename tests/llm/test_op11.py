@@ -70,7 +70,7 @@ def test_pairs_against_merging_in_full(pieces):
         k = rng.randint(1, len(whole))
         left, right = (whole[:k], whole[k:]) if rng.random() < 0.6 else (pieces.text[rng.choice(ids)], whole)
         if left in pieces.id and right in pieces.id and left.strip(T.SPACE) and not right.startswith(T.SPACE):
-            assert pieces.apart(left, right) == (pieces.merged(left + right) == [left, right])
+            assert pieces.apart(pieces.id[left], pieces.id[right]) == (pieces.merged(left + right) == [left, right])
             tried += 1
     assert tried > 3000
 
