@@ -40,3 +40,9 @@ def check(name: str, build: Callable[[Tables], DataFrame], sql: str | None = Non
             # a statement with its own CTEs continues the list
             body = head.rstrip() + ",\n" + body[5:] if body[:5].lower() == "with " else head + body
         ORACLES[name] = body
+
+
+def check_like(name: str, build: Callable[[Tables], DataFrame], other: str) -> None:
+    """Register a query that has to give the rows of another one in a different way."""
+    check(name, build)
+    ORACLES[name] = ORACLES[other]

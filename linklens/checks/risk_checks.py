@@ -119,17 +119,32 @@ check("risk4_domain_retest_job", lambda t: domain_verdicts_applied(t, 3),
       when bool_and(verify_status = 'verified_clean') then 'verified_clean' else 'unverified' end as overall_status from verdict group by 1""")
 
 # mutations
-check("m1_s10_page_upsert", lambda t: M.merge_pages(
-    t.fx_sitemap_pages.where("status_code <> 404").select("id", "task_id", "url", "path", "depth", "status_code", "title", "crawled_at"),
-    t.fx_sitemap_pages.where("status_code <> 200").select(
-        "id", "task_id", "url", F.lit("/new").alias("path"), F.lit(9).alias("depth"), F.lit(599).alias("status_code"),
-        F.concat("title", F.lit("!")).alias("title"), "crawled_at")).select("task_id", "url", "path", "depth", "status_code", "title"),
+def pages_and_batch(t) -> tuple[DataFrame, DataFrame]:
+    """Stored pages, and a batch that brings known and new ones."""
+    return (t.fx_sitemap_pages.where("status_code <> 404").select("id", "task_id", "url", "path", "depth", "status_code", "title", "crawled_at"),
+            t.fx_sitemap_pages.where("status_code <> 200").select(
+                "id", "task_id", "url", F.lit("/new").alias("path"), F.lit(9).alias("depth"), F.lit(599).alias("status_code"), F.concat("title", F.lit("!")).alias("title"), "crawled_at"))
+
+
+def domains_and_batch(t) -> tuple[DataFrame, DataFrame]:
+    return (t.fx_external_domains.withColumn("sample_page_url", F.when(F.col("has_link"), F.col("sample_page_url")).otherwise(F.lit("")))
+            .select("task_id", "domain", "root_domain", "occurrence_count", "has_link", "has_text", "sample_page_url", "risk_level"),
+            R.domain_rollup(t.fx_occurrences.where(~F.col("is_link"))).withColumn("risk_level", F.lit("new")))
+
+
+def stale_tickets(t) -> DataFrame:
+    short = F.when(F.col("manual_status") == "pending", "short").otherwise(F.col("context_snippet"))
+    return tickets(t).where("verify_status <> 'error'").withColumn("context_snippet", short).withColumn("risk_level", F.lit("stale"))
+
+
+def synced(df: DataFrame) -> DataFrame:
+    return df.select("task_id", "domain", "page_url", "risk_level", "context_snippet", "verify_status", "manual_status", F.date_format("updated_at", "yyyy").alias("updated"))
+
+
+check("m1_s10_page_upsert", lambda t: M.merge_pages(*pages_and_batch(t)).select("task_id", "url", "path", "depth", "status_code", "title"),
       """select task_id, url, case when status_code = 404 then '/new' else path end as path, case when status_code = 404 then 9 else depth end as depth,
       case when status_code = 200 then 200 else 599 end as status_code, case when status_code = 200 then title else title || '!' end as title from fx_sitemap_pages""")
-check("m2_m3_domain_upsert", lambda t: M.merge_domains(
-    t.fx_external_domains.withColumn("sample_page_url", F.when(F.col("has_link"), F.col("sample_page_url")).otherwise(F.lit("")))
-    .select("task_id", "domain", "root_domain", "occurrence_count", "has_link", "has_text", "sample_page_url", "risk_level"),
-    R.domain_rollup(t.fx_occurrences.where(~F.col("is_link"))).withColumn("risk_level", F.lit("new"))),
+check("m2_m3_domain_upsert", lambda t: M.merge_domains(*domains_and_batch(t)),
       """with n as (select task_id, domain, count(*) as n, min(page_url) as p from fx_occurrences where not is_link group by 1, 2)
       select ed.task_id, ed.domain, root_domain, occurrence_count + coalesce(n, 0) as occurrence_count, has_link, has_text or n.n is not null as has_text,
       case when has_link then sample_page_url else coalesce(p, '') end as sample_page_url, risk_level from fx_external_domains ed left join n on n.task_id = ed.task_id and n.domain = ed.domain""")
@@ -167,6 +182,19 @@ check("m9_j5_rule_sync_tickets", lambda t: tags(M.sync_rules(domains(t), tickets
       SYNC + """select r.id, r.domain, coalesce(lv, r.risk_level) as risk_level, coalesce(tg, 'old') as risk_tags, coalesce(rm, 'before') as risk_remark
       from fx_tickets r left join e on e.domain = r.domain and e.root_domain = r.root_domain where not coalesce(harmless, false)
       and exists (select 1 from d where d.task_id = r.task_id and d.domain = r.domain and d.risk_level in ('critical','high','medium','low'))""")
+check("m9_m12_rule_sync_new_tickets", lambda t: M.sync_rules_and_tickets(
+    domains(t), tickets(t).where("verify_status <> 'error'"), rules(t), t.fx_occurrences, t.fx_tasks, run_ts())[1].select(
+        "task_id", "domain", "page_url", "risk_level", "context_snippet", "manual_status", F.date_format("updated_at", "yyyy").alias("updated")),
+      SYNC + """, kept as (select r.*, coalesce(lv, r.risk_level) as lv2 from fx_tickets r left join e on e.domain = r.domain and e.root_domain = r.root_domain
+       where r.verify_status <> 'error' and not coalesce(harmless, false)
+       and exists (select 1 from d where d.task_id = r.task_id and d.domain = r.domain and d.risk_level in ('critical','high','medium','low'))),
+      cand as (select x.task_id, x.domain, x.page_url, d.risk_level, x.context_snippet, row_number() over (partition by x.task_id, x.domain, x.page_url order by length(x.context_snippet) desc, x.seq) as rn
+       from fx_occurrences x join d on x.task_id = d.task_id and x.domain = d.domain join fx_tasks t on t.task_id = x.task_id
+       where t.status <> 'deleting' and d.risk_level in ('critical','high','medium','low')), fresh as (select * from cand where rn = 1)
+      select coalesce(o.task_id, n.task_id) as task_id, coalesce(o.domain, n.domain) as domain, coalesce(o.page_url, n.page_url) as page_url, case when n.domain is null then o.lv2 else n.risk_level end as risk_level,
+      case when o.domain is null or (n.domain is not null and length(o.context_snippet) < 10) then n.context_snippet else o.context_snippet end as context_snippet,
+      coalesce(o.manual_status, 'pending') as manual_status, case when n.domain is null then strftime(o.created_at, '%Y') else '2030' end as updated
+      from kept o full join fresh n on o.task_id = n.task_id and o.domain = n.domain and o.page_url = n.page_url""")
 GONE = "select *, (root_domain = 'widelyused.net' or domain = 'widelyused.net' or domain like '%.widelyused.net') as h from"
 check("m10_rule_delete_domains", lambda t: M.delete_rule(domains(t), tickets(t), rules(t), 0)[1].select("task_id", "domain", "risk_level", "risk_source", "verify_status"),
       f"""select task_id, domain, case when h and risk_source <> 'manual' then 'pending' else risk_level end as risk_level, case when h and risk_source <> 'manual' then '' else risk_source end as risk_source,
@@ -178,10 +206,7 @@ check("m11_reevaluate", lambda t: tags(M.reevaluate(domains(t), rules(t))).selec
       EVALUATED + """select ed.task_id, ed.domain, case when ed.risk_source = 'manual' then ed.risk_level else ev.risk_level end as risk_level,
       case when ed.risk_source = 'manual' then 'old' else ev.risk_tags end as risk_tags, case when ed.risk_source = 'manual' then 'manual' else ev.risk_source end as risk_source
       from fx_external_domains ed join ev on ed.domain = ev.domain and ed.root_domain = ev.root_domain""")
-check("m12_ticket_sync", lambda t: M.sync_tickets(
-    tickets(t).where("verify_status <> 'error'").withColumn("context_snippet", F.when(F.col("manual_status") == "pending", "short").otherwise(F.col("context_snippet")))
-    .withColumn("risk_level", F.lit("stale")), t.fx_occurrences, domains(t), t.fx_tasks, run_ts())
-      .select("task_id", "domain", "page_url", "risk_level", "context_snippet", "verify_status", "manual_status", F.date_format("updated_at", "yyyy").alias("updated")),
+check("m12_ticket_sync", lambda t: synced(M.sync_tickets(stale_tickets(t), t.fx_occurrences, domains(t), t.fx_tasks, run_ts())),
       """with c as (select o.task_id, o.domain, o.page_url, ed.risk_level, ed.verify_status, context_snippet, row_number() over (partition by o.task_id, o.domain, o.page_url order by length(context_snippet) desc, seq) as rn
        from fx_occurrences o join fx_external_domains ed on o.task_id = ed.task_id and o.domain = ed.domain join fx_tasks t on t.task_id = o.task_id
        where t.status <> 'deleting' and ed.risk_level in ('critical','high','medium','low')), n as (select * from c where rn = 1),

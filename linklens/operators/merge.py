@@ -166,6 +166,23 @@ def sync_rules(domains: DataFrame, tickets: DataFrame, rules: DataFrame, full_ru
     return d, (J.with_risky_domain(t, d).select(*tickets.columns) if full_run else t)
 
 
+def sync_rules_and_tickets(domains: DataFrame, tickets: DataFrame, rules: DataFrame, occurrences: DataFrame, tasks: DataFrame, run_ts: Column,
+                           full_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """M9 whole: as sync_rules, and if one of the rules is risky the evidence of risky domains becomes tickets.
+
+    A run over a few rules makes tickets of the domains and roots named by these only.
+    """
+    d, t = sync_rules(domains, tickets, rules, full_run)
+    if rules.where(F.col("risk_level").isin(*v.RISKY_LEVELS)).isEmpty():
+        return d, t
+    named = d
+    if not full_run:
+        targets = rules.select(D.rule_target(F.col("domain")).alias("target")).where("target <> ''").distinct()
+        by = lambda c: d.select("domain", "root_domain").distinct().join(targets, F.col(c) == F.col("target"), "left_semi")
+        named = d.join(by("domain").unionByName(by("root_domain")).distinct(), ["domain", "root_domain"], "left_semi")
+    return d, merge_tickets(t, ticket_batch(t.schema, occurrences, named, tasks, run_ts))
+
+
 def delete_rule(domains: DataFrame, tickets: DataFrame, rules: DataFrame, rule_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop a rule and revert or re-point what it had set; returns rules, domains, tickets.
 
@@ -210,8 +227,8 @@ def evidence_tickets(occurrences: DataFrame, domains: DataFrame, tasks: DataFram
     return longest_snippet(J.risky_evidence(occurrences, domains, tasks))
 
 
-def sync_tickets(tickets: DataFrame, occurrences: DataFrame, domains: DataFrame, tasks: DataFrame, run_ts: Column) -> DataFrame:
-    """New tickets start pending; known ones take over the risk, and snippet or title only if they lacked one."""
+def ticket_batch(schema, occurrences: DataFrame, domains: DataFrame, tasks: DataFrame, run_ts: Column) -> DataFrame:
+    """M12, first half: the candidate tickets in the columns of the stored ones (`schema` of these)."""
     fresh = evidence_tickets(occurrences, domains, tasks)
     values = {
         "id": T.row_id(F.col("task_id"), F.col("domain"), F.col("page_url")), "root_domain": F.col("risk_root"), "page_title": F.lit(""),
@@ -220,9 +237,15 @@ def sync_tickets(tickets: DataFrame, occurrences: DataFrame, domains: DataFrame,
         "last_verified_at": F.col("verify_time") if "verify_time" in domains.columns else F.lit(None),
         "last_verify_detail": F.coalesce("verify_detail", F.lit("")) if "verify_detail" in domains.columns else F.lit(""),
         "created_at": F.coalesce("created_at", run_ts), "updated_at": run_ts}
-    key = ["task_id", "domain", "page_url"]
-    fresh = fresh.select(*key, *[values.get(c, F.col(c) if c in fresh.columns else F.lit(None)).cast(tickets.schema[c].dataType).alias(c)
-                                 for c in tickets.columns if c not in key])
+    return fresh.select(*[F.col(f.name).cast(f.dataType) if f.name in TICKET_KEY else
+                          values.get(f.name, F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+TICKET_KEY = ["task_id", "domain", "page_url"]
+
+
+def merge_tickets(tickets: DataFrame, fresh: DataFrame) -> DataFrame:
+    """M12, second half: known tickets take over the risk, and snippet or title only if they lacked one."""
     o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
 
     def column(c):
@@ -235,7 +258,12 @@ def sync_tickets(tickets: DataFrame, occurrences: DataFrame, domains: DataFrame,
         else:
             kept = o(c)
         return F.when(F.col("o").isNull(), n(c)).otherwise(kept).alias(c)
-    return _merged(tickets, fresh, key).select(*key, *[column(c) for c in tickets.columns if c not in key]).select(*tickets.columns)
+    return _merged(tickets, fresh, TICKET_KEY).select(*TICKET_KEY, *[column(c) for c in tickets.columns if c not in TICKET_KEY]).select(*tickets.columns)
+
+
+def sync_tickets(tickets: DataFrame, occurrences: DataFrame, domains: DataFrame, tasks: DataFrame, run_ts: Column) -> DataFrame:
+    """New tickets start pending; known ones take over the risk, and snippet or title only if they lacked one."""
+    return merge_tickets(tickets, ticket_batch(tickets.schema, occurrences, domains, tasks, run_ts))
 
 
 def _ticket_transition(status: Column, cleared_remark: str) -> tuple[Column, Column]:
