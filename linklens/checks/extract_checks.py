@@ -235,11 +235,11 @@ HITS = f"""with src as (select url, target_root, regexp_extract(url, '://([^/?#:
 """
 check("x2_x14_extract_hits", lambda t: X.extract_hits(pages(t)).groupBy("task_id", "page_url", "side", "domain", "root_domain", "source_type").agg(F.count("*").alias("n")),
       HITS + "select task_id, page_url, side, domain, root_domain, source_type, count(*) as n from hits group by all")
-check("x21_page_rollup", lambda t: X.page_rollup(X.extract_hits(pages(t))),
+check("x21_page_rollup", lambda t: X.page_rollup(X.extract_hits(pages(t), snippets=False)),
       HITS + "select task_id, page_url, side, domain, root_domain, count(*) as hit_count, bool_or(source_type <> 'plain_text') as has_link, bool_or(source_type = 'plain_text') as has_text from hits group by all")
 check("x22_evidence_per_page", lambda t: X.cap_evidence(X.extract_hits(pages(t))).groupBy("page_url", "domain").agg(F.count("*").alias("n")),
       HITS + "select page_url, domain, least(count(*), 5) as n from hits group by all")
-check("x23_external_count_per_page", lambda t: X.page_external_counts(X.extract_hits(pages(t))),
+check("x23_external_count_per_page", lambda t: X.page_external_counts(X.extract_hits(pages(t), snippets=False)),
       HITS + "select task_id, page_url, count(distinct domain) as external_domains_count from hits where side = 'external' group by all")
 check("x19_internal_page_links", lambda t: X.discover_links(pages(t)).where("kind = 'page'").select("task_id", "page_url", "url"),
       r"""select distinct task_id, url as page_url, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_replace(h, '#.*$', '') as url from (select task_id, url, target_root, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*"([^"]*)"', 1)) as h from fx_pages)

@@ -14,8 +14,8 @@ from linklens.plans import retest, scan
 from linklens.session import ensure_checkpoint_dir
 from linklens.sources import export as E
 from linklens.streaming import jobs as J
+from linklens.streaming import store as S
 
-PAGES = "page_id BIGINT, url STRING, html STRING"
 EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -23,11 +23,16 @@ def run_folder(t) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def page_stream(t):
-    k = F.col("page_id") % 3
-    site = F.when(k == 0, "www.example.com").when(k == 1, "www.example.net").otherwise("www.example.org")
-    return J.read_stream(t.spark, t.sf_dir, PAGES, pathGlobFilter="pages.parquet").select(
-        k.cast("int").alias("task_id"), F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), site.alias("target_host"))
+SCANNED = "page_id BIGINT, task_id INT, page_url STRING, html STRING, resource STRING, target_host STRING, fetched_at TIMESTAMP"
+BATCHES = 4
+#: Batch of a page in the streamed queries: pages of all scans come in each.
+PAGE_BATCH = "((page_id // 3) % 4)"
+
+
+def scanned_pages(t):
+    """Pages as a scan delivers them, with the number of their batch."""
+    return t.fx_pages.select("page_id", "task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host",
+                             F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("fetched_at"), F.expr("div(page_id, 3) % 4").alias("batch"))
 
 
 def finished(writer) -> None:
@@ -35,32 +40,97 @@ def finished(writer) -> None:
     q.awaitTermination()
 
 
-def streamed_store(t) -> str:
+def fed(rows, part, folder: str) -> None:
+    """One more file of a stream's source."""
+    rows.where(F.col("batch") == part).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+
+
+def streamed_store(t, compactions=(1,), **options) -> str:
+    """A store after four batches, the stream stopped and started again after each, with compactions between."""
     out = run_folder(t)
-    finished(J.scan_stream(page_stream(t), f"{out}/store", f"{out}/ck", run_ts=run_ts()))
+    pages = scanned_pages(t)
+    for n in range(BATCHES):
+        fed(pages, n, f"{out}/src")
+        finished(J.scan_stream(J.read_stream(t.spark, f"{out}/src", SCANNED, files_per_batch=1), f"{out}/store", f"{out}/ck", run_ts=run_ts(), **options))
+        if n in compactions:
+            J.compact(t.spark, f"{out}/store")
     return f"{out}/store"
 
 
 check("t1_t7_streamed_domains", lambda t: J.current_domains(t.spark, streamed_store(t)).select("task_id", "domain", "occurrence_count", "has_link", "has_text"),
       HITS + """select task_id, domain, count(*) as occurrence_count, bool_or(source_type <> 'plain_text') as has_link, bool_or(source_type = 'plain_text') as has_text
       from hits where side = 'external' group by 1, 2""")
-check("t4_live_counts", lambda t: J.live_counts(X.extract_hits(page_stream_table(t))))
+check("t7_compacted_subdomains", lambda t: J.current_subdomains(t.spark, streamed_store(t, (0, 2))).select("task_id", "domain", "occurrence_count"),
+      HITS + "select task_id, domain, count(*) as occurrence_count from hits where side = 'subdomain' group by 1, 2")
+check("t7_compacted_evidence", lambda t: J.current_evidence(t.spark, streamed_store(t, (1, 2, 3))).groupBy("task_id", "page_url", "domain", "source_type").agg(
+    F.count("*").alias("n"), F.countDistinct("id").alias("ids")),
+      HITS + "select task_id, page_url, domain, source_type, count(*) as n, count(*) as ids from hits group by 1, 2, 3, 4")
+check("t7_streamed_capped_evidence", lambda t: J.current_evidence(t.spark, streamed_store(t, per_domain=2)).groupBy("page_url", "domain").agg(F.count("*").alias("n")),
+      HITS + "select page_url, domain, least(count(*), 2) as n from hits group by 1, 2")
+
+
+#: Rules of three sites over the batches; valid_to is exclusive.
+RULE_VERSIONS = [(1, "example.com", "critical", 0, 2), (1, "example.com", "low", 2, None), (2, "example.net", "medium", 1, 3), (3, "*.example.org", "high", 3, None)]
+
+
+def rules_over_time(t):
+    """Risk of each batch's domains while rules change."""
+    out = run_folder(t)
+    versions = [(i, d, "root", lv, "", [], "m", "", a, b) for i, d, lv, a, b in RULE_VERSIONS]
+    t.spark.createDataFrame(versions, "id INT, domain STRING, match_type STRING, risk_level STRING, category STRING, tags ARRAY<STRING>, source STRING, remark STRING, "
+                            "valid_from BIGINT, valid_to BIGINT").write.parquet(f"{out}/rules")
+    store = streamed_store(t, (), rules_path=f"{out}/rules")
+    return S.current(t.spark, store, "domains", J.DOMAIN_DELTA).select("batch_id", "task_id", "domain", "risk_level")
+
+
+check("t9_rules_over_time", rules_over_time,
+      HITS + f"""select distinct {PAGE_BATCH} as batch_id, hits.task_id, domain, coalesce(r.level, 'pending') as risk_level from hits join fx_pages on fx_pages.url = hits.page_url
+      left join (values {", ".join(f"('{d.lstrip('*.')}', '{lv}', {a}, {'null' if b is None else b})" for _, d, lv, a, b in RULE_VERSIONS)}) r(root, level, a, b)
+       on r.root = hits.root_domain and {PAGE_BATCH} >= a and ({PAGE_BATCH} < b or b is null) where side = 'external'""")
+def exact_counts(t):
+    """Distinct domains of each scan, counted by keyed state, over four batches and a restart after each."""
+    out = run_folder(t)
+    pages = scanned_pages(t)
+    with J.rocksdb_state(t.spark):
+        for n in range(BATCHES):
+            fed(pages, n, f"{out}/src")
+            finds = J.timed_finds(J.read_stream(t.spark, f"{out}/src", SCANNED, files_per_batch=1))
+            finished(J.write_new_domains(finds, f"{out}/store", f"{out}/ck"))
+    return J.domain_counts(t.spark, f"{out}/store")
+
+
+check("t4_exact_live_counts", exact_counts,
+      HITS + "select task_id, side, count(distinct domain) as domains from hits group by 1, 2")
+
+
+def sketched_counts(t):
+    """Sketches of the batches, united; the estimate has to lie within five percent."""
+    out = run_folder(t)
+    pages = scanned_pages(t)
+    for n in range(BATCHES):
+        J.write_sketches(X.extract_hits(pages.where(F.col("batch") == n).drop("batch")), f"{out}/store", n)
+    found = J.sketched_domains(t.spark, f"{out}/store")
+    exact = X.extract_hits(pages.drop("batch")).groupBy("task_id", "side").agg(F.countDistinct("domain").alias("exact"))
+    return found.join(exact, ["task_id", "side"], "full_outer").select("task_id", "side", (F.abs(F.col("domains") - F.col("exact")) <= F.col("exact") * 0.05).alias("close"))
+
+
+check("t4_live_counts", sketched_counts, HITS + "select distinct task_id, side, true as close from hits")
 
 
 def page_stream_table(t):
     return t.fx_pages.select("task_id", F.col("url").alias("page_url"), "html", F.lit("html").alias("resource"), "target_host")
 
 
-def written_scan(t, i):
+def written_scan(t, i, **options):
     rules = t.fx_profiles.withColumn("tags", F.split("tags_text", "/"))
-    return scan.write_scan(page_stream_table(t), rules, run_ts(), run_folder(t))[i]
+    return scan.write_scan(page_stream_table(t), rules, run_ts(), run_folder(t), **options)[i]
 
 
 check("scan_job_domains", lambda t: written_scan(t, 0).select("task_id", "domain", "occurrence_count", "sample_page_url", "risk_level", "verify_status"),
       HITS + """select task_id, domain, count(*) as occurrence_count, min(page_url) as sample_page_url, 'pending' as risk_level, 'unverified' as verify_status from hits where side = 'external' group by 1, 2""")
 check("scan_job_subdomains", lambda t: written_scan(t, 1).select("task_id", "domain", "occurrence_count"),
       HITS + "select task_id, domain, count(*) as occurrence_count from hits where side = 'subdomain' group by 1, 2")
-check("scan_job_evidence", lambda t: written_scan(t, 2).groupBy("page_url", "domain").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")),
+check("scan_job_evidence", lambda t: written_scan(t, 2, per_domain=5).groupBy("page_url", "domain").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")),
       HITS + "select page_url, domain, least(count(*), 5) as n, least(count(*), 5) as ids from hits group by 1, 2")
 
 
@@ -110,12 +180,11 @@ check("t3_page_rate", lambda t: rate_text(J.page_rate(event_pages(t.events))), R
 
 
 def streamed_rate(t):
+    """Changed windows of each micro-batch as deltas, read back as the last state of each window."""
     out = run_folder(t)
-    events = J.read_stream(t.spark, t.sf_dir, EVENTS, pathGlobFilter="events.parquet")
-    rate = J.page_rate(event_pages(events).withWatermark("crawled_at", "1 hour"))
-    name = "rate_" + uuid.uuid4().hex
-    finished(rate.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{out}/ck"))
-    return rate_text(t.spark.table(name))
+    events = event_pages(J.read_stream(t.spark, t.sf_dir, EVENTS, pathGlobFilter="events.parquet"))
+    finished(J.write_updates(J.page_rate(events.withWatermark("crawled_at", "1 hour")), f"{out}/store", "rates", f"{out}/ck"))
+    return rate_text(J.latest_updates(t.spark, f"{out}/store", "rates", "task_id INT, window_start TIMESTAMP, pages BIGINT, batch_id BIGINT", ["task_id", "window_start"]))
 
 
 check("t3_streamed_page_rate", streamed_rate, RATE)
@@ -132,15 +201,34 @@ def streamed_logs(t):
 check("t5_streamed_logs", streamed_logs, "select event_id as id, 'INFO' as level from events where event_type <> 'error'")
 
 
-def deduplicated(t):
-    out = run_folder(t)
-    events = J.read_stream(t.spark, t.sf_dir, EVENTS, pathGlobFilter="events.parquet").select(
-        F.col("user_id").cast("int").alias("task_id"), F.col("event_type").alias("url"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"))
-    finished(J.first_responses(events).select("task_id", "url").writeStream.format("parquet").option("path", f"{out}/d").option("checkpointLocation", f"{out}/ck"))
-    return t.spark.read.schema("task_id INT, url STRING").parquet(f"{out}/d")
+#: Responses arrive by quarter of the month; each tenth comes two quarters late, each seventh twice, each eleventh once more in the next quarter.
+ARRIVALS = """e as (select event_id, ts, least(3, (day(ts) - 1) // 8) as q from events),
+ arrivals as (select event_id, ts, q + case when event_id % 10 = 0 then 2 else 0 end as batch from e union all select event_id, ts, q + case when event_id % 10 = 0 then 3 else 1 end from e where event_id % 11 = 0),
+ marks as (select b.batch, (select max(epoch_ms(a.ts)) - 3600000 from arrivals a where a.batch < b.batch) as mark from (select distinct batch from arrivals) b)"""
 
 
-check("t2_streamed_first_responses", deduplicated, "select distinct cast(user_id as int) as task_id, event_type as url from events")
+def deduplicated(t):
+    """Each response once, with keyed state in RocksDB, a restart after each batch, and rows too late for the watermark left out."""
+    out = run_folder(t)
+    quarter = F.least(F.lit(3), F.floor((F.dayofmonth("ts") - 1) / 8)).cast("int")
+    late = F.col("event_id") % 10 == 0
+    events = t.events.select("event_id", F.col("user_id").cast("int").alias("task_id"), F.concat(F.lit("u"), "event_id").alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"),
+                             (quarter + F.when(late, 2).otherwise(0)).alias("batch"))
+    twice = events.withColumn("copies", F.explode(F.when(F.col("event_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copies")
+    again = events.where("event_id % 11 = 0").withColumn("batch", F.col("batch") + 1)
+    arriving = twice.unionByName(again)
+    schema = "event_id BIGINT, task_id INT, url STRING, fetched_at TIMESTAMP"
+    with J.rocksdb_state(t.spark):
+        for n in range(7):
+            fed(arriving, n, f"{out}/src")
+            stream = J.first_responses(J.read_stream(t.spark, f"{out}/src", schema, files_per_batch=1))
+            finished(stream.select("task_id", "event_id").writeStream.format("parquet").option("path", f"{out}/d").option("checkpointLocation", f"{out}/ck"))
+    return t.spark.read.schema("task_id INT, event_id BIGINT").parquet(f"{out}/d")
+
+
+check("t2_streamed_first_responses", deduplicated,
+      f"""with {ARRIVALS} select distinct cast(user_id as int) as task_id, a.event_id from arrivals a join marks m on m.batch = a.batch join events on events.event_id = a.event_id
+      where m.mark is null or epoch_us(a.ts) > m.mark * 1000""")
 check("t6_significant_pages", lambda t: J.significant_pages(t.fx_sitemap_pages.select(
     "task_id", "url", "crawled_at", F.when(F.col("status_code") == 404, 1).otherwise(0).alias("external_count"), F.lit(0).alias("subdomain_count"))).select("task_id", "url"),
       """select task_id, url from (select *, row_number() over (partition by task_id order by crawled_at, url) as rn from fx_sitemap_pages) where status_code = 404 or rn % 25 = 0""")

@@ -109,21 +109,21 @@ def tag_finds(tags: Column, keep, *targets: tuple[str, str]) -> Column:
         *[find(st, mode, t, F.lit(None).cast("string")) for st, mode in targets])))
 
 
-def text_finds(source_type: str, text: Column, lowered: Column) -> Column:
-    """X12 then X13: URLs, then naked domain names of a text."""
+def text_finds(source_type: str, text: Column, lowered: Column | None) -> Column:
+    """X12 then X13: URLs, then naked domain names of a text; without the lowered text no snippets are made."""
     return F.concat(*[_matches_of(source_type, mode, text, lowered, pattern)
                       for mode, pattern in (("text_url", URL_IN_TEXT), ("text_name", NAKED_DOMAIN))])
 
 
-def _matches_of(source_type: str, mode: str, text: Column, lowered: Column, pattern: str) -> Column:
+def _matches_of(source_type: str, mode: str, text: Column, lowered: Column | None, pattern: str) -> Column:
     return F.transform(all_matches(text, pattern), lambda m: find(
-        source_type, mode, m, T.bound_snippet(text, lowered, m)))
+        source_type, mode, m, F.lit(None).cast("string") if lowered is None else T.bound_snippet(text, lowered, m)))
 
 
-def short_text_finds(source_type: str, texts: Column) -> Column:
+def short_text_finds(source_type: str, texts: Column, snippets: bool = True) -> Column:
     """X12 and X13 over an array of texts; texts without a dot cannot hold a name."""
-    return F.flatten(F.transform(F.filter(texts, lambda t: t.contains(".")),
-                                 lambda t: T.let(F.lower(t), lambda low: text_finds(source_type, t, low))))
+    found = (lambda t: T.let(F.lower(t), lambda low: text_finds(source_type, t, low))) if snippets else (lambda t: text_finds(source_type, t, None))
+    return F.flatten(F.transform(F.filter(texts, lambda t: t.contains(".")), found))
 
 
 def token_content(token: Column) -> Column:
@@ -139,10 +139,10 @@ def pattern_finds(source_type: str, mode: str, text: Column, pattern: str) -> Co
     return F.transform(all_matches(text, pattern), lambda m: find(source_type, mode, m, F.lit(None).cast("string")))
 
 
-def script_finds(script: Column) -> Column:
+def script_finds(script: Column, snippets: bool = True) -> Column:
     """Literals and comments of a script, then its endpoints."""
     tokens = F.filter(F.transform(all_matches(script, JS_TOKEN), token_content), lambda t: F.length(t) > 3)
-    return F.concat(short_text_finds("script_code", tokens),
+    return F.concat(short_text_finds("script_code", tokens, snippets),
                     *[pattern_finds("script_endpoint", "page_link", script, p) for p in (JS_NAV, JS_FETCH, JS_PROP)])
 
 
@@ -160,15 +160,15 @@ def built_once(build):
 
 
 @built_once
-def find_column(assets: bool, text: bool) -> Column:
+def find_column(assets: bool, text: bool, snippets: bool) -> Column:
     """The finds of a page by its kind of resource."""
-    return (F.when(F.col("resource") == "js", script_finds(F.col("html")))
-            .when(F.col("resource") == "css", css_finds(F.col("html")))
-            .when(F.col("resource") == "text", short_text_finds("plain_text", F.array("html")))
-            .otherwise(html_finds(assets, text)))
+    return (F.when(F.col("resource") == "js", script_finds(F.col("html"), snippets))
+            .when(F.col("resource") == "css", css_finds(F.col("html"), snippets))
+            .when(F.col("resource") == "text", short_text_finds("plain_text", F.array("html"), snippets))
+            .otherwise(html_finds(assets, text, snippets)))
 
 
-def html_finds(assets: bool = True, text: bool = True) -> Column:
+def html_finds(assets: bool = True, text: bool = True, snippets: bool = True) -> Column:
     """Finds of an HTML page in scan order, over the columns `parse_pages` adds."""
     tags = F.col("tags")
     parts = [
@@ -187,17 +187,17 @@ def html_finds(assets: bool = True, text: bool = True) -> Column:
                   for names, attrs in grouped.items()]
         parts.append(F.flatten(F.transform(F.col("styles"), lambda s: pattern_finds("css_url", "asset_link", s, CSS_URL))))
     if text:
-        parts.append(short_text_finds("comment", F.col("comments")))
-        parts.append(F.flatten(F.transform(F.col("scripts"), script_finds)))
-        parts.append(text_finds("plain_text", F.col("body"), F.col("body_lower")))
+        parts.append(short_text_finds("comment", F.col("comments"), snippets))
+        parts.append(F.flatten(F.transform(F.col("scripts"), lambda s: script_finds(s, snippets))))
+        parts.append(text_finds("plain_text", F.col("body"), F.col("body_lower") if snippets else None))
     return F.concat(*parts)
 
 
-def css_finds(css: Column) -> Column:
+def css_finds(css: Column, snippets: bool = True) -> Column:
     """Imports, urls and names of a style sheet."""
     return F.concat(pattern_finds("css_file_import", "import_link", css, CSS_IMPORT),
                     pattern_finds("css_file_url", "asset_link", css, CSS_URL),
-                    short_text_finds("css_file_text", F.array(css)))
+                    short_text_finds("css_file_text", F.array(css), snippets))
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -282,34 +282,38 @@ def named_finds() -> Column:
         .otherwise(T.let(find_value(), of_raw)))
 
 
-def page_finds(pages: DataFrame, assets: bool = True, text: bool = True) -> DataFrame:
+def page_finds(pages: DataFrame, assets: bool = True, text: bool = True, snippets: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every find of every page with its position in scan order; narrow.
 
     The first explode yields tags, literals and text matches, the second one
     reads attribute values and query strings.  Outer explodes: for inner ones
     the optimizer adds a filter that evaluates the whole array a second time.
     """
-    page_columns = ["task_id", "page_url", "target_host", "target_root", "base_url", "resource"]
+    page_columns = ["task_id", "page_url", "target_host", "target_root", "base_url", "resource", *keep]
     if "target_root" not in pages.columns:
         pages = D.with_target_root(pages, "target_host")
-    df = parse_pages(pages).select(*page_columns, F.posexplode_outer(find_column(assets, text)).alias("pos", "find"))
+    df = parse_pages(pages).select(*page_columns, F.posexplode_outer(find_column(assets, text, snippets)).alias("pos", "find"))
     df = df.select(*page_columns, "pos", "find.*")
     df = df.select(*page_columns, "pos", "token", "snippet", F.posexplode_outer(named_finds()).alias("part", "value"))
     df = df.where(F.col("part").isNotNull())
     seq = F.col("pos").cast("long") * 1000000 + F.col("part")
     df = df.select(*page_columns, seq.alias("seq"), "token", "snippet", "value.*")
+    if not snippets:
+        return df.drop("token")
     return df.withColumn("snippet", F.when(F.col("mode").isin("text_url", "text_name"), F.col("snippet")).when(
         F.col("mode") == "host", T.make_snippet(F.col("snippet"), F.col("raw"))).otherwise(
         T.make_snippet(F.left("token", F.lit(200)), F.col("raw")))).drop("token")
 
 
 def extract_hits(pages: DataFrame, scope: str = "root_domain", assets: bool = True, text: bool = True,
-                 own_attachments_as_external: bool = False) -> DataFrame:
+                 own_attachments_as_external: bool = False, snippets: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per hit, `side` telling external domains from the site's own subdomains.
 
-    The first exchange after this is the caller's: everything here is narrow.
+    The first exchange after this is the caller's: everything here is narrow.  Who only
+    counts does without `snippets` (they are null then); `keep` names columns of the
+    pages to go along with their hits.
     """
-    finds = page_finds(pages, assets, text)
+    finds = page_finds(pages, assets, text, snippets, keep)
     hits = D.with_domain_parts(finds, F.col("find_host"), ~F.col("mode").isin("name_value", "text_name"))
     hits = hits.where(F.col("domain").isNotNull())
     own = D.is_subdomain(F.col("root_domain"), F.col("target_root"))
@@ -328,12 +332,12 @@ def extract_hits(pages: DataFrame, scope: str = "root_domain", assets: bool = Tr
     return hits.where(F.col("side").isNotNull()).select(
         "task_id", "page_url", "domain", "root_domain", "side", "source_type",
         F.col("raw").alias("raw_match"), F.col("snippet").alias("context_snippet"),
-        T.is_link_type(F.col("source_type")).alias("is_link"), "seq")
+        T.is_link_type(F.col("source_type")).alias("is_link"), "seq", *keep)
 
 
 def discover_links(pages: DataFrame, scope: str = "root_domain") -> DataFrame:
     """Internal page urls and js/css asset urls found on each page."""
-    finds = page_finds(pages, text=True).where(F.col("mode").isin(
+    finds = page_finds(pages, text=True, snippets=False).where(F.col("mode").isin(
         "page_link", "canonical", "page_asset", "script_asset", "link_asset", "style_asset", "asset_link", "import_link"))
     links = U.with_normalized_link(finds, "base_url", F.col("raw"), "url").where(F.col("url").isNotNull())
     links = links.withColumn("url_host", U.host(F.col("url"))).withColumn("__n", ps.suffix_length("url_host"))

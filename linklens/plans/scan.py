@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linklens import fixed_values as v
 from linklens.functions import text as T
 from linklens.operators import extract as X
 from linklens.operators import risk as K
@@ -28,7 +27,7 @@ def site_subdomains(hits: DataFrame, run_ts: Column) -> DataFrame:
     return with_domain_id(R.domain_rollup(hits.where(F.col("side") == "subdomain")).withColumn("created_at", run_ts))
 
 
-def site_evidence(hits: DataFrame, run_ts: Column, per_domain: int | None = v.EVIDENCE_PER_DOMAIN) -> DataFrame:
+def site_evidence(hits: DataFrame, run_ts: Column, per_domain: int | None = None) -> DataFrame:
     """Evidence rows to append: at most `per_domain` of each page and domain (None: all), texts cut, stable ids."""
     kept = hits if per_domain is None else X.cap_evidence(hits, per_domain)
     return kept.select(
@@ -42,7 +41,7 @@ HITS = ("task_id INT, page_url STRING, domain STRING, root_domain STRING, source
 
 
 def write_scan(pages: DataFrame, rules: DataFrame, run_ts: Column, folder: str,
-               per_domain: int | None = v.EVIDENCE_PER_DOMAIN) -> tuple[DataFrame, DataFrame, DataFrame]:
+               per_domain: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Batch job: hits written once, then external domains, subdomains and evidence over the written table.
 
     The pages are parsed a single time although three tables follow from them;
@@ -59,7 +58,7 @@ def risky_domains(pages: DataFrame, rules: DataFrame, n: int | None = None) -> D
     Two roll-ups (scan and domain, then domain), one rule match per distinct
     domain; with `n` a distributed top-n at the end.
     """
-    hits = X.extract_hits(pages).where(F.col("side") == "external")
+    hits = X.extract_hits(pages, snippets=False).where(F.col("side") == "external")
     per_task = hits.groupBy("task_id", "domain", "root_domain").agg(
         F.count("*").alias("occurrence_count"), F.bool_or("is_link").alias("has_link"), F.bool_or(~F.col("is_link")).alias("has_text"))
     per_domain = per_task.groupBy("domain", "root_domain").agg(
