@@ -15,16 +15,35 @@ from linklens.functions import domains as D
 from linklens.operators import rollup as R
 
 
+#: Words of the filter of rule names: 2**18 rows of 64 bits, about 10 MB at most however many rules there are.
+FILTER_WORDS = 1 << 18
+
+
+def rule_suffixes(names: DataFrame, rules: DataFrame, domain: str = "domain", root: str = "root_domain", key: str = "target") -> DataFrame:
+    """The names under those of their parents (and their root) at which a rule may stand, as column `__parent`.
+
+    The names where rules stand are the nodes of a tree of reversed labels.  They are
+    kept as bits of a table of fixed size that goes to every task, so a parent without
+    a rule, such as a top-level label that half of all names share, drops out where the
+    names are exploded and is never a join key.  A bit set by another name lets a parent
+    pass in vain; the join that follows is exact.
+    """
+    word, bit = (lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS))), (lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(64)).cast("int"))
+    bits = rules.select(word(F.col(key)).alias("__word"), F.expr("1L").alias("__one"), bit(F.col(key)).alias("__bit"))
+    bits = bits.groupBy("__word").agg(F.bit_or(F.call_function("shiftleft", "__one", "__bit")).alias("__bits"))
+    parents = F.array_distinct(F.array_append(D.parent_names(F.lower(F.col(domain))), F.lower(F.col(root))))
+    exploded = names.withColumn("__parent", F.explode_outer(parents)).withColumn("__word", word(F.col("__parent")))
+    kept = exploded.join(F.broadcast(bits), "__word").where(F.getbit("__bits", bit(F.col("__parent"))) == 1)  # of fixed size
+    return kept.select(*names.columns, "__parent")
+
+
 def suffix_matches(names: DataFrame, rules: DataFrame, domain: str = "domain", root: str = "root_domain",
                    key: str = "target") -> DataFrame:
     """Every (name, rule) pair where the rule equals the name, its root or a parent of it.
 
-    The names are exploded into their few parents, which makes the theta join
-    an equi join; a rule hot enough to match everything is split by AQE.
+    An equi join on those parents alone at which a rule stands.
     """
-    parents = F.array_distinct(F.array_append(D.parent_names(F.lower(F.col(domain))), F.lower(F.col(root))))
-    return names.withColumn("__parent", F.explode_outer(parents)).join(
-        rules, F.col("__parent") == rules[key]).drop("__parent")
+    return rule_suffixes(names, rules, domain, root, key).join(rules, F.col("__parent") == rules[key]).drop("__parent")
 
 
 def with_asset_evidence(domains: DataFrame, occurrences: DataFrame) -> DataFrame:

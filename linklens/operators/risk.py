@@ -11,6 +11,7 @@ from linklens.functions import text as T
 from linklens.functions import urls as U
 from linklens.operators import joins as J
 from linklens.operators import rollup as R
+from linklens.session import checkpointed
 
 RULE_FIELDS = ["id", "domain", "match_type", "risk_level", "category", "tags", "remark"]
 
@@ -61,21 +62,13 @@ def evaluate(domains: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def evaluate_rollup(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """RISK1 for a roll-up that is still to be computed: its input is read once.
+    """RISK1 for a roll-up that is still to be computed.
 
-    Each row is matched under its parents and put together again by all of its
-    columns, which keeps the partitioning of the roll-up; no second use of the
-    upstream plan as in `evaluate`.  Rows must be distinct.
+    It is checkpointed, so that what it is made from is read once, and then evaluated
+    as a stored table: only matching names meet the rules, and rows are joined back by
+    name, not put together again from all of their columns.
     """
-    rest = [c for c in domains.columns if c not in VERDICT]
-    targets = rules.select(D.rule_target(F.col("domain")).alias("target"), F.struct(*RULE_FIELDS).alias("rule"))
-    parents = F.array_distinct(F.array_append(D.parent_names(F.lower(F.col("domain"))), F.lower(F.col("root_domain"))))
-    pairs = domains.select(*rest, F.explode_outer(parents).alias("__parent")).join(targets, F.col("__parent") == F.col("target"), "left")
-    same = F.lower("domain") == F.col("target")
-    valid = F.col("rule").isNotNull() & (same | F.col("rule.match_type").isin("root", "wildcard"))
-    order = F.when(valid, F.struct(F.when(same, 1).otherwise(2), F.col("rule.id")))
-    best = pairs.groupBy(*rest).agg(F.min_by("rule", order).alias("rule"))
-    return best.withColumn("v", rule_verdict(F.col("rule"))).select(*rest, "v.*")
+    return evaluate(checkpointed(domains), rules)
 
 
 def allow_listed(domains: DataFrame) -> DataFrame:

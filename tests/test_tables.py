@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linklens import fixed_values as v
 from linklens.operators import extract as X
 from linklens.operators import graph as G
+from linklens.operators import joins as J_
 from linklens.operators import merge as M
 from linklens.operators import risk as K
 from linklens.operators import rollup as R
@@ -225,3 +226,18 @@ def test_duplicate_responses_are_dropped_within_the_watermark(spark, tmp_path):
     stream = J.first_responses(J.read_stream(spark, src, "task_id INT, url STRING, fetched_at TIMESTAMP"))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(out).select("task_id", "url")) == [(1, "u"), (2, "u")]
+
+
+def test_only_names_with_a_rule_reach_the_rule_join(spark):
+    """A top-level label that all names share, or a root without a rule, is no join key."""
+    names = spark.range(5000).select(F.concat(F.lit("a.b.s"), F.col("id"), F.lit(".Com")).alias("domain"), F.concat(F.lit("s"), "id", F.lit(".com")).alias("root_domain"))
+    rules = spark.createDataFrame([(f"s{i}.com",) for i in range(0, 50, 5)] + [("b.s7.com",), ("other.org",)], "target STRING")
+    keys = J_.rule_suffixes(names, rules)
+    matches = J_.suffix_matches(names, rules)
+    assert matches.count() == 11
+    assert keys.count() <= 13 and keys.where("__parent = 'com'").isEmpty()
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    everywhere = spark.createDataFrame([("com",)], "target STRING")
+    assert J_.suffix_matches(names, everywhere).count() == 5000
+    assert J_.suffix_matches(names, rules.limit(0)).count() == 0
