@@ -8,7 +8,10 @@ phrases don't cross a cut.  Everything is counted for each language by itself.
    than a phrase's, and a phrase is never more frequent than its parts, so a phrase is
    a candidate if its bucket and those of all its parts reach the threshold, and none that
    is frequent is missed.  Tasks look buckets up in a Bloom filter of bounded size; what
-   it lets pass wrongly is dropped by a join with the stored buckets.
+   it lets pass wrongly is dropped by a join with the stored buckets.  A candidate's text
+   is needed once, not from every task: one occurrence in `SHOWN` shows its text, and
+   a second look finds the buckets that none has shown.  (Phrases that share a 64-bit
+   bucket would be taken for one: odds of 3 in a hundred million among a million.)
 2. Tries.  The candidates, sorted and dealt by range, become double-array tries of
    bounded size, built in tasks.  A node is a slot: a child's slot is its parent's base
    plus the byte, and as no two nodes have one base, the byte stored there tells whose
@@ -41,7 +44,9 @@ from linklens.llm import words as W
 LEAST, LONGEST, EXPLAINED, TOP = 10, 3, 50, 2000
 SCALE = 1_000_000
 #: Hashes and phrases that a task holds before it passes them on.
-HELD, HELD_PHRASES = 4 << 20, 250_000
+HELD, HELD_PHRASES = 3 << 20, 120_000
+#: One occurrence in so many shows the text of its phrase.
+SHOWN = 8
 #: Largest filter, as log2 of its bits.
 FILTER_BITS = 27
 #: Text of a trie, bytes of the tries that are broadcast together, scans.
@@ -140,8 +145,11 @@ def bucket_batches(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bi
         yield counted()
 
 
-def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int) -> Iterator[pa.RecordBatch]:
-    """Phrases that pass the filter with all their parts, and the words of each language (a null phrase), with their number in the task."""
+def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int, shown: int = 1, parts_too: bool = True) -> Iterator[pa.RecordBatch]:
+    """Phrases that pass the filter (with all their parts), and the words of each language (a null phrase).
+
+    With `shown` 1 each phrase has its number in the task, else one occurrence in so many is looked at.
+    """
     powers, known = W.Powers(W.BYTE_BASE), W.Bits(log2, bits)
     found: dict[int, list] = {}
     total: dict[str, int] = {}
@@ -160,12 +168,14 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int)
         parts = None
         for n in range(1, LONGEST + 1):
             hot = known.has(hashes[n - 1])
-            if parts is not None:
+            if parts is not None and parts_too:
                 hot &= parts[:-1] & parts[1:]
             begins = np.zeros(len(hot), dtype=bool)
             begins[stream.beginning(n)] = True
             parts = hot & begins
             at = np.flatnonzero(parts)
+            if shown > 1:
+                at = at[W.mix(hashes[n - 1][at] + at.astype(np.uint64)) % np.uint64(shown) == 0]
             buckets, first, counts = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
             for bucket, w, count in zip(buckets.tolist(), at[first].tolist(), counts.tolist(), strict=True):
                 row = found.get(bucket)
@@ -178,6 +188,18 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int)
     yield flushed()
 
 
+def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bucket of each given phrase."""
+    powers = W.Powers(W.BYTE_BASE)
+    for batch in batches:
+        buckets = []
+        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
+            data = np.frombuffer(phrase.encode(), dtype=np.uint8)
+            n = phrase.count(" ") + 1
+            buckets.append(Stream(data, np.array([0, len(data)])).hashes(language_hashes([lang]), powers)[n - 1][0])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("phrase"), signed(np.array(buckets, dtype=np.uint64))], names=["lang", "phrase", "bucket"])
+
+
 def fill_batches(batches: Iterator[pa.RecordBatch], log2: int) -> Iterator[pa.RecordBatch]:
     """The words of the Bloom filter that a task's buckets set."""
     bits = W.Bits(log2)
@@ -363,8 +385,25 @@ def safe_candidates(texts: DataFrame) -> DataFrame:
         hot, n = hot.unionByName(longer), n + m
     bits, log2 = bloom(hot, n)
     sent = spark.sparkContext.broadcast(bits)
-    found = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, sent.value, log2), CANDIDATES).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")), "found")
-    return C.stored(found.where("phrase is null").drop("bucket").unionByName(found.where("phrase is not null").join(hot, "bucket", "left_semi").drop("bucket")), "candidates")
+    found = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, sent.value, log2, SHOWN), CANDIDATES).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")), "found")
+    phrases = found.where("phrase is not null").join(hot, "bucket", "left_semi")
+    hidden = C.stored(hot.join(phrases.select("bucket").distinct(), "bucket", "left_anti"), "hidden")
+    m = hidden.count()
+    if m:
+        few, few_log2 = bloom(hidden, m)
+        sent_few = spark.sparkContext.broadcast(few)
+        rest = texts.mapInArrow(lambda batches: candidate_batches(batches, sent_few.value, few_log2, parts_too=False), CANDIDATES).where("phrase is not null")
+        phrases = phrases.unionByName(rest.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")).join(hidden, "bucket", "left_semi"))
+    return C.stored(found.where("phrase is null").select("lang", "phrase", "n").unionByName(phrases.select("lang", "phrase", F.lit(None).cast("long").alias("n"))), "candidates")
+
+
+def summed_frequencies(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """lang, phrase, n of the candidates by a shuffle of what tasks count: for more tries than can be sent around."""
+    hot = C.stored(candidates.where("phrase is not null").select("lang", "phrase").mapInArrow(named_batches, "lang string, phrase string, bucket long"), "named")
+    bits, log2 = bloom(hot, hot.count())
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+    counts = texts.mapInArrow(lambda batches: candidate_batches(batches, sent.value, log2), CANDIDATES).where("phrase is not null")
+    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).join(hot.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
 
 
 def frequencies(texts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -382,7 +421,7 @@ def frequencies(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         groups[-1].append(trie)
         held += own
     if len(groups) > SCANS:
-        return candidates.where("phrase is not null")
+        return summed_frequencies(texts, candidates)
     counts = None
     for group in groups:
         rows = tries.where(F.col("trie").isin(group)).select("trie", "base", "label", "langs", "roots").collect()  # GROUP bytes at most
@@ -392,7 +431,7 @@ def frequencies(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         sent.unpersist()
     named = tries.select("trie", F.explode(F.arrays_zip("lang", "phrase", "slot")).alias("p")).select("trie", "p.*")
     if counts is None:
-        return candidates.where("phrase is not null")  # none
+        return candidates.where("phrase is not null")  # there is none
     return named.join(counts, ["trie", "slot"]).select("lang", "phrase", "n")
 
 

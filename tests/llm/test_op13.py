@@ -79,6 +79,7 @@ def test_bounds_change_nothing(odd, monkeypatch):
 def test_a_full_filter_loses_and_adds_nothing(odd, monkeypatch):
     rows, df = odd
     monkeypatch.setattr(P, "bloom", lambda buckets, n: (b"\xff" * 8192, 16))
+    monkeypatch.setattr(P, "SHOWN", 100_000)
     assert results(P.collocations(df)) == model(rows)
 
 
