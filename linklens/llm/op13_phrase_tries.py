@@ -44,7 +44,9 @@ from linklens.llm import words as W
 LEAST, LONGEST, EXPLAINED, TOP = 10, 3, 50, 2000
 SCALE = 1_000_000
 #: Hashes and phrases that a task holds before it passes them on.
-HELD, HELD_PHRASES = 3 << 20, 120_000
+HELD, HELD_PHRASES = 2 << 20, 120_000
+#: Bytes of text that are worked on together, rows of an Arrow batch.
+SLICE, ROWS = 1 << 19, 1 << 16
 #: One occurrence in so many shows the text of its phrase.
 SHOWN = 8
 #: Largest filter, as log2 of its bits.
@@ -111,7 +113,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stream, list[str]]]:
     for batch in batches:
-        for low, high, data, bounds in W.slices(batch.column("text")):
+        for low, high, data, bounds in W.slices(batch.column("text"), SLICE):
             stream = Stream(data, bounds)
             if len(stream.starts):
                 yield stream, batch.column("lang").slice(low, high - low).to_pylist()
@@ -121,6 +123,11 @@ def signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
+def in_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for low in range(0, batch.num_rows, ROWS):
+        yield batch.slice(low, ROWS)
+
+
 def bucket_batches(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bits: bytes | None, log2: int) -> Iterator[pa.RecordBatch]:
     """Counts of the buckets of phrases of some sizes; of those whose parts may be frequent if a filter is given."""
     powers, held = W.Powers(W.BYTE_BASE), []
@@ -139,10 +146,10 @@ def bucket_batches(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bi
                 at = at[may[at] & may[at + 1]]
             held.append(hashes[n - 1][at])
         if sum(map(len, held)) >= HELD:
-            yield counted()
+            yield from in_rows(counted())
             held.clear()
     if held:
-        yield counted()
+        yield from in_rows(counted())
 
 
 def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int, shown: int = 1, parts_too: bool = True) -> Iterator[pa.RecordBatch]:
@@ -184,8 +191,8 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int,
                 else:
                     row[2] += count
         if len(found) >= HELD_PHRASES:
-            yield flushed()
-    yield flushed()
+            yield from in_rows(flushed())
+    yield from in_rows(flushed())
 
 
 def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +382,8 @@ def safe_candidates(texts: DataFrame) -> DataFrame:
     def frequent(sizes: tuple[int, ...], bits: bytes | None = None, log2: int = 0) -> tuple[DataFrame, int]:
         sent = None if bits is None else spark.sparkContext.broadcast(bits)  # of bounded size
         counts = texts.mapInArrow(lambda batches: bucket_batches(batches, sizes, sent and sent.value, log2), "bucket long, n long")
-        hot = C.stored(counts.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("bucket"), "buckets")
+        # a task names a bucket once or a few times, so nothing is summed again before the shuffle
+        hot = C.stored(counts.repartition("bucket").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("bucket"), "buckets")
         return hot, hot.count()
 
     hot, n = frequent((1, 2))
@@ -385,7 +393,7 @@ def safe_candidates(texts: DataFrame) -> DataFrame:
         hot, n = hot.unionByName(longer), n + m
     bits, log2 = bloom(hot, n)
     sent = spark.sparkContext.broadcast(bits)
-    found = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, sent.value, log2, SHOWN), CANDIDATES).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")), "found")
+    found = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, sent.value, log2, SHOWN), CANDIDATES).repartition("bucket").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")), "found")
     phrases = found.where("phrase is not null").join(hot, "bucket", "left_semi")
     hidden = C.stored(hot.join(phrases.select("bucket").distinct(), "bucket", "left_anti"), "hidden")
     m = hidden.count()
@@ -426,7 +434,7 @@ def frequencies(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     for group in groups:
         rows = tries.where(F.col("trie").isin(group)).select("trie", "base", "label", "langs", "roots").collect()  # GROUP bytes at most
         sent = spark.sparkContext.broadcast([(r.trie, bytes(r.base), bytes(r.label), dict(zip(r.langs, r.roots, strict=True))) for r in rows])
-        some = C.stored(texts.mapInArrow(lambda batches, sent=sent: count_batches(batches, sent.value), "trie long, slot int, n long").groupBy("trie", "slot").agg(F.sum("n").alias("n")), "counts")
+        some = C.stored(texts.mapInArrow(lambda batches, sent=sent: count_batches(batches, sent.value), "trie long, slot int, n long").repartition("trie", "slot").groupBy("trie", "slot").agg(F.sum("n").alias("n")), "counts")
         counts = some if counts is None else counts.unionByName(some)
         sent.unpersist()
     named = tries.select("trie", F.explode(F.arrays_zip("lang", "phrase", "slot")).alias("p")).select("trie", "p.*")
