@@ -104,7 +104,6 @@ check("a19_pending_by_task", lambda t: R.pending_by_task(t.fx_tickets, t.fx_task
       f"""select r.task_id, t.name as task_name, count(*) as pending_count {LIVE_TICKETS} and {PENDING} group by 1, 2 order by 3 desc, 1 limit 20""")
 check("a20_root_page_counts", lambda t: R.root_page_counts(t.fx_occurrences),
       "select root_domain, count(distinct page_url) as page_count from fx_occurrences group by 1")
-check("a21_domain_page_counts_approx", lambda t: R.domain_page_counts(t.fx_occurrences))
 check("a22_ticket_pages_per_root", lambda t: R.ticket_page_counts(t.fx_tickets, "root_domain"),
       "select root_domain, count(distinct page_url) as page_count from fx_tickets group by 1")
 check("a22_ticket_pages_per_domain", lambda t: R.ticket_page_counts(t.fx_tickets, "domain"),
