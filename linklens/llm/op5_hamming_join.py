@@ -8,13 +8,17 @@ which they differ in at most one.  Each allowed error is enumerated: a chunk giv
 four keys, each without one component.  So all pairs within that distance share a
 key; a pair at similarity 0.8 exactly is farther apart five times in a million.
 
-Documents with equal sets are one class with one representative.  Pairs aren't
-formed within a bucket of a key: first each member is compared with two hubs, and
-confirmed links join them into components; only pairs of different components of a
-bucket are then compared by their signatures, in blocks of bounded size, and the
-near ones confirmed.  A large group of near copies thus costs one comparison a
-member and hub, and no link between different components is lost.  Links are
-confirmed on whole shingle sets, recomputed from the texts of both sides.
+Documents with equal sets are one class with one representative.  Pairs aren't formed
+within a bucket of a key: first each member is compared with the two hubs that it has
+most keys in common with, and confirmed links join them into components.  A bucket whose
+members are in several components may hold more links.  Its members meet by an exact
+prefix filter: with the shingles of all of them ordered from rare to frequent, two sets
+as similar as asked share one of the first shingles of both, and the longer the beginning
+that they don't share the less can follow.  What a family of similar texts has in common
+is frequent and comes last, so members that are not similar enough to be linked don't
+meet, however many they are; no link between different components is lost.  Pairs that
+meet are compared by their signatures, and the near ones confirmed on whole shingle sets,
+recomputed from the texts of both sides.
 
 Defined results: a null or empty text or one without words has an empty set and is
 linked with nothing; with fewer words than a shingle the sequence is the one
@@ -41,8 +45,8 @@ FARTHEST = 27
 #: More components, of 8 bits, that take no part in the join: a pair goes to its texts
 #: if at most so many of all differ, six standard deviations above a similarity of 0.8.
 MORE, FARTHEST_OF_ALL = 208, 90
-#: Hubs that each member of a bucket is compared with before components are compared; documents of a block; pairs compared together.
-HUBS, BLOCK, TOGETHER = 2, 1024, 1 << 16
+#: Hubs that each member is compared with before components are compared.
+HUBS = 2
 #: Bits of the filter of the rows whose texts are needed (2**25 bits are 4 MB).
 ROW_BITS = 25
 SIGNED = "row long, doc_id long, n_shingles long, set1 long, set2 long, signature binary"
@@ -133,60 +137,54 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures are near, of columns a, b, sig_a, sig_b, n_a, n_b."""
+    """Pairs whose signatures are near, of columns a, b, sig_a, sig_b, n_a, n_b; sets too different in size aren't."""
     for batch in batches:
         if batch.num_rows:
-            sizes = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            keep = pa.array(near(bytes_of(batch.column("sig_a")), bytes_of(batch.column("sig_b"))) & alike(*sizes))
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            alike = np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILARITY
+            keep = pa.array(near(bytes_of(batch.column("sig_a")), bytes_of(batch.column("sig_b"))) & alike)
             yield batch.select(["a", "b"]).filter(keep)
 
 
-def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Sets so different in size have no similarity above the threshold."""
-    return np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILARITY
+def shingle_batches(batches: Iterator[pa.RecordBatch], shingle: int, known: W.Bits) -> Iterator[pa.RecordBatch]:
+    """The shingles of the rows of a filter."""
+    tables = powers()
+    for batch in batches:
+        batch = batch.filter(pa.array(known.has(batch.column("row").to_numpy().view(np.uint64))))
+        for low, high, data, bounds in W.slices(batch.column("text")):
+            sets = Sets(data, bounds, shingle, tables)
+            rows = np.repeat(batch.column("row").slice(low, high - low).to_numpy(), sets.sizes)
+            for at in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at:at + (1 << 16)]), pa.array(sets.values[at:at + (1 << 16)].view(np.int64))], names=["rep", "token"])
 
 
-def group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different components within each (key, i, j) of rows sorted by these and the component."""
-    rest = None
-    for batch in batches:
-        table = batch if rest is None else pa.concat_batches([rest, batch])
-        if not table.num_rows:
-            continue
-        ids = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
-        last = int(np.flatnonzero((ids == ids[-1]).all(axis=1))[0])  # the last group may go on
-        rest = table.slice(last)
-        yield from pairs_within(table.slice(0, last), ids[:last])
-    if rest is not None and rest.num_rows:
-        yield from pairs_within(rest, np.zeros((rest.num_rows, 3), dtype=np.int64))
-
-
-def pairs_within(table: pa.RecordBatch, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not table.num_rows:
-        return
-    reps, comps, blocks, sizes = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "n_shingles"))
-    signatures = bytes_of(table.column("signature"))
-    several = table.column("i").to_numpy() != table.column("j").to_numpy()
-    new_group = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
-    new_run = new_group | np.concatenate([[True], comps[1:] != comps[:-1]])
-    group_ends, run_ends = np.append(np.flatnonzero(new_group)[1:], len(reps)), np.append(np.flatnonzero(new_run)[1:], len(reps))
-    end, begin = group_ends[np.cumsum(new_group) - 1], run_ends[np.cumsum(new_run) - 1]
-    counts = end - begin  # partners of a row: all of later components of its group
-    low = 0
-    total = np.concatenate([[0], np.cumsum(counts)])
-    while low < len(reps):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + TOGETHER, "right")) - 1)
-        left = np.repeat(np.arange(low, high), counts[low:high])
-        right = np.arange(total[high] - total[low]) - np.repeat(total[low:high] - total[low] - begin[low:high], counts[low:high])
-        ok = alike(sizes[left], sizes[right]) & (~several[left] | (blocks[left] != blocks[right]))
-        left, right = left[ok], right[ok]
-        close = np.zeros(len(left), dtype=bool)
-        for a in range(0, len(left), TOGETHER):
-            close[a:a + TOGETHER] = near(signatures[left[a:a + TOGETHER]], signatures[right[a:a + TOGETHER]])
-        if close.any():
-            a, b = reps[left[close]], reps[right[close]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-        low = high
+def prefix_pairs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of different components whose sets can be as similar as asked.
+
+    tokens: rep, token; nodes: rep, n_shingles, comp of the sets that are to meet.
+    Shingles are ordered by (sets that have them, value); those of one set alone come
+    first and only count as places.  Of two sets the shorter one shows fewer shingles:
+    what it has in common with a set at least as long is at least 2t/(1+t) of it.
+    """
+    t = SIMILARITY
+    often = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("held"))  # one document's shingles
+    n = F.col("n_shingles")
+    shown = n - F.ceil(n * t / 100) + 1
+    short = n - F.ceil(n * (2 * t) / (100 + t)) + 1
+    alone = n - F.size("held")
+    first = nodes.join(shared, "rep").select("rep", "n_shingles", "comp", alone.alias("alone"), short.alias("short"), F.slice("held", F.lit(1), F.greatest(shown - alone, F.lit(0)).cast("int")).alias("held"))
+    entries = first.select("rep", "n_shingles", "comp", "short", "alone", F.posexplode("held").alias("at", "h"))
+    entries = C.stored(entries.select(F.col("h.token").alias("token"), "rep", "n_shingles", "comp", (F.col("alone") + F.col("at")).alias("place"), (F.col("alone") + F.col("at") < F.col("short")).alias("early")), "prefixes")
+    meeting = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("early").alias("early")).where("low <> high and early").select("token")
+    met = entries.join(meeting, "token", "left_semi")
+    x, y = met.where("early").alias("x"), met.alias("y")
+    longer = F.expr("x.n_shingles < y.n_shingles or (x.n_shingles = y.n_shingles and x.rep < y.rep)")
+    alike = F.expr(f"x.comp <> y.comp and x.n_shingles * 100 >= y.n_shingles * {t}")
+    # all that can still be common from this shingle on, if it is the first one that is
+    enough = F.expr(f"least(x.n_shingles - x.place, y.n_shingles - y.place) * {100 + t} >= (x.n_shingles + y.n_shingles) * {t}")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & longer & alike & enough)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def confirm_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -298,17 +296,18 @@ def near_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def labelled(df: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    stars = F.explode(F.array(*(f"hub{n}" for n in range(HUBS)))).alias("hub")
-    stars = buckets.select("rep", stars).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    votes = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), F.col(f"hub{n}").alias("hub")) for n in range(HUBS)))).alias("v")
+    votes = buckets.select("rep", votes).select("rep", "v.*").where("rep <> hub").groupBy("rep", "order", "hub").agg(F.count("*").alias("keys"))
+    stars = votes.groupBy("rep", "order").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub"))
+    stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     comps = components(confirmed(with_signs(stars)))
     members = C.stored(labelled(buckets.select("key", "rep"), comps, "rep", "comp"), "members")
-    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    dealt = (members.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(signs, "rep")
-             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "rep", "block", "n_shingles", "signature"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    close = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "comp").mapInArrow(group_batches, "a long, b long").distinct()
+    mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    nodes = C.stored(members.join(mixed, "key", "left_semi").select("rep", "comp").distinct().join(signs.select("rep", "n_shingles"), "rep"), "nodes")
+    bits = docs.sparkSession.sparkContext.broadcast(row_bits(nodes.select(F.col("rep").alias("row"))))
+    tokens = stored.mapInArrow(lambda batches: shingle_batches(batches, shingle, W.Bits(ROW_BITS, bits.value)), "rep long, token long")
+    tokens = C.stored(tokens.join(nodes.select("rep"), "rep", "left_semi"), "shingles")  # the filter lets some others pass
+    close = with_signs(prefix_pairs(tokens, nodes))
     # what is linked now are components: their links join them once more
     links = labelled(labelled(confirmed(close), comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     named = labelled(classes.select("rep", "best", *one_set), comps, "rep", "part")
