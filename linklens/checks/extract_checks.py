@@ -176,7 +176,7 @@ INVISIBLE_SQL = (r"(?is)<!--.*?-->|<!doctype[^>]*>|<head\b.*?</head\s*>|<title\b
 
 
 def decoded(x: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = f"replace({x}, '{a}', '{b}')"
     return x
 
@@ -185,7 +185,7 @@ BODY = decoded(rf"regexp_replace(regexp_replace(html, '{INVISIBLE_SQL}', ' ', 'g
 DOUBLED = r"regexp_replace({0}, '([^a-zA-Z0-9_\-/.])', '\1\1', 'g')"
 LAB = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 NAKED_SQL = rf"(?i)(?:^|[^a-z0-9_\-/.])({LAB}(?:\.{LAB})*\.[a-z]{{2,24}}(?:::\d+)?(?:[^a-z0-9_\-]|$))"
-URL_SQL = X.URL_IN_TEXT.replace("*+", "*").replace("++", "+").replace("'", "''")
+URL_SQL = r"""(?i)(?:https?:)?//[a-z0-9][-a-z0-9]*(?:\.[a-z0-9][-a-z0-9]*)+(?::\d+)?(?:/[^\s"''<>{}|\\^`\[\]]*)?"""
 
 
 def text_names(rel: str, key: str, text: str) -> str:
@@ -252,24 +252,44 @@ check("x15_names_in_scripts", lambda t: X.extract_hits(t.documents.select(F.lit(
       union all select cast(doc_id as varchar), 'api.s.io', unnest(['script_code', 'script_endpoint']), 1 from documents""")
 check("x16_x18_names_in_styles", lambda t: X.extract_hits(t.documents.select(F.lit(1).alias("task_id"), F.col("doc_id").cast("string").alias("page_url"),
       F.concat(F.lit("@import 'https://i.s.io/a.css'; p{b:url(\"//u.s.io/x.png\")} "), F.col("text")).alias("html"), F.lit("css").alias("resource"), F.lit("none.test").alias("target_host")))
-      .where("source_type <> 'css_file_text'").select("page_url", "domain", "source_type"),
-      """select cast(doc_id as varchar) as page_url, unnest(['i.s.io', 'u.s.io']) as domain, unnest(['css_file_import', 'css_file_url']) as source_type from documents""")
+      .select("page_url", "domain", "source_type"),
+      f"""with s as (select doc_id, '@import ''https://i.s.io/a.css''; p{{b:url("//u.s.io/x.png")}} ' || text as text from documents), {text_names('s', 'doc_id', 'text')}, {parts_of('found')}
+      select cast(key as varchar) as page_url, d as domain, 'css_file_text' as source_type from found join parts using (raw, from_url) where root is not null
+      union all select cast(doc_id as varchar), unnest(['i.s.io', 'u.s.io']), unnest(['css_file_import', 'css_file_url']) from documents""")
 check("x3_x5_x7_x10_x17_x20_tagged_pages", lambda t: X.extract_hits(t.fx_pages.select("task_id", F.col("url").alias("page_url"), F.concat(F.lit(
     '<meta http-equiv="refresh" content="1;url=https://m.a1.io/"><link rel="canonical" href="https://c.example.com/"><img data-src="https://i.a2.io/p" src=//j.a3.io/q?u=https%3A%2F%2Fz.a4.io%2F&d=y.a5.io>'
     '<script src="https://s.a6.io/x.js"></script><script>location.replace("https://n.a7.io/"); $.get("https://g.a8.io/"); x = {url: "https://p.a9.io/"}</script>'
     '<style>b{background:url(https://b.b1.io/)}</style><iframe src="https://f.b2.io"></iframe><form action="https://o.b3.io/"></form><object data="https://d.b4.io/"></object><video src="https://v.b5.io/"></video><embed src="https://e.b6.io/">'),
-    "html").alias("html"), F.lit("html").alias("resource"), "target_host")).where(F.col("root_domain").endswith(".io")).select("page_url", "domain", "source_type"),
-      """select url as page_url, unnest(['m.a1.io','i.a2.io','j.a3.io','z.a4.io','y.a5.io','s.a6.io','n.a7.io','n.a7.io','g.a8.io','g.a8.io','p.a9.io','p.a9.io','b.b1.io','f.b2.io','o.b3.io','d.b4.io','v.b5.io','e.b6.io']) as domain,
+    "html").alias("html"), F.lit("html").alias("resource"), "target_host")).select("page_url", "domain", "source_type"),
+      HITS + """select page_url, domain, source_type from hits union all select url, 'c.example.com', 'canonical' from fx_pages where target_root = 'example.com' union all select url, 'c.example.com', 'link_href' from fx_pages union all
+      select url as page_url, unnest(['m.a1.io','i.a2.io','j.a3.io','z.a4.io','y.a5.io','s.a6.io','n.a7.io','n.a7.io','g.a8.io','g.a8.io','p.a9.io','p.a9.io','b.b1.io','f.b2.io','o.b3.io','d.b4.io','v.b5.io','e.b6.io']) as domain,
       unnest(['meta_refresh','link_data-src','link_src','query_param_url','query_param_domain','link_src','script_code','script_endpoint','script_code','script_endpoint','script_code','script_endpoint','css_url','link_src','link_action','link_data','link_src','link_src']) as source_type from pages""")
 check("x4_canonical", lambda t: X.extract_hits(t.fx_pages.select("task_id", F.col("url").alias("page_url"), F.concat(F.lit('<link rel="canonical" href="https://c.example.com/">'), "html").alias("html"), F.lit("html").alias("resource"), "target_host"))
-      .where("source_type = 'canonical'").select("page_url", "domain", "side"),
-      "select url as page_url, 'c.example.com' as domain, 'subdomain' as side from fx_pages where target_root = 'example.com'")
-check("x20_assets", lambda t: X.discover_links(t.fx_pages.select("task_id", F.col("url").alias("page_url"), F.lit('<script src="/a.js"></script><link rel=stylesheet href="s/b.css?v=1"><script src="https://other.io/c.js">').alias("html"), F.lit("html").alias("resource"), U.host(F.col("url")).alias("target_host")))
+      .select("page_url", "domain", "side", "source_type"),
+      HITS + "select page_url, domain, side, source_type from hits union all select url, 'c.example.com', 'subdomain', 'canonical' from fx_pages where target_root = 'example.com' union all select url, 'c.example.com', case target_root when 'example.com' then 'subdomain' else 'external' end, 'link_href' from fx_pages")
+check("x20_assets", lambda t: X.discover_links(t.fx_pages.select("task_id", F.col("url").alias("page_url"), F.concat(F.lit('<script src="/a.js"></script><link rel=stylesheet href="s/b.css?v=1"><script src="https://other.io/c.js"></script>'), "html").alias("html"), F.lit("html").alias("resource"), "target_host"))
       .select("page_url", "kind", F.regexp_extract("url", "[^/]*$", 0).alias("file")),
-      "select url as page_url, unnest(['js','css']) as kind, unnest(['a.js','b.css?v=1']) as file from pages")
+      r"""select url as page_url, unnest(['js','css']) as kind, unnest(['a.js','b.css?v=1']) as file from fx_pages where suffix(regexp_extract(url, '://([^/?#:]*)', 1), target_root) union all
+      select page_url, 'page', regexp_extract(url, '[^/]*$') from (
+       select distinct url as page_url, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_replace(h, '#.*$', '') as url from (select url, target_root, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*"([^"]*)"', 1)) as h from fx_pages)
+       where h <> '' and h not like '#%' and suffix(regexp_extract(url, '://([^/?#:]*)', 1), target_root) and not contains(lower(h), 'download'))""")
 check("k2_exact_host_scope", lambda t: X.extract_hits(pages(t), scope="exact_host").groupBy("page_url", "domain", "side", "source_type").agg(F.count("*").alias("n")),
       HITS + """select page_url, domain, s as side, source_type, count(*) as n from (select page_url, domain, source_type, unnest(case when side = 'external' then ['external']
       when source_type = 'link_href' and domain <> (case task_id when 0 then 'www.example.com' when 1 then 'www.example.net' else 'www.example.org' end) then ['subdomain', 'external'] else ['subdomain'] end) as s from hits) group by all""")
-check("flagship_risky_domains_of_pages", lambda t: scan.risky_domains(pages(t), t.fx_profiles.withColumn("tags", F.split("tags_text", "/"))),
+SITE_LEVELS = {"example.com": "critical", "example.net": "medium", "example.org": "low"}
+
+
+def site_rules(t) -> DataFrame:
+    """The stored rules, and one for each of two sites and a subdomain of the third."""
+    kept = ["id", "domain", "match_type", "risk_level", "category", "remark"]
+    own = t.fx_profiles.where("id in (1, 2, 3)")
+    name = F.when(F.col("id") == 1, "example.com").when(F.col("id") == 2, "*.example.net").otherwise("Example.org")
+    level = F.when(F.col("id") == 1, "critical").when(F.col("id") == 2, "medium").otherwise("low")
+    own = own.withColumns({"domain": name, "match_type": F.lit("root"), "risk_level": level, "id": F.col("id") + 1000})
+    return t.fx_profiles.unionByName(own).select(*kept, F.split("tags_text", "/").alias("tags"))
+
+
+check("flagship_risky_domains_of_pages", lambda t: scan.risky_domains(pages(t), site_rules(t)),
       HITS + """select domain, root_domain, count(*) as total_occurrences, count(distinct task_id) as task_count, bool_or(source_type <> 'plain_text') as has_link,
-      bool_or(source_type = 'plain_text') as has_text, 'pending' as risk_level from hits where side = 'external' group by 1, 2 order by 3 desc, 1 limit 1000""")
+      bool_or(source_type = 'plain_text') as has_text, case root_domain when 'example.com' then 'critical' when 'example.net' then 'medium' when 'example.org' then 'low' else 'pending' end as risk_level
+      from hits where side = 'external' group by 1, 2""")

@@ -140,10 +140,10 @@ check("s20_global_csv", lambda t: E.global_csv(R.global_domains(t.fx_external_do
       f"""with g as (select ed.domain, ed.root_domain, {EFF} as lv, {EFV} as vs, cast(sum(occurrence_count) as bigint) as n, count(*) as k, bool_or(has_link) as hl, bool_or(has_text) as ht, min(created_at) as a, max(created_at) as z, min(sample_page_url) as p,
       string_agg(t.name || ' (ID:' || t.task_id || ', ' || occurrence_count || '次)', ' | ' order by t.task_id) as s from fx_external_domains ed join fx_tasks t on t.task_id = ed.task_id where status <> 'deleting' group by 1, 2)
       select {header(v.GLOBAL_HEADER, ["domain", "root_domain", labels_sql("lv", v.RISK_LABELS), "''", "''", labels_sql("vs", v.VERIFY_LABELS), "''", "n", "k", YES.format("hl"), YES.format("ht"), TS.format("a"), TS.format("z"), "p", "s"])} from g""")
-check("s21_j9_cross_task_csv", lambda t: E.cross_task_csv(t.fx_external_domains, t.fx_tasks, t.fx_occurrences.where("is_link")),
+check("s21_j9_cross_task_csv", lambda t: E.cross_task_csv(t.fx_external_domains, t.fx_tasks, t.fx_occurrences),
       f"""select {header(v.CROSS_TASK_HEADER, ["ed.domain", "ed.root_domain", "ed.task_id", "t.name", "t.target_url", "t.status", "ed.occurrence_count", YES.format("ed.has_link"), YES.format("ed.has_text"), "ed.sample_page_url", "coalesce(source_type, '')",
       "coalesce(page_url, '')", "coalesce(raw_match, '')", "coalesce(context_snippet, '')", TS.format("coalesce(o.created_at, ed.created_at)")])} from fx_external_domains ed join fx_tasks t on t.task_id = ed.task_id
-      left join fx_occurrences o on o.task_id = ed.task_id and o.domain = ed.domain and o.is_link where t.status <> 'deleting'""")
+      left join fx_occurrences o on o.task_id = ed.task_id and o.domain = ed.domain where t.status <> 'deleting'""")
 GUIDE = "replace(case when st like '%script%' then '{0}' when st like '%a%' or st like '%href%' then '{1}' else '{2}' end, '{{0}}', domain)".format(*[x.replace("'", "''") for x in (v.GUIDE_SCRIPT, v.GUIDE_LINK, v.GUIDE_OTHER)])
 check("s22_w7_ticket_csv", lambda t: E.ticket_csv(tickets(t).drop("updated_at"), t.fx_tasks),
       f"""with x as (select r.*, t.name, t.target_url, source_type as st, row_number() over (order by r.task_id, r.risk_level, r.id) as no from fx_tickets r join fx_tasks t on t.task_id = r.task_id

@@ -240,6 +240,13 @@ check("m15_domain_verdict_on_tickets", lambda t: domain_verdicts_applied(t, 1).s
       select id, s as verify_status, case when s = 'verified_clean' and ms <> 'ignored' then 'resolved' when s = 'verified_failed' and ms = 'resolved' then 'pending' else ms end as manual_status,
       case when s = 'verified_clean' and ms <> 'ignored' and (mr = '' or contains(mr, '{v.REMARK_REOPENED_MARK}')) then '{v.REMARK_DOMAIN_CLEARED}' when s = 'verified_failed' and ms = 'resolved' then '{v.REMARK_REAPPEARED}' else mr end as manual_remark from p""")
 
+check("m15_ticket_details", lambda t: domain_verdicts_applied(t, 1).select(
+    "id", F.get_json_object("last_verify_detail", "$.url").alias("url"), F.get_json_object("last_verify_detail", "$.found").alias("found"),
+    F.get_json_object("last_verify_detail", "$.still_present_count").alias("still"), F.date_format("updated_at", "yyyy").alias("updated")),
+      f"""with {RESULTS} select r.id, case when verdict.verify_status <> 'verified_clean' then r.page_url end as url, case when verdict.verify_status <> 'verified_clean' then cast(found as varchar) end as found,
+      case when verdict.verify_status = 'verified_clean' then cast(still_present_count as varchar) end as still, '2030' as updated
+      from fx_tickets r join verdict on verdict.task_id = r.task_id and verdict.domain = r.domain join res on res.task_id = r.task_id and res.domain = r.domain and res.url = r.page_url""")
+
 
 def rollback(t, i):
     closed = tickets(t).where(F.col("verify_status").isin(*v.CLOSED_STATES) & (F.col("manual_status") != "ignored"))

@@ -28,10 +28,10 @@ def text_ts(df, *cols):
 check("a1_domain_rollup", lambda t: R.domain_rollup(t.fx_occurrences),
       """select task_id, domain, root_domain, count(*) as occurrence_count, bool_or(is_link) as has_link, bool_or(not is_link) as has_text,
       min(page_url) as sample_page_url from fx_occurrences group by all""")
-check("a2_subdomain_rollup", lambda t: R.domain_rollup(t.fx_occurrences.where(F.col("source_type") != "plain_text"))
+check("a2_subdomain_rollup", lambda t: R.domain_rollup(t.fx_occurrences)
       .withColumnRenamed("domain", "subdomain"),
       """select task_id, domain as subdomain, root_domain, count(*) as occurrence_count, bool_or(is_link) as has_link, bool_or(not is_link) as has_text,
-      min(page_url) as sample_page_url from fx_occurrences where source_type <> 'plain_text' group by all""")
+      min(page_url) as sample_page_url from fx_occurrences group by all""")
 check("a3_a4_task_domain_stats", lambda t: R.task_domain_stats(t.fx_external_domains),
       f"""select task_id, count(*) as total_unique_domains, count(distinct root_domain) as unique_root_domains,
       count(*) filter (where has_link) as link_domains, count(*) filter (where has_text) as text_domains, {LEVEL_COUNTS}, {TOTAL_RISK}, {STATE_COUNTS}

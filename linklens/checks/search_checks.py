@@ -37,8 +37,8 @@ check("q8_logs_of_level", lambda t: S.logs_of_level(t.fx_logs, "warn").select("i
       "select id, task_id, message from fx_logs where upper(coalesce(level, 'INFO')) = 'WARN'")
 check("q9_evidence_of_domain", lambda t: S.look_up(t.fx_occurrences, domain="cdn.widelyused.net").orderBy(F.desc("seq")).select("task_id", "seq", "page_url", "raw_match"),
       "select task_id, seq, page_url, raw_match from fx_occurrences where domain = 'cdn.widelyused.net'")
-check("q10_evidence_urls", lambda t: S.evidence_urls(t.fx_occurrences.where("is_link"), t.fx_external_domains),
-      """with u as (select distinct task_id, domain, page_url from fx_occurrences where is_link)
+check("q10_evidence_urls", lambda t: S.evidence_urls(t.fx_occurrences, t.fx_external_domains),
+      """with u as (select distinct task_id, domain, page_url from fx_occurrences)
       select ed.task_id, ed.domain, coalesce(u.page_url, ed.sample_page_url) as page_url from fx_external_domains ed left join u on u.task_id = ed.task_id and u.domain = ed.domain""")
 check("q11_global_list_page", lambda t: S.page(S.list_global(R.global_domains(
     t.fx_external_domains, t.fx_tasks, with_tasks=False)), 50, 50).select("domain", "total_occurrences", "task_count"),
@@ -46,6 +46,18 @@ check("q11_global_list_page", lambda t: S.page(S.list_global(R.global_domains(
       where t.status <> 'deleting' group by domain, root_domain order by 2 desc, 1 limit 50 offset 50""")
 check("q12_rules", lambda t: S.list_rules(t.fx_profiles, search="note", risk_level="high").select("id", "domain", "remark"),
       "select id, domain, remark from fx_profiles where (domain like '%note%' or remark like '%note%' or category like '%note%') and risk_level = 'high'")
+check("q12_j10_rule_list", lambda t: S.rule_list(
+    t.fx_profiles, R.root_page_counts(t.fx_occurrences), t.fx_occurrences.groupBy("domain", "root_domain").agg(F.countDistinct("page_url").alias("page_count")), t.fx_tickets, t.fx_external_domains,
+    limit=40, offset=10).select("id", "domain", "match_type", "page_count"),
+      r"""with r as (select *, ltrim(lower(trim(domain)), '*.') as target from fx_profiles order by id desc limit 40 offset 10)
+      select id, domain, match_type, coalesce(case when match_type <> 'exact' then (select count(distinct page_url) from fx_occurrences o where o.root_domain = r.target having count(*) > 0) end,
+       (select max(n) from (select count(distinct page_url) as n from fx_occurrences o where o.domain = r.target group by o.root_domain)),
+       case when match_type = 'root' then (select count(distinct page_url) from fx_tickets o where o.root_domain = r.target having count(*) > 0) when match_type = 'exact' then (select count(distinct page_url) from fx_tickets o where o.domain = r.target having count(*) > 0) end,
+       case when match_type = 'root' then (select sum(occurrence_count) from fx_external_domains o where o.root_domain = r.target) when match_type = 'exact' then (select sum(occurrence_count) from fx_external_domains o where o.domain = r.target) end, 0)::bigint as page_count from r""")
+check("a12_tasks_of_page", lambda t: S.tasks_of_page(S.page(S.list_global(R.global_domains(t.fx_external_domains, t.fx_tasks, with_tasks=False)), 50, 50), t.fx_external_domains, t.fx_tasks).select(
+    "domain", "total_occurrences", F.array_join(F.transform("associated_tasks", lambda x: F.concat_ws(":::", x["task_id"].cast("string"), x["task_name"], x["occurrence_count"].cast("string"))), ";;;").alias("tasks_summary")),
+      """select domain, cast(sum(occurrence_count) as bigint) as total_occurrences, string_agg(ed.task_id || ':::' || t.name || ':::' || ed.occurrence_count, ';;;' order by ed.task_id) as tasks_summary
+      from fx_external_domains ed join fx_tasks t on ed.task_id = t.task_id where t.status <> 'deleting' group by domain, root_domain order by 2 desc, 1 limit 50 offset 50""")
 check("q13_tickets", lambda t: S.list_tickets(t.fx_tickets, t.fx_tasks, risk_level="all_risk", verify_status="pending_only", manual_status="pending", search="Site 1")
       .select("id", "task_id", "task_name", "domain", "verify_status"),
       """select r.id, r.task_id, t.name as task_name, r.domain, r.verify_status from fx_tickets r join fx_tasks t on r.task_id = t.task_id

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from linklens import fixed_values as v
 from linklens import schemas
 from linklens.checks.extract_checks import HITS
 from linklens.checks.registry import check
@@ -161,6 +162,34 @@ def refreshed_counts(t):
     return t.spark.read.schema("root_domain STRING, page_count BIGINT").parquet(f"{out}/roots")
 
 
+def refreshed_domain_counts(t):
+    """The approximate table: within five percent of the exact counts, or one off."""
+    out = run_folder(t)
+    M.refresh_page_counts(t.fx_occurrences, f"{out}/roots", f"{out}/domains")
+    found = t.spark.read.schema("domain STRING, root_domain STRING, page_count BIGINT").parquet(f"{out}/domains")
+    exact = t.fx_occurrences.select("domain", "root_domain", "page_url").distinct().groupBy("domain", "root_domain").agg(F.count("*").alias("exact"))
+    near = F.abs(F.col("page_count") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return found.join(exact, ["domain", "root_domain"], "full_outer").select("domain", "root_domain", F.coalesce(near, F.lit(False)).alias("close"))
+
+
+check("m26_domain_count_table", refreshed_domain_counts, "select distinct domain, root_domain, true as close from fx_occurrences")
+
+
+def stored_responses(t):
+    """Responses written out, read with their schema and made ready for extraction."""
+    from linklens.sources import responses as P
+
+    out = run_folder(t)
+    kind = F.when(F.col("page_id") % 7 == 0, "image/png").when(F.col("page_id") % 7 == 1, "").otherwise("text/html; charset=utf-8")
+    t.fx_pages.select("task_id", "url", F.lit(200).alias("status_code"), kind.alias("content_type"), "html", F.lit(5).alias("response_time_ms"), F.lit("").alias("error"),
+                      F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("x").alias("not_in_the_schema")).write.parquet(f"{out}/responses")
+    return P.keep_text_bodies(P.read_responses(t.spark, f"{out}/responses")).select("task_id", "url", "content_type", F.length("html").alias("n"), F.md5("html").alias("html_md5"))
+
+
+check("s1_read_responses", stored_responses,
+      """select task_id, url, case page_id % 7 when 0 then 'image/png' when 1 then '' else 'text/html; charset=utf-8' end as content_type,
+      case when blank then 0 else length(html) end as n, md5(case when blank then '' else html end) as html_md5
+      from (select *, page_id % 7 = 0 and not regexp_matches(url, '(?i)^[^?#]*\\.(' || '{}' || ')([?#]|$)') as blank from fx_pages)""".format("|".join(v.TEXT_PATH_SUFFIXES)))
 check("m26_page_count_tables", refreshed_counts, "select root_domain, count(distinct page_url) as page_count from fx_occurrences group by 1")
 
 

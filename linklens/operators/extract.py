@@ -13,6 +13,7 @@ target_host and, if it is known already, target_root.
 from __future__ import annotations
 
 import functools
+import html.entities
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
@@ -76,8 +77,25 @@ def decode_entities(c: Column) -> Column:
         return F.when(legal, F.concat(decoded, rest)).otherwise(part)
     c = F.when(c.contains("&#"), F.array_join(F.transform(F.split(c, "(?=&#)"), character), "")).otherwise(c)
     for name, ch in v.NAMED_REFERENCES:
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
-    return c
+        if name != "amp":
+            c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
+    return T.let(c, lambda x: F.when(x.rlike("&[a-zA-Z]"), other_references(x)).otherwise(x))
+
+
+@functools.lru_cache
+def reference_table() -> str:
+    """The public table of named character references as an SQL map."""
+    pairs = [f"{name[:-1]}\x01{ch}" for name, ch in sorted(html.entities.html5.items()) if name.endswith(";")]
+    return "str_to_map('" + "\x02".join(pairs).replace("\\", "\\\\").replace("'", "\\'") + "', '\x02', '\x01')"
+
+
+def other_references(c: Column) -> Column:
+    """All named references of a text, each once, so that `&amp;lt;` becomes `&lt;`."""
+    def character(part):
+        name = F.regexp_extract(part, "^&([a-zA-Z][a-zA-Z0-9]*);", 1)
+        ch = F.when(name == "amp", "&").when(name != "", F.element_at(F.expr(reference_table()), name))
+        return F.when(ch.isNotNull(), F.concat(ch, F.substr(part, F.length(name) + 3))).otherwise(part)
+    return F.array_join(F.transform(F.split(c, "(?=&)"), character), "")
 
 
 def attribute(tag: Column, name: str) -> Column:

@@ -91,28 +91,27 @@ def rule_page_counts(rules: DataFrame, root_counts: DataFrame, domain_counts: Da
                      domains: DataFrame) -> DataFrame:
     """Pages a rule touches: root counts, domain counts, tickets, occurrences, else 0.
 
-    Every source is cut down to the rules' targets by a semi join before it is aggregated.
+    Every source is read once: a row names its root and its domain, and only names that
+    are a rule's target go on.  All counts of a target meet in one aggregate and one join.
     """
     r = rules.withColumn("target", D.rule_target(F.col("domain")))
     targets = r.select("target").distinct()
 
-    def on_targets(df, key, *columns):
-        return df.select(F.col(key).alias("target"), *columns).join(targets, "target", "left_semi")
-
-    def page_counts(key, name):
-        return R.ticket_page_counts(on_targets(tickets, key, "page_url"), "target").withColumnRenamed("page_count", name)
-
-    def occurrences(key, name):
-        return R.occurrences_by(on_targets(domains, key, "occurrence_count"), "target").withColumnRenamed("total_occurrences", name)
+    def named(df, *columns):
+        names = F.explode(F.array(F.struct(F.lit("root").alias("kind"), F.col("root_domain").alias("target")), F.struct(F.lit("domain").alias("kind"), F.col("domain").alias("target"))))
+        return df.select(names.alias("n"), *columns).select("n.kind", "n.target", *columns).join(targets, "target", "left_semi")
+
+    def counts(df, source, kind, target, n):
+        return df.select(F.lit(source).alias("source"), F.lit(kind).alias("kind") if kind else F.col("kind"), F.col(target).alias("target"), F.col(n).cast("long").alias("n"))
+    pages = named(tickets, "page_url").distinct().groupBy("kind", "target").agg(F.count("*").alias("n"))
+    found = named(domains, "occurrence_count").groupBy("kind", "target").agg(F.sum("occurrence_count").alias("n"))
+    known = counts(root_counts, "pages", "root", "root_domain", "page_count").unionByName(counts(domain_counts, "pages", "domain", "domain", "page_count"))
+    every = known.join(targets, "target", "left_semi").unionByName(counts(pages, "tickets", None, "target", "n")).unionByName(counts(found, "found", None, "target", "n"))
+    one = lambda source, kind: F.max(F.when((F.col("source") == source) & (F.col("kind") == kind), F.col("n")))
+    by_target = every.groupBy("target").agg(*[one(s, k).alias(f"{s}_{k}") for s in ("pages", "tickets", "found") for k in ("root", "domain")])
     exact, root = F.col("match_type") == "exact", F.col("match_type") == "root"
-    per_domain = on_targets(domain_counts, "domain", "page_count").groupBy("target").agg(F.max("page_count").alias("by_domain"))
-    out = (
-        r.join(root_counts.select(F.col("root_domain").alias("target"), F.col("page_count").alias("by_root")), "target", "left")
-        .join(per_domain, "target", "left")
-        .join(page_counts("root_domain", "ticket_root"), "target", "left").join(page_counts("domain", "ticket_domain"), "target", "left")
-        .join(occurrences("root_domain", "occ_root"), "target", "left").join(occurrences("domain", "occ_domain"), "target", "left"))
     count = F.coalesce(
-        F.when(~exact, F.col("by_root")), F.col("by_domain"),
-        F.when(root, F.col("ticket_root")).when(exact, F.col("ticket_domain")),
-        F.when(root, F.col("occ_root")).when(exact, F.col("occ_domain")), F.lit(0))
-    return out.select(*rules.columns, count.cast("long").alias("page_count"))
+        F.when(~exact, F.col("pages_root")), F.col("pages_domain"),
+        F.when(root, F.col("tickets_root")).when(exact, F.col("tickets_domain")),
+        F.when(root, F.col("found_root")).when(exact, F.col("found_domain")), F.lit(0))
+    return r.join(by_target, "target", "left").select(*rules.columns, count.cast("long").alias("page_count"))

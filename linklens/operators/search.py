@@ -156,6 +156,22 @@ def list_rules(rules: DataFrame, search: str | None = None, risk_level: str | No
     return out.orderBy(F.desc("id"))
 
 
+def rule_list(rules: DataFrame, root_counts: DataFrame, domain_counts: DataFrame, tickets: DataFrame, domains: DataFrame,
+              search: str | None = None, risk_level: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Q12 with J10: one page of the rules with the pages they touch; only its rules' targets are counted."""
+    listed = list_rules(rules, search, risk_level)
+    listed = listed if limit is None else page(listed, limit, offset)
+    return J.rule_page_counts(listed, root_counts, domain_counts, tickets, domains).orderBy(F.desc("id"))
+
+
+def tasks_of_page(listed: DataFrame, domains: DataFrame, tasks: DataFrame) -> DataFrame:
+    """A12 for the rows of one page of the global list: the lists of scans of other domains are never built."""
+    key = ["domain", "root_domain"]
+    rows = R.on_live_tasks(domains.join(listed.select(*key), key, "left_semi"), tasks, "name")
+    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("task_id", F.col("name").alias("task_name"), "occurrence_count"))).alias("associated_tasks"))
+    return listed.join(lists, key, "left")
+
+
 def filter_tickets(tickets: DataFrame, tasks: DataFrame, task_id: int | None = None, risk_level: str | None = None,
                    verify_status: str | None = None, manual_status: str | None = None, search: str | None = None) -> DataFrame:
     out = tickets

@@ -133,3 +133,12 @@ def test_probe_links(spark):
     pages = frame(spark, [("https://www.site.com/", '<!-- c -->Link to <a href="/inner">x</a><link rel="stylesheet" href="/theme.php?v=1"><link rel=icon href="/i.php">')])
     got = {(r["url"], r["kind"]) for r in X.discover_links(pages).collect()}
     assert got == {("https://www.site.com/inner", "page"), ("https://www.site.com/theme.php?v=1", "css")}
+
+
+def test_named_references(spark):
+    import html
+
+    texts = ["&copy; &eacute;&Eacute; &notin; &NotEqualTilde; x", "&amp;lt; &amp;amp;copy;", "&nosuchname; & &; &amp", "a&lt;b&gt;c&#233;&copy;&#xe9;", "it&apos;s &quot;q&quot; &middot;", "back\\slash &bsol; &apos; '"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").select("i", X.decode_entities(F.col("t")).alias("d"))
+    got = {r.i: r.d for r in df.collect()}
+    assert got == {i: html.unescape(t) if "&amp" != t[-4:] else t for i, t in enumerate(texts)}
