@@ -15,9 +15,11 @@ members are in several components may hold more links.  Its members meet by an e
 prefix filter: with the shingles of all of them ordered from rare to frequent, two sets
 as similar as asked share one of the first shingles of both, and the longer the beginning
 that they don't share the less can follow.  What a family of similar texts has in common
-is frequent and comes last, so members that are not similar enough to be linked don't
-meet, however many they are; no link between different components is lost.  Pairs that
-meet are compared by their signatures, and the near ones confirmed on whole shingle sets,
+is frequent and comes last, so members that are not similar enough to be linked hardly
+meet, however many they are.  Those that do are let through only if the parities of
+their shingles' hash bits differ in no more places than the sets may; every shingle that
+only one of two sets has changes one place.  No link between different components is
+lost.  Pairs that are left are compared by their signatures, and the near ones confirmed on whole shingle sets,
 recomputed from the texts of both sides.
 
 Defined results: a null or empty text or one without words has an empty set and is
@@ -47,6 +49,8 @@ FARTHEST = 27
 MORE, FARTHEST_OF_ALL = 208, 90
 #: Hubs that each member is compared with before components are compared.
 HUBS = 2
+#: Words of 64 parities of a set.
+PARITIES = 16
 #: Bits of the filter of the rows whose texts are needed (2**25 bits are 4 MB).
 ROW_BITS = 25
 SIGNED = "row long, doc_id long, n_shingles long, set1 long, set2 long, signature binary"
@@ -173,9 +177,12 @@ def prefix_pairs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     shown = n - F.ceil(n * t / 100) + 1
     short = n - F.ceil(n * (2 * t) / (100 + t)) + 1
     alone = n - F.size("held")
-    first = nodes.join(shared, "rep").select("rep", "n_shingles", "comp", alone.alias("alone"), short.alias("short"), F.slice("held", F.lit(1), F.greatest(shown - alone, F.lit(0)).cast("int")).alias("held"))
-    entries = first.select("rep", "n_shingles", "comp", "short", "alone", F.posexplode("held").alias("at", "h"))
-    entries = C.stored(entries.select(F.col("h.token").alias("token"), "rep", "n_shingles", "comp", (F.col("alone") + F.col("at")).alias("place"), (F.col("alone") + F.col("at") < F.col("short")).alias("early")), "prefixes")
+    one = F.call_function("shiftleft", F.expr("1L"), F.pmod(F.shiftright("token", 8), F.lit(64)).cast("int"))
+    odd = [f"odd{k}" for k in range(PARITIES)]
+    parities = tokens.groupBy("rep").agg(*[F.bit_xor(F.when(F.pmod("token", F.lit(PARITIES)) == k, one).otherwise(F.expr("0L"))).alias(c) for k, c in enumerate(odd)])
+    first = nodes.join(shared, "rep").join(parities, "rep").select(*odd, "rep", "n_shingles", "comp", alone.alias("alone"), short.alias("short"), F.slice("held", F.lit(1), F.greatest(shown - alone, F.lit(0)).cast("int")).alias("held"))
+    entries = first.select(*odd, "rep", "n_shingles", "comp", "short", "alone", F.posexplode("held").alias("at", "h"))
+    entries = C.stored(entries.select(F.col("h.token").alias("token"), *odd, "rep", "n_shingles", "comp", (F.col("alone") + F.col("at")).alias("place"), (F.col("alone") + F.col("at") < F.col("short")).alias("early")), "prefixes")
     meeting = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("early").alias("early")).where("low <> high and early").select("token")
     met = entries.join(meeting, "token", "left_semi")
     x, y = met.where("early").alias("x"), met.alias("y")
@@ -183,7 +190,9 @@ def prefix_pairs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     alike = F.expr(f"x.comp <> y.comp and x.n_shingles * 100 >= y.n_shingles * {t}")
     # all that can still be common from this shingle on, if it is the first one that is
     enough = F.expr(f"least(x.n_shingles - x.place, y.n_shingles - y.place) * {100 + t} >= (x.n_shingles + y.n_shingles) * {t}")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & longer & alike & enough)
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in odd)
+    close = F.expr(f"({differ}) * {100 + t} <= (x.n_shingles + y.n_shingles) * {100 - t}")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & longer & alike & enough & close)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
