@@ -4,9 +4,10 @@ A text without its white space is cut where its bytes say so, not at fixed
 places, so that texts that share passages share chunks.  A chunk's identifier is
 its SHA-256, and a document's recipe the ordered list of its identifiers, computed
 where the text is read.  Documents with a recipe of their own are told apart by
-that.  Of those that share one, the chunks are deduplicated by content: an
-identifier is verified once the bytes of all chunks under it are seen to be the
-same.  Everything else moves and compares recipes, never texts.
+that.  Of those that share one, the chunks are deduplicated by content where they are
+read, and an identifier is verified once the bytes of all chunks under it are seen to
+be the same.  Whole texts are never moved: rows to verify are picked in the scan by a
+filter of fixed size, and only their distinct chunks are shuffled.
 
 Defined results: a null text is empty and all empty texts are one group; rows
 that repeat a doc_id are rows of their own; of equal texts the row with the most
@@ -25,6 +26,8 @@ from linklens.llm import common as C
 #: modulo four are 0, 1, 2, 3, 0, which is about one place in a thousand.
 LEAST, MOST, RESIDUES = 256, 8192, (0, 1, 2, 3, 0)
 BLANKS = " \t\n\x0b\f\r"
+#: Words of the filter of rows (2**18 of 64 bits, about 10 MB at most); parts in which a group's members are dealt.
+FILTER_WORDS, PARTS = 1 << 18, 8
 
 
 def cut_pattern(least: int = LEAST, most: int = MOST, residues: tuple[int, ...] = RESIDUES) -> str:
@@ -37,7 +40,10 @@ def chunked(docs: DataFrame, rows: DataFrame | None = None, least: int = LEAST,
     """row, doc_id, n_points, norm, and the chunks of its bytes; an empty text is one empty chunk."""
     texts = C.placed_texts(docs)
     if rows is not None:
-        texts = texts.join(rows.hint("shuffle_hash"), "row", "left_semi")
+        word, bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(64)).cast("int")
+        bits = rows.select(word.alias("word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+        # of fixed size; rows that pass in vain only add chunks that are verified as well
+        texts = texts.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select(*texts.columns)
     dense = F.col("text")
     for blank in BLANKS:
         dense = F.replace(dense, F.lit(blank), F.lit(""))
@@ -54,31 +60,38 @@ def recipes(docs: DataFrame, **cut) -> DataFrame:
                                        F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe"))
 
 
-def verified_ids(docs: DataFrame, rows: DataFrame, **cut) -> DataFrame:
+def chunk_contents(docs: DataFrame, rows: DataFrame, **cut) -> DataFrame:
     """id, contents: identifiers of the chunks of the given rows, with the number of different contents under each."""
-    chosen = chunked(docs, rows, **cut)
-    contents = chosen.select(F.explode("chunks").alias("chunk")).distinct()
-    return contents.groupBy(F.unhex(F.sha2("chunk", 256)).alias("id")).agg(F.count("*").alias("contents"))
+    # an inner explode would have the chunks made a second time, to see whether there are any
+    chosen = chunked(docs, rows, **cut).select(F.explode_outer("chunks").alias("chunk")).where("chunk is not null")
+    return chosen.distinct().groupBy(F.unhex(F.sha2("chunk", 256)).alias("id")).agg(F.count("*").alias("contents"))
+
+
+def verify(docs: DataFrame, shared: DataFrame, rows: DataFrame, **cut) -> None:
+    """Raise an error unless the bytes under every identifier of the shared recipes are the same."""
+    ids = shared.select(F.explode_outer("recipe").alias("id")).distinct()
+    wrong = ids.join(chunk_contents(docs, rows, **cut), "id", "left").where("contents is null or contents > 1")
+    if not wrong.isEmpty():
+        raise RuntimeError("chunks of different bytes share a SHA-256")
 
 
 def exact_groups(docs: DataFrame, **cut) -> DataFrame:
     """One row per input row: row, doc_id, keep_id, group_size, kept, text_sha256, n_points.
 
-    Groups are summed before they are shuffled and joined back by recipe, so the
-    members of a large group never meet in one task.
+    Groups are summed before they are shuffled.  They are joined back by recipe and one
+    of PARTS parts of the rows, each of which has the group's row, so that the members of
+    a large group don't meet in one task.
     """
     docs = C.on_disk(docs)
     rows = C.stored(recipes(docs, **cut), "recipes")
     rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
     shared = C.stored(groups.where("group_size > 1"), "shared")
-    ids = verified_ids(docs, rows.join(shared, "recipe", "left_semi").select("row"), **cut)
-    one = F.when(F.col("contents") == 1, True).otherwise(F.raise_error(F.lit("chunks of different bytes share a SHA-256")).cast("boolean"))
-    proven = (shared.select("recipe", F.explode(F.array_distinct("recipe")).alias("id")).join(ids, "id", "left")
-              .groupBy("recipe").agg(F.bool_and(one).alias("same")))
-    proven = shared.join(proven.where("same"), "recipe")
-    joined = rows.join(proven.select("recipe", "best", "group_size"), "recipe", "left")
+    dealt = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")).join(dealt, ["recipe", "part"], "left")
+    joined = C.stored(joined.drop("recipe", "part"), "members")
     alone = F.col("best").isNull()
+    verify(docs, shared, joined.where(~alone).select("row"), **cut)
     return joined.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
                          F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                          (alone | (F.col("row") == F.col("best.row"))).alias("kept"), "text_sha256", "n_points")

@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from linklens.llm import op6_exact_dedup as E
 
@@ -19,9 +20,34 @@ def test_query_against_sql(spark):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_python_on_executors(spark):
-    plan = E.exact_groups(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = E.recipes(docs).select("row").limit(10)
+    for df in (E.exact_groups(docs), E.recipes(docs), E.chunk_contents(docs, rows)):
+        assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan(df))
+
+
+def test_chunks_are_made_once_and_texts_stay_where_they_are(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = E.recipes(docs).select("row").limit(10)
+    optimized = E.chunk_contents(docs, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_extract_all") == 1
+    below = plan(E.chunk_contents(docs, rows)).split("Generate")[1]  # from the scan to the chunks
+    assert "SortMergeJoin" not in below and "ShuffledHashJoin" not in below and "BroadcastHashJoin" in below
+
+
+def test_chunks_of_one_id_must_be_equal(spark, monkeypatch):
+    rows = [(i, "a" * 300 + str(i // 2)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.group_size for r in E.exact_groups(docs).collect()) == [2] * 8
+    contents = E.chunk_contents
+    monkeypatch.setattr(E, "chunk_contents", lambda *a, **k: contents(*a, **k).withColumn("contents", E.F.lit(2)))
+    with pytest.raises(RuntimeError):
+        E.exact_groups(docs)
 
 
 def test_made_up_rows(spark):
