@@ -9,15 +9,17 @@ window whose words also start anywhere else goes.
 2. Confirmation.  Only windows whose anchor stands in two places can recur.  They are
    counted by 128-bit fingerprints, again summed in each task first, so that a passage
    in a third of all documents costs a row for each task and window.
-3. Location.  Documents that hold a recurring window are dealt by row into shards,
-   with the fingerprints of the recurring windows of that shard.  A shard's recurring
-   passages are compiled into Aho-Corasick automata of bounded size, and all documents
-   of the shard are streamed through them, which finds every occurrence of every
-   passage of the shard by its text.
-
-Between the steps only Bloom filters of fixed size are broadcast; their false
-positives are extra candidates, which the exact join with the confirmed fingerprints
-removes.  Documents without a candidate are finished where they are read.
+3. Location.  Every document is read once more.  A window whose anchor and fingerprint
+   pass their filters recurs, unless it is one of the few windows counted once that the
+   filter lets pass as well; these are known exactly from the counts and sent along.
+   The recurring passages of a slice of documents are compiled into Aho-Corasick
+   automata of bounded size, and the slice's documents are streamed through them, which
+   finds the occurrences by their text.  Nothing is shuffled for this.
+4. Beyond `EXCEPTIONS` such windows (a filter that is too full) documents with a
+   candidate are dealt by row into shards instead, with the fingerprints of the recurring
+   windows of the shard from an exact join, and each shard is compiled and streamed.
+
+What is broadcast has a fixed size: two Bloom filters and the exceptions.
 
 Defined results: null and empty texts have no words; documents with fewer words than
 a window keep all; repeated rows are different places of the same windows, so that
@@ -46,7 +48,9 @@ ANCHOR_BITS, WINDOW_BITS = 27, 27
 #: Packed bytes of the documents of a shard, on average at most; characters of the passages of one automaton.
 SHARD, AUTOMATON = 2_000_000, 400_000
 #: Windows a task holds before it hands their sums on.
-HELD_WINDOWS = 1 << 20
+HELD_WINDOWS = 1 << 19
+#: Windows counted once that pass the filter, 16 bytes each, up to which they are sent to every task.
+EXCEPTIONS = 1 << 20
 RESULT = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string"
 HELD = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, packed binary"
 
@@ -210,6 +214,71 @@ def automata(passages: list[str], size: int = AUTOMATON) -> Iterator[ahocorasick
         yield one
 
 
+def pass_batches(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+    """Windows that pass the filter."""
+    known = W.Bits(WINDOW_BITS, bits)
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.filter(pa.array(known.has(batch.column("h1").to_numpy().view(np.uint64))))
+
+
+def without(h1: np.ndarray, h2: np.ndarray, exceptions: np.ndarray) -> np.ndarray:
+    """Which fingerprints are none of the exceptions, rows (h1, h2) sorted by both."""
+    out = np.ones(len(h1), dtype=bool)
+    first = np.searchsorted(exceptions[:, 0], h1, "left")
+    last = np.searchsorted(exceptions[:, 0], h1, "right")
+    for i in np.flatnonzero(last > first).tolist():
+        out[i] = not (exceptions[first[i]:last[i], 1] == h2[i]).any()
+    return out
+
+
+def covered_words(texts: list[bytes], runs: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+    """For each text which words an occurrence of a passage covers; `runs` are the first and last word of each text's own passages."""
+    lines = [t.decode().split(" ") for t in texts]
+    passages = {f" {' '.join(words[a:b])} ": None for words, own in zip(lines, runs, strict=True) for a, b in own}
+    streams = [f" {' '.join(words)} " for words in lines]
+    borders = [np.cumsum([0, *(len(w) + 1 for w in words)]) for words in lines]  # place of the blank before each word
+    cover = [np.zeros(len(words) + 1, dtype=np.int32) for words in lines]
+    for automaton in automata(list(passages)):
+        for stream, border, count in zip(streams, borders, cover, strict=True):
+            for end, length in automaton.iter(stream):
+                first, last = np.searchsorted(border, (end - length + 1, end))
+                count[first] += 1
+                count[last] -= 1
+    return [np.cumsum(c)[:-1] > 0 for c in cover]
+
+
+def remove_batches(batches: Iterator[pa.RecordBatch], anchors: bytes, windows: bytes, exceptions: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Result rows, slice by slice."""
+    powers, known_anchors, known = tables(), W.Bits(ANCHOR_BITS, anchors), W.Bits(WINDOW_BITS, windows)
+    for batch in batches:
+        for low, high, data, bounds in W.slices(batch.column("text")):
+            p = Passages(data, bounds, powers)
+            raw, counts, first = data.tobytes(), np.diff(p.words.first), p.words.first
+            texts = [b" ".join(raw[a:b].split()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            runs: dict[int, list[tuple[int, int]]] = {}
+            if len(p.whole):
+                some = np.flatnonzero(known_anchors.has(p.anchor))
+                h1, h2 = p.fingerprints(some)
+                hit = known.has(h1)
+                hit[hit] = without(h1[hit], h2[hit], exceptions)
+                starts = p.whole[some[hit]]  # windows of consecutive words of one document make a passage
+                if len(starts):
+                    docs = p.words.doc[starts]
+                    new = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(docs) != 0)])
+                    begin = np.flatnonzero(new)
+                    end = np.append(begin[1:], len(starts)) - 1
+                    for a, b, d in zip(starts[begin].tolist(), (starts[end] + WINDOW).tolist(), docs[begin].tolist(), strict=True):
+                        runs.setdefault(d, []).append((a - int(first[d]), b - int(first[d])))
+            removed = np.zeros(high - low, dtype=np.int64)
+            for d, gone in zip(runs, covered_words([texts[d] for d in runs], list(runs.values())), strict=True):
+                removed[d] = gone.sum()
+                texts[d] = b" ".join(w for w, g in zip(texts[d].split(b" "), gone.tolist(), strict=True) if not g)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("row").slice(low, high - low), batch.column("doc_id").slice(low, high - low), pa.array(counts), pa.array(removed),
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["row", "doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
 def locate(docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
     """Result rows of a shard's documents, given the recurring windows of the shard."""
     powers = tables()
@@ -252,8 +321,22 @@ def without_recurring(docs: DataFrame) -> DataFrame:
     anchors = texts.select("text").mapInArrow(anchor_batches, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     first = spark.sparkContext.broadcast(bloom(anchors, "anchor", ANCHOR_BITS))  # of fixed size, like the next
     windows = texts.select("text").mapInArrow(lambda batches: window_batches(batches, first.value), "h1 long, h2 long, n long")
-    recurring = C.stored(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"), "recurring")
+    counts = C.stored(windows.repartition("h1").groupBy("h1", "h2").agg((F.sum("n") > 1).alias("again")), "windows")
+    recurring = counts.where("again").select("h1", "h2")
     second = spark.sparkContext.broadcast(bloom(recurring, "h1", WINDOW_BITS))
+    once = counts.where("not again").select("h1", "h2").mapInArrow(lambda batches: pass_batches(batches, second.value), "h1 long, h2 long")
+    once = C.stored(once, "exceptions")
+    if once.count() <= EXCEPTIONS:
+        found = once.toArrow()
+        pairs = np.stack([found.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")], axis=1)
+        third = spark.sparkContext.broadcast(pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))])
+        return texts.mapInArrow(lambda batches: remove_batches(batches, first.value, second.value, third.value), RESULT)
+    return in_shards(texts, recurring, second)
+
+
+def in_shards(texts: DataFrame, recurring: DataFrame, second) -> DataFrame:
+    """Step 4: the documents with a candidate dealt into shards, with their recurring windows from an exact join."""
+    spark = texts.sparkSession
     held = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, second.value), HELD), "candidates")
     size = held.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))

@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from linklens.llm import op4_phrase_automata as P
 
 SF = "/root/testdata/sf0.01"
@@ -33,7 +36,11 @@ def test_query_against_brute_force(spark):
     assert rows(P.op4_phrase_automata(spark, SF)) == brute(docs)
 
 
-def test_made_up_rows(spark):
+@pytest.mark.parametrize(("bits", "exceptions"), [(27, 1 << 20), (12, 1 << 20), (12, -1), (27, -1)])
+def test_made_up_rows(spark, monkeypatch, bits, exceptions):
+    """With a filter that lets many windows pass that stand once, and with an exact join instead of their list."""
+    monkeypatch.setattr(P, "WINDOW_BITS", bits)
+    monkeypatch.setattr(P, "EXCEPTIONS", exceptions)
     rng = random.Random(3)
     base = [f"w{rng.randrange(400)}é" for _ in range(300)]
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "a " * 200), (5, "a " * 34), (None, " ".join(base[:80])), (7, "x y " + "\n".join(base[20:120]) + " tail"),
@@ -43,3 +50,19 @@ def test_made_up_rows(spark):
     stored = spark.createDataFrame(df.collect(), df.schema)
     assert rows(P.without_recurring(stored)) == brute(docs)
     assert P.without_recurring(stored.limit(0)).count() == 0
+
+
+def test_exceptions_are_known_by_both_hashes():
+    exceptions = np.array([(1, 5), (1, 9), (7, 2)], dtype=np.uint64)
+    h1, h2 = np.array([1, 1, 1, 7, 7, 3, 0, 9], dtype=np.uint64), np.array([5, 6, 9, 2, 3, 5, 1, 1], dtype=np.uint64)
+    assert P.without(h1, h2, exceptions).tolist() == [False, True, False, False, True, True, True, True]
+    assert P.without(h1, h2, exceptions[:0]).all()
+
+
+def test_a_passage_is_found_inside_other_passages(spark):
+    """Passages that overlap, lie in each other, begin or end a document, or follow each other directly."""
+    rng = random.Random(8)
+    w = [f"p{i}" for i in range(300)]
+    pieces = [w[0:60], w[20:90], w[30:65], w[60:120], w[0:120], w[200:235], w[201:236], w[200:236]]
+    docs = [(i, " ".join([f"u{i}"] * (i % 3) + rng.choice(pieces) + ([f"v{i}"] if i % 2 else []) + rng.choice(pieces))) for i in range(60)]
+    assert rows(P.without_recurring(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
