@@ -1,7 +1,8 @@
 """Contaminated documents against a plain scan of every document for every item."""
 
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from linklens.llm import op1_template_join as T
 
@@ -19,10 +20,11 @@ def template(text):
         out.append((kind or low, word if kind else None))
         last_end, last_number = m.end(), number
     n = T.WINDOW
-    return [(tuple(k for k, _ in out[i:i + n]), [w for _, w in out[i:i + n] if w is not None]) for i in range(len(out) - n + 1)]
+    return [(tuple(k for k, _ in out[i:i + n]), [(i + at, w) for at, (_, w) in enumerate(out[i:i + n]) if w is not None]) for i in range(len(out) - n + 1)]
 
 
 def brute(docs, items):
+    """In a shift a document's value stands for an item's one by a majority of the places of both; a window counts if it is unchanged or all its values stand."""
     out, wanted = [], [(i, template(t)) for i, t in items]
     for doc_id, text in docs:
         at = defaultdict(list)
@@ -32,13 +34,16 @@ def brute(docs, items):
             shifts = defaultdict(list)
             for q, (w, slots) in enumerate(windows):
                 for p, other in at.get(w, ()):
-                    shifts[p - q].append((q, list(zip(slots, other, strict=True))))
+                    shifts[p - q].append((q, [(place, mine, theirs) for (place, mine), (_, theirs) in zip(slots, other, strict=True)]))
             places, changed = set(), False
             for met in shifts.values():
-                filled = {x for _, pairs in met for x in pairs}
-                if len({a for a, _ in filled}) == len(filled) == len({b for _, b in filled}):
-                    places |= {q for q, _ in met}
-                    changed |= any(a != b for a, b in filled)
+                values = {place: (mine, theirs) for _, slots in met for place, mine, theirs in slots}
+                pairs, mine, theirs = Counter(values.values()), Counter(a for a, _ in values.values()), Counter(b for _, b in values.values())
+                for q, slots in met:
+                    same = all(a == b for _, a, b in slots)
+                    if same or all(2 * pairs[a, b] > mine[a] and 2 * pairs[a, b] > theirs[b] for _, a, b in slots):
+                        places.add(q)
+                        changed |= not same
             if windows and places and 100 * len(places) >= T.SHARE * len(windows):
                 out.append((doc_id, item_id, len(places), len(windows), "reparameterised" if changed else "verbatim"))
     return sorted(out, key=repr)
@@ -72,3 +77,21 @@ def test_made_up_rows(spark):
     left = T.drop_contaminated(a, b)
     assert left.columns == a.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 8, 9]
     assert T.leaks(a.limit(0), b).count() == T.leaks(a, b.limit(0)).count() == 0
+
+
+def test_values_by_majority(spark):
+    """Random fillings of one text: values that change together, some places that don't, two values that become one."""
+    rng = random.Random(4)
+    text = "first add {0} and {1} then take {0} from {2} and {1} from {0} so that {2} stands beside {1} in row {0} of {2} of it"
+    items = [(1, text.format(3, 5, 8)), (2, text.format(7, 7, 9))]
+    docs = []
+    for i in range(40):
+        words = text.format(*(rng.choice(["3", "4", "41", "7"]) for _ in range(3))).split()
+        for k, w in enumerate(words):
+            if w[0].isdigit() and rng.random() < i / 100:
+                words[k] = str(rng.randrange(60, 64))
+        docs.append((i, "lead " * (i % 4) + " ".join(words)))
+    stored = lambda rows_, name: spark.createDataFrame(rows_, f"{name} long, text string")
+    got = rows(T.leaks(stored(docs, "doc_id"), stored(items, "item_id")))
+    want = brute(docs, items)
+    assert got == want and len({r[2] for r in want}) > 1
