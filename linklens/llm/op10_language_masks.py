@@ -187,9 +187,10 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterato
 
 def languages(docs: DataFrame, model: Filter) -> DataFrame:
     """row, doc_id, lang_pred, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    # of fixed size; an executor without this package could not read an instance of a class from a broadcast
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.prior))
     texts = C.text_of(docs).withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    return texts.mapInArrow(lambda batches: predict_batches(batches, sent.value), SCHEMA)
+    return texts.mapInArrow(lambda batches: predict_batches(batches, Filter(*sent.value)), SCHEMA)
 
 
 def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

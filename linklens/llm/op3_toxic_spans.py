@@ -89,6 +89,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * odds + self.shift, -500, 500)))
 
 
+def plain(model: Model) -> tuple:
+    """A model as arrays and numbers: an executor without this package could not read an instance from a broadcast."""
+    return model.weights, model.bias, model.start, model.moves, model.scale, model.shift
+
+
 def chain(first: np.ndarray, emission: np.ndarray, model: Model, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of the toxic state, log odds of each document's largest, and expected counts of the moves."""
     lengths = np.diff(first)
@@ -272,8 +277,8 @@ def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pickled model of all rows of a task, in the order of their ids."""
     rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True))
     model = fit([t for _, _, t in rows], np.array([k for _, k, _ in rows], dtype=np.int64))
-    plain = (model.weights.astype(np.float32).tobytes(), model.bias, model.start, model.moves, model.scale, model.shift)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plain)], pa.binary())], names=["model"])
+    weights, *rest = plain(model)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights.astype(np.float32).tobytes(), *rest))], pa.binary())], names=["model"])
 
 
 def tag_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -295,8 +300,8 @@ def tag_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """row, doc_id, score, and the code point offsets and marginals of the offending tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the weights, whatever the corpus
-    return C.text_of(docs).mapInArrow(lambda batches: tag_batches(batches, sent.value), SCHEMA)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(model))  # of the size of the weights, whatever the corpus
+    return C.text_of(docs).mapInArrow(lambda batches: tag_batches(batches, Model(*sent.value)), SCHEMA)
 
 
 def clean_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -312,8 +317,8 @@ def clean_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[p
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score below one half, with all their columns; nothing but the sample is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels))
-    return docs.mapInArrow(lambda batches: clean_batches(batches, sent.value), docs.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(fit_on(docs, labels)))
+    return docs.mapInArrow(lambda batches: clean_batches(batches, Model(*sent.value)), docs.schema)
 
 
 def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
