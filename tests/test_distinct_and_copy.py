@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linklens.operators import distinct as X
+from linklens.sources import copying
 from linklens.sources.copying import RangedCopy
 
 
@@ -98,10 +99,14 @@ def test_copy_of_nothing(spark, source, tmp_path):
     assert copy.copied().count() == 0 and copy.report().count() == 0
 
 
-def test_copy_pushes_the_ranges_to_the_scan(spark, source, tmp_path):
+def test_copy_pushes_the_ranges_to_the_scan(spark, source, tmp_path, monkeypatch):
     source.write.parquet(str(tmp_path / "s"))
     stored = spark.read.parquet(str(tmp_path / "s"))
+    plans = []
+    clean = copying.without_nul
+    monkeypatch.setattr(copying, "without_nul", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), clean(df))[1])
     copy = RangedCopy(stored, str(tmp_path / "c"))
     copy.ranges(2)
     copy.run(100, steps=1)
     assert copy.copied().count() == 180
+    assert len(plans) == 1 and "LessThan(id,105)" in plans[0] and "GreaterThanOrEqual(id,505)" in plans[0]
