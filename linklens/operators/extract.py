@@ -66,7 +66,11 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Character references: numeric ones, and the named ones of `v.NAMED_REFERENCES`; `&amp;` last."""
+    """Character references: numeric and named ones; `&amp;` last.  Text without an ampersand is left as it is."""
+    return F.when(c.contains("&"), T.let(c, all_references)).otherwise(c)
+
+
+def all_references(c: Column) -> Column:
     def character(part):
         number = F.regexp_extract(part, r"(?i)^&#(x[0-9a-f]{1,6}|[0-9]{1,7});", 1)
         digits = F.when(F.lower(F.left(number, F.lit(1))) == "x", F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number)
