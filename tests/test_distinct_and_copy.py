@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linklens.operators import distinct as X
+from linklens.operators import rollup as R
 from linklens.sources import copying
 from linklens.sources.copying import RangedCopy
 
@@ -110,3 +111,11 @@ def test_copy_pushes_the_ranges_to_the_scan(spark, source, tmp_path, monkeypatch
     copy.run(100, steps=1)
     assert copy.copied().count() == 180
     assert len(plans) == 1 and "LessThan(id,105)" in plans[0] and "GreaterThanOrEqual(id,505)" in plans[0]
+
+
+def test_page_counts_lie_within_five_percent(spark):
+    """Two of six thousand domains whose pages a sketch of 1.6 percent standard error misjudges by 6.6 and 5.1 percent."""
+    rows = spark.range(634 * 20000, 804 * 20000).where("id div 20000 in (634, 803)").select(
+        F.expr("id div 20000").alias("domain"), F.lit("r").alias("root_domain"), F.concat(F.lit("https://p.test/q"), "id").alias("page_url"))
+    found = R.domain_page_counts(rows).collect()
+    assert len(found) == 2 and all(abs(r.page_count - 20000) <= 1000 for r in found)
