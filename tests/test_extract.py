@@ -142,3 +142,15 @@ def test_named_references(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").select("i", X.decode_entities(F.col("t")).alias("d"))
     got = {r.i: r.d for r in df.collect()}
     assert got == {i: html.unescape(t) if "&amp" != t[-4:] else t for i, t in enumerate(texts)}
+
+
+def test_evidence_of_a_page_stored_twice_has_its_own_ids(spark, tmp_path):
+    from linklens.plans import scan
+
+    html = '<a href="https://a.io/{0}">x</a><a href="https://a.io/2{0}">x</a>'
+    pages = spark.createDataFrame([(1, "https://www.site.com/p", html.format(n), "html", "www.site.com") for n in "xy"],
+                                  "task_id INT, page_url STRING, html STRING, resource STRING, target_host STRING")
+    rules = spark.createDataFrame([], "id INT, domain STRING, match_type STRING, risk_level STRING, category STRING, tags ARRAY<STRING>, remark STRING")
+    run = F.lit("2030-01-01").cast("timestamp")
+    rows = scan.write_scan(pages, rules, run, str(tmp_path), per_domain=5)[2].collect()
+    assert len(rows) == 6 and len({r.id for r in rows}) == 6
