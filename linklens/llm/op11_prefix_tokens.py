@@ -78,6 +78,9 @@ class Pieces:
         self.begins_blank = {i for p, i in self.id.items() if p.startswith(SPACE)}
         self.spoken = np.array([i not in self.silent for i in every])
         self.strange = np.array([i in self.byte_of or i == self.unknown for i in every])
+        self.high = np.array([self.byte_of.get(i, 0) > 0x7F for i in every])
+        # what an id alone is decoded to, after the first; bytes beyond ASCII depend on their neighbours
+        self.shown = ["" if i in self.silent else chr(self.byte_of[i]) if i in self.byte_of else " ⁇ " if i == self.unknown else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
         self.size = [len(t) for t in self.text]
         foreign = "".join(re.escape(c) for c in sorted(self.alone))
         self.runs = re.compile(f"[{foreign}]+|[^{foreign}]")
@@ -192,23 +195,17 @@ class Pieces:
     def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """Text of any ids: bytes that are no UTF-8 become U+FFFD one by one, the first piece loses its leading space."""
         ids = np.asarray(ids, dtype=np.int64)
-        if not self.strange[ids].any():
-            whole = "".join(map(self.text.__getitem__, ids[self.spoken[ids]].tolist()))
-            return whole.removeprefix(SPACE).replace(SPACE, " ")
-        out: list[str] = []
-        held, first = bytearray(), True
-        for i in [*ids.tolist(), self.end]:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                first = False
-                continue
-            if held:
-                out.append(bytes_text(bytes(held)))
-                held.clear()
-            if i in self.silent:
-                continue
-            out.append(" ⁇ " if i == self.unknown else (self.text[i].removeprefix(SPACE) if first else self.text[i]).replace(SPACE, " "))
-            first = False
+        out = list(map(self.shown.__getitem__, ids.tolist()))
+        spoken = self.spoken[ids]
+        first = int(spoken.argmax()) if len(ids) else 0
+        if len(ids) and spoken[first] and not self.strange[ids[first]]:
+            out[first] = self.text[ids[first]].removeprefix(SPACE).replace(SPACE, " ")
+        # an ASCII byte is a character by itself, so only runs of other bytes are read together
+        high = np.flatnonzero(self.high[ids])
+        if len(high):
+            for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1):
+                low, end = int(run[0]), int(run[-1]) + 1
+                out[low:end] = [bytes_text(bytes(self.byte_of[i] for i in ids[low:end].tolist())), *[""] * (end - low - 1)]
         return "".join(out)
 
 
