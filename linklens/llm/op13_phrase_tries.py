@@ -49,6 +49,8 @@ HELD, HELD_PHRASES = 2 << 20, 120_000
 SLICE, ROWS = 1 << 19, 1 << 16
 #: One occurrence in so many shows the text of its phrase.
 SHOWN = 8
+#: Buckets whose text a task remembers to have named.
+NAMED = 1 << 20
 #: Largest filter, as log2 of its bits.
 FILTER_BITS = 27
 #: Text of a trie, bytes of the tries that are broadcast together, scans.
@@ -152,11 +154,8 @@ def bucket_batches(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bi
         yield from in_rows(counted())
 
 
-def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int, shown: int = 1, parts_too: bool = True) -> Iterator[pa.RecordBatch]:
-    """Phrases that pass the filter (with all their parts), and the words of each language (a null phrase).
-
-    With `shown` 1 each phrase has its number in the task, else one occurrence in so many is looked at.
-    """
+def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int) -> Iterator[pa.RecordBatch]:
+    """Phrases that pass the filter with all their parts, each with its number in the task, and the words of each language (a null phrase)."""
     powers, known = W.Powers(W.BYTE_BASE), W.Bits(log2, bits)
     found: dict[int, list] = {}
     total: dict[str, int] = {}
@@ -175,14 +174,12 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int,
         parts = None
         for n in range(1, LONGEST + 1):
             hot = known.has(hashes[n - 1])
-            if parts is not None and parts_too:
+            if parts is not None:
                 hot &= parts[:-1] & parts[1:]
             begins = np.zeros(len(hot), dtype=bool)
             begins[stream.beginning(n)] = True
             parts = hot & begins
             at = np.flatnonzero(parts)
-            if shown > 1:
-                at = at[W.mix(hashes[n - 1][at] + at.astype(np.uint64)) % np.uint64(shown) == 0]
             buckets, first, counts = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
             for bucket, w, count in zip(buckets.tolist(), at[first].tolist(), counts.tolist(), strict=True):
                 row = found.get(bucket)
@@ -195,6 +192,50 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int,
     yield from in_rows(flushed())
 
 
+def phrase_texts(stream: Stream, first: np.ndarray, n: int) -> pa.Array:
+    """The texts of the phrases of n words at the given words, without a Python object for each."""
+    low, size = stream.starts[first], stream.ends[first + n - 1] - stream.starts[first]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data = stream.buffer[np.arange(offsets[-1]) + np.repeat(low - offsets[:-1], size)]
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], bits: bytes, log2: int, shown: int = 1, parts_too: bool = True) -> Iterator[pa.RecordBatch]:
+    """Texts of phrases that pass the filter (with all their parts), and the words of each language (a null phrase).
+
+    One occurrence in `shown` is looked at.  What a task has named lately it does not name
+    again: a table of fixed size holds whole buckets, and of two that share a place the
+    later one stays, so a phrase may come twice and none is left out.
+    """
+    powers, known = W.Powers(W.BYTE_BASE), W.Bits(log2, bits)
+    named = np.zeros(NAMED, dtype=np.uint64)
+    total: dict[str, int] = {}
+    for stream, langs in streams(batches):
+        hashes = stream.hashes(language_hashes(langs), powers)
+        for doc, n in enumerate(np.bincount(stream.doc, minlength=len(langs)).tolist()):
+            total[langs[doc]] = total.get(langs[doc], 0) + n
+        own, parts = pa.array(langs, pa.string()), None
+        for n in range(1, LONGEST + 1):
+            at = stream.beginning(n)
+            if parts is not None and parts_too:
+                at = at[parts[at] & parts[at + 1]]
+            at = at[known.has(hashes[n - 1][at])]
+            parts = np.zeros(len(stream.starts), dtype=bool)
+            parts[at] = True
+            if shown > 1:
+                at = at[W.mix(hashes[n - 1][at] + at.astype(np.uint64)) % np.uint64(shown) == 0]
+            buckets = hashes[n - 1][at]
+            # an empty place holds 0: the bucket 0 is always named
+            fresh = (named[buckets % np.uint64(NAMED)] != buckets) | (buckets == 0)
+            buckets, first = np.unique(buckets[fresh], return_index=True)
+            named[buckets % np.uint64(NAMED)] = buckets
+            at = at[fresh][first]
+            for low in range(0, len(at), ROWS):
+                some = at[low:low + ROWS]
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(stream.doc[some])), phrase_texts(stream, some, n), signed(buckets[low:low + ROWS]), pa.nulls(len(some), pa.int64())], names=["lang", "phrase", "bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.array([0] * len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "bucket", "n"])
+
+
 def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bucket of each given phrase."""
     powers = W.Powers(W.BYTE_BASE)
@@ -393,14 +434,14 @@ def safe_candidates(texts: DataFrame) -> DataFrame:
         hot, n = hot.unionByName(longer), n + m
     bits, log2 = bloom(hot, n)
     sent = spark.sparkContext.broadcast(bits)
-    found = C.stored(texts.mapInArrow(lambda batches: candidate_batches(batches, sent.value, log2, SHOWN), CANDIDATES).repartition("bucket").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")), "found")
+    found = C.stored(texts.mapInArrow(lambda batches: text_batches(batches, sent.value, log2, SHOWN), CANDIDATES).repartition("bucket").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")), "found")
     phrases = found.where("phrase is not null").join(hot, "bucket", "left_semi")
     hidden = C.stored(hot.join(phrases.select("bucket").distinct(), "bucket", "left_anti"), "hidden")
     m = hidden.count()
     if m:
         few, few_log2 = bloom(hidden, m)
         sent_few = spark.sparkContext.broadcast(few)
-        rest = texts.mapInArrow(lambda batches: candidate_batches(batches, sent_few.value, few_log2, parts_too=False), CANDIDATES).where("phrase is not null")
+        rest = texts.mapInArrow(lambda batches: text_batches(batches, sent_few.value, few_log2, parts_too=False), CANDIDATES).where("phrase is not null")
         phrases = phrases.unionByName(rest.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")).join(hidden, "bucket", "left_semi"))
     return C.stored(found.where("phrase is null").select("lang", "phrase", "n").unionByName(phrases.select("lang", "phrase", F.lit(None).cast("long").alias("n"))), "candidates")
 
