@@ -49,10 +49,17 @@ def in_days(t, rows: DataFrame, summary, schema: str) -> DataFrame:
     return S.current(t.spark, out, "days", schema)
 
 
+def kept(t, rows: DataFrame) -> DataFrame:
+    """Rows that several jobs read, written out once instead of being put together again by each of them."""
+    folder = f"{run_folder(t)}/rows"
+    rows.write.parquet(folder)
+    return t.spark.read.schema(rows.schema).parquet(folder)
+
+
 def bitmap_totals(t) -> DataFrame:
     """Distinct domains and roots from merged bitmaps, sums and shared domains from one roll-up by domain."""
     ids = X.ValueIds(t.spark, run_folder(t))
-    domains = t.fx_external_domains
+    domains = kept(t, t.fx_external_domains.select("task_id", "domain", "root_domain", "occurrence_count"))
 
     def day(rows):
         for c in ("domain", "root_domain"):
@@ -73,8 +80,9 @@ check_like("a13_bitmap_totals", bitmap_totals, "a13_global_totals")
 
 def bitmap_roots(t) -> DataFrame:
     ids = X.ValueIds(t.spark, run_folder(t))
-    ids.extend(F.col("domain"), t.fx_external_domains)
-    return X.top_roots(t.fx_external_domains, ids)
+    domains = kept(t, t.fx_external_domains.select("task_id", "domain", "root_domain", "occurrence_count"))
+    ids.extend(F.col("domain"), domains)
+    return X.top_roots(domains, ids)
 
 
 check_like("a15_bitmap_top_roots", bitmap_roots, "a15_top_roots")
@@ -83,7 +91,7 @@ check_like("a15_bitmap_top_roots", bitmap_roots, "a15_top_roots")
 def bitmap_metrics(t) -> DataFrame:
     """Three distinct counts from merged bitmaps beside plain counts."""
     ids = X.ValueIds(t.spark, run_folder(t))
-    live = R.on_live_tasks(t.fx_tickets, t.fx_tasks)
+    live = kept(t, R.on_live_tasks(t.fx_tickets, t.fx_tasks).select("task_id", "domain", "page_url", "verify_status", "manual_status"))
 
     def day(rows):
         for c in ("domain", "page_url"):
