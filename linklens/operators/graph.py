@@ -150,27 +150,33 @@ def reach_assets(pages: DataFrame, asset_edges: DataFrame, import_edges: DataFra
     pages: task_id, url, depth; edges: task_id, src, dst.  Imported style sheets take
     the depth of the importing one.  Rounds only append what they found or found at a
     smaller depth, until one finds nothing; the smallest depth of each is taken once, at
-    the end.
+    the end.  Imports are stored once each and bucketed like the assets found, so no
+    round shuffles them.
     """
-    spark = pages.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/assets-{uuid.uuid4().hex}"
-
-    def step(level: DataFrame, edges: DataFrame) -> DataFrame:
-        e = edges.select("task_id", F.col("src").alias("url"), "dst")
-        return e.join(level, KEY).groupBy("task_id", F.col("dst").alias("url")).agg(F.min("depth").alias("depth"))
-
-    first = step(pages.select(*KEY, "depth"), asset_edges)
-    first.write.parquet(f"{folder}/round=0")
-    read = lambda path: spark.read.schema(first.schema).parquet(path)
-    frontier, n = read(f"{folder}/round=0"), 0
-    while not frontier.isEmpty():
-        n += 1
-        found = step(frontier, import_edges)
-        known = read(folder).groupBy(*KEY).agg(F.min("depth").alias("known"))
-        better = found.join(known, KEY, "left").where(F.col("known").isNull() | (F.col("depth") < F.col("known"))).select(*KEY, "depth")
-        better.write.parquet(f"{folder}/round={n}")
-        frontier = read(f"{folder}/round={n}")
-    return read(folder).groupBy(*KEY).agg(F.min("depth").alias("depth"))
+    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    imports, reached = (Bucketed(pages.sparkSession, buckets, n) for n in ("imports", "assets"))
+
+    def step(edges: DataFrame, level: DataFrame) -> DataFrame:
+        return edges.join(level, KEY).groupBy("task_id", F.col("dst").alias("url")).agg(F.min("depth").alias("depth"))
+
+    def links(edges: DataFrame) -> DataFrame:
+        return edges.select("task_id", F.col("src").alias("url"), "dst")
+
+    try:
+        imports.append(links(import_edges).distinct())
+        reached.append(step(links(asset_edges), pages.select(*KEY, "depth")).withColumn("round", F.lit(0)), "round")
+        n = 0
+        while not (frontier := reached.whole().where(F.col("round") == n).select(*KEY, "depth")).isEmpty():
+            found = step(imports.whole(), frontier)
+            known = reached.whole().groupBy(*KEY).agg(F.min("depth").alias("known"))
+            better = found.join(known, KEY, "left").where(F.col("known").isNull() | (F.col("depth") < F.col("known")))
+            n += 1
+            reached.append(better.select(*KEY, "depth", F.lit(n).alias("round")), "round")
+        out = pages.sparkSession.read.schema(reached.whole().schema).parquet(reached.folder)
+    finally:
+        for table in (imports, reached):
+            table.close()
+    return out.groupBy(*KEY).agg(F.min("depth").alias("depth"))
 
 
 def seeds_with_sitemap(tasks: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
