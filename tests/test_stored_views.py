@@ -11,7 +11,7 @@ from linklens.plans import retest
 from linklens.session import CLEANUP, delete_stored, stored
 
 SF = "/root/testdata/sf0.001"
-NAMES = """t8_retest_cycle_domains """.split()
+NAMES = """t8_retest_cycle_domains t8_q15_rollback_audit_tickets """.split()
 MADE = ["fx_external_domains", "fx_responses", "fx_tickets"]
 
 
