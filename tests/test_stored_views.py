@@ -11,7 +11,7 @@ from linklens.plans import retest
 from linklens.session import CLEANUP, delete_stored, stored
 
 SF = "/root/testdata/sf0.001"
-NAMES = """t8_retest_cycle_domains t8_q15_rollback_audit_tickets m14_a30_domains_closed """.split()
+NAMES = """t8_retest_cycle_domains t8_q15_rollback_audit_tickets m14_a30_domains_closed m15_ticket_details """.split()
 MADE = ["fx_external_domains", "fx_responses", "fx_tickets"]
 
 
@@ -69,3 +69,11 @@ def test_shuffle_files_go_with_the_write(spark):
     left = {f.rsplit("/", 1)[0].removeprefix("file://") for f in rows.inputFiles()}
     delete_stored(rows)
     assert not any(os.path.exists(f) for f in left)
+
+
+def test_page_results_are_stored_in_columns(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(retest, "stored", lambda df, name: (names.append(name), stored(df, name))[1])
+    assert catalog.QUERIES["m15_ticket_details"](spark, SF).count() > 0
+    assert catalog.QUERIES["t8_retest_cycle_domains"](spark, SF).count() > 0
+    assert names == ["results", "verdicts"]
