@@ -11,7 +11,8 @@ from linklens.plans import retest
 from linklens.session import CLEANUP, delete_stored, stored
 
 SF = "/root/testdata/sf0.001"
-NAMES = """m9_m12_rule_sync_new_tickets t8_retest_cycle_domains t8_q15_rollback_audit_tickets m14_a30_domains_closed m15_ticket_details m13_page_verdicts_applied""".split()
+NAMES = """m9_m12_rule_sync_new_tickets t8_retest_cycle_domains t8_q15_rollback_audit_tickets m14_a30_domains_closed m12_ticket_sync
+m15_ticket_details m13_page_verdicts_applied""".split()
 MADE = ["fx_external_domains", "fx_responses", "fx_tickets"]
 
 
